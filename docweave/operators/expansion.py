@@ -55,20 +55,25 @@ def expand(documents: DataFrame, expansion: DataFrame, enabled: bool = True) ->
         return documents.withColumn("route_all", F.lit(False)).withColumn(
             "composite", F.lit(None).cast("string")
         )
-    attrs = F.coalesce("attrs", F.array().cast("array<string>"))
-    complete = F.forall(attrs, lambda a: F.map_contains_key("m", a))
-    values = F.to_json(F.transform(attrs, lambda a: F.try_element_at("m", a)))
+    # The old map is renamed before the new one is built: a lambda in the same select
+    # would otherwise read the new ``m``.
+    joined = documents.withColumnRenamed("m", "_m").join(expansion, "w", "left").withColumn(
+        "attrs", F.coalesce("attrs", F.array().cast("array<string>"))
+    )
+    attrs = F.col("attrs")
+    complete = F.forall(attrs, lambda a: F.map_contains_key("_m", a))
+    values = F.to_json(F.transform(attrs, lambda a: F.try_element_at("_m", a)))
     expanded = F.map_concat(
-        F.map_filter("m", lambda k, _: ~F.array_contains(attrs, k)),
+        F.map_filter("_m", lambda k, _: ~F.array_contains(attrs, k)),
         F.create_map(composite_attr(attrs), values),
     )
-    some = F.size(attrs) > 0
+    replaced = (F.size(attrs) > 0) & complete
     others = [c for c in documents.columns if c != "m"]
-    return documents.join(expansion, "w", "left").select(
+    return joined.select(
         *others,
-        F.when(some & complete, expanded).otherwise(F.col("m")).alias("m"),
-        (some & ~complete).alias("route_all"),
-        F.when(some & complete, composite_attr(attrs)).alias("composite"),
+        F.when(replaced, expanded).otherwise(F.col("_m")).alias("m"),
+        ((F.size(attrs) > 0) & ~complete).alias("route_all"),
+        F.when(replaced, composite_attr(attrs)).alias("composite"),
     )
 
 

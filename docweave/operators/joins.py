@@ -82,22 +82,41 @@ def _side(df: DataFrame, keys: list[str], suffix: str) -> DataFrame:
     return df.select(*keys, *[F.col(c).alias(f"{c}_{suffix}") for c in df.columns if c not in keys])
 
 
+def common_key(n: int) -> Column:
+    """Join key of shapes ``s`` and ``t``: the values of their common core attributes, the
+    other places empty.  Both shapes are part of the key, so an empty place is unambiguous."""
+    common = F.expr("s & t")
+    at = lambda i: F.when(common.bitwiseAND(1 << i) != 0, F.get("vals", F.lit(i))).otherwise("")
+    return F.array(*[at(i) for i in range(n)])
+
+
+def _expand_matches(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The join that produces couples, always as a shuffled sort-merge join.
+
+    Its output can be far larger than its inputs, so even small inputs are spread over
+    the cluster by key instead of being broadcast into the tasks that read them, and
+    sorted runs spill where a hash table would have to fit.
+    """
+    return _side(left, keys, "a").join(_side(right, keys, "b").hint("merge"), keys)
+
+
 def _shape_couples(left: DataFrame, right: DataFrame, core: Core, by: list[str], self_join: bool, cell: int) -> DataFrame:
     """Couples whose documents have at least one core attribute in common."""
-    s = left.where("mask != 0").select(*by, F.col("mask").alias("s")).distinct()
-    t = right.where("mask != 0").select(*by, F.col("mask").alias("t")).distinct()
+    s = left.select(*by, F.col("mask").alias("s")).distinct()
+    t = right.select(*by, F.col("mask").alias("t")).distinct()
     # Shapes meeting shapes inside a window: at most 2 ** |core| of each, whatever the
-    # number of documents.
+    # number of documents.  Shape 0 meets none, so documents without core attributes drop
+    # out here; filtering them earlier would only repeat the mask computation in the scan.
     meet = s.join(t, by).where("(s & t) != 0")
     if self_join:
         meet = meet.where("s <= t")
-    key = F.expr("filter(vals, (v, i) -> (shiftright(s & t, i) & 1) = 1)")
+    key = common_key(len(core.attrs))
     l = left.withColumnRenamed("mask", "s").join(meet, [*by, "s"]).withColumn("key", key).drop("vals")
     r = right.withColumnRenamed("mask", "t").join(meet, [*by, "t"]).withColumn("key", key).drop("vals")
     keys = [*by, "s", "t", "key"]
     if core.hot:
         l, r, keys = _split_hot_keys(l, r, keys, cell)
-    joined = _side(l, keys, "a").join(_side(r, keys, "b"), keys)
+    joined = _expand_matches(l, r, keys)
     if self_join:
         joined = joined.where("s < t OR doc_a < doc_b")
     else:
@@ -123,7 +142,7 @@ def _index_couples(left: DataFrame, right: DataFrame, core: Core, by: list[str],
     l, r = postings(left), postings(right)
     if core.hot:
         l, r, keys = _split_hot_keys(l, r, keys, cell)
-    joined = _side(l, keys, "a").join(_side(r, keys, "b"), keys)
+    joined = _expand_matches(l, r, keys)
     joined = joined.where("doc_a < doc_b" if self_join else "doc_a != doc_b")
     if core.attrs:
         joined = joined.where("(mask_a & mask_b) = 0")

@@ -35,21 +35,35 @@ class Core:
     hot: bool = True
 
 
-def _frequent_attrs(documents: DataFrame, limit: int) -> list:
-    """The ``limit`` most frequent attributes over all windows, with join cost figures.
+def _frequent_attrs(documents: DataFrame, limit: int) -> tuple[list, int]:
+    """The ``limit`` most frequent attributes as rows ``(attr, n, most)``, and the number of
+    non-empty documents.  ``most`` is the most documents of one window carrying it.
 
-    A bounded top-k (``limit`` rows reach the driver), combined before each shuffle.
+    A bounded top-k reaches the driver; counting shuffles one row per window and attribute
+    from each task.
     """
-    per_attr = (
-        pair_counts(documents)
+    # A NULL entry next to the attributes of each document counts the documents themselves.
+    entries = F.explode(F.concat(F.map_keys("m"), F.array(F.lit(None).cast("string"))))
+    rows = (
+        documents.where(F.size("m") > 0)
+        .select("w", entries.alias("attr"))
+        .groupBy("w", "attr")
+        .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("attr")
-        .agg(
-            F.sum("n_docs").alias("n"),
-            F.max("n_docs").alias("f_max"),
-            F.sum(F.col("n_docs") * (F.col("n_docs") - 1) / 2).alias("candidates"),
-        )
+        .agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+        .orderBy(F.desc("n"), F.asc_nulls_first("attr"))
+        .limit(limit + 1)
+        .collect()
     )
-    return per_attr.orderBy(F.desc("n"), F.asc("candidates"), F.asc("attr")).limit(limit).collect()
+    total = next((r["n"] for r in rows if r["attr"] is None), 0)
+    return [r for r in rows if r["attr"] is not None], total
+
+
+def _index_candidates(documents: DataFrame, attrs: tuple[str, ...]) -> dict[str, float]:
+    """Couples the index would enumerate through each of ``attrs``."""
+    counts = pair_counts(documents).where(F.col("attr").isin(list(attrs)))
+    cost = F.sum(F.col("n_docs") * (F.col("n_docs") - 1) / 2).alias("candidates")
+    return {r["attr"]: r["candidates"] for r in counts.groupBy("attr").agg(cost).collect()}
 
 
 def shape_mask(attrs: tuple[str, ...]) -> Column:
@@ -87,23 +101,24 @@ def choose_core(documents: DataFrame, max_core: int = MAX_CORE, hot: int = HOT)
     Most frequent attributes come first: an attribute in every document adds no shape
     but makes the join key more selective.
     """
-    top = _frequent_attrs(documents, max_core + 1)
-    candidates = tuple(r["attr"] for r in top[:max_core])
-    any_hot = any(r["f_max"] > hot for r in top)
+    top, total = _frequent_attrs(documents, max_core + 1)
+    names = tuple(r["attr"] for r in top[:max_core])
+    more = len(top) > max_core
+    # No pair is more frequent than its attribute.
+    any_hot = more or any(r["most"] > hot for r in top)
     if len(top) <= SMALL_SCHEMA:
-        return Core(candidates, rest=False, index=False, hot=any_hot)
-    emitted = _replicated_rows(documents, candidates)
-    best, best_cost = 0, sum(r["candidates"] for r in top)
-    for p in range(1, len(candidates) + 1):
-        cost = emitted[p] + sum(r["candidates"] for r in top[p:])
+        return Core(names, rest=False, index=False, hot=any_hot)
+    emitted = _replicated_rows(documents, names)
+    candidates = _index_candidates(documents, names)
+    best, best_cost = 0, sum(candidates.values())
+    for p in range(1, len(names) + 1):
+        cost = emitted[p] + sum(candidates[a] for a in names[p:])
         if cost <= best_cost:
             best, best_cost = p, cost
-    rest = best < len(top)
+    rest = more or best < len(names)
     # One attribute that no document lacks gives every two documents a common one.
-    covered = best > 0 and documents.where(
-        (F.size("m") > 0) & ~F.map_contains_key("m", candidates[0])
-    ).isEmpty()
-    return Core(candidates[:best], rest, rest and not covered, any_hot or len(top) > max_core)
+    covered = best > 0 and top[0]["n"] == total
+    return Core(names[:best], rest, rest and not covered, any_hot)
 
 
 def hot_core(documents: DataFrame, max_core: int = MAX_CORE, hot: int = HOT) -> Core:
