@@ -76,16 +76,6 @@ def encode_pairs(pairs: Column, sep: str = "-") -> Column:
     return F.transform(pairs, lambda p: F.concat_ws(sep, p["attr"], p["val"]))
 
 
-def last_of_each_key(entries: Column) -> Column:
-    """Keep the last of several entries with one key (``ARRAY<STRUCT<key,value>>``)."""
-    keys = F.transform(entries, lambda e: e["key"])
-    n = F.size(keys)
-    deduped = F.filter(
-        entries, lambda e, i: (n - F.array_position(F.reverse(keys), e["key"])) == i.cast("bigint")
-    )
-    return F.when(F.size(F.array_distinct(keys)) == n, entries).otherwise(deduped)
-
-
 def map_pairs(m: Column) -> Column:
     """Map to its pairs, sorted by attribute: the canonical array form of a document."""
     return F.array_sort(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docweave.operators.pairs import shred
 from docweave.operators.positions import with_position
+from docweave.session import stage
 
 GROUP = ["g_attr", "g_val"]
 
@@ -33,17 +34,28 @@ def _doc_set_fingerprint() -> list[Column]:
 _SET = ["n_docs", "_lo", "_hi", "_x1", "_x2"]
 
 
-def equivalence_groups(documents: DataFrame) -> DataFrame:
-    """Pairs with the identical document set: ``(w, g_attr, g_val, n_docs, attr, val)``."""
+def _equivalence(documents: DataFrame) -> DataFrame:
     sets = shred(documents).groupBy("w", "attr", "val").agg(*_doc_set_fingerprint())
     # All members of a group occur together in each of its documents, so a group is no
     # larger than one document and the window below stays small.
     first = F.min(F.struct("attr", "val")).over(Window.partitionBy("w", *_SET))
     return sets.withColumn("_g", first).select(
-        "w", F.col("_g.attr").alias("g_attr"), F.col("_g.val").alias("g_val"), "n_docs", "attr", "val"
+        "w",
+        F.col("_g.attr").alias("g_attr"),
+        F.col("_g.val").alias("g_val"),
+        "n_docs",
+        "attr",
+        "val",
+        F.col("_lo").alias("lo"),
+        F.col("_hi").alias("hi"),
     )
 
 
+def equivalence_groups(documents: DataFrame) -> DataFrame:
+    """Pairs with the identical document set: ``(w, g_attr, g_val, n_docs, attr, val)``."""
+    return _equivalence(documents).drop("lo", "hi")
+
+
 def group_summary(groups: DataFrame) -> DataFrame:
     """One row per group: ``(w, g_attr, g_val, n_docs, n_pairs)``."""
     return groups.groupBy("w", *GROUP).agg(
@@ -74,60 +86,84 @@ def top_k_groups(groups: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _doc_groups(documents: DataFrame, groups: DataFrame) -> DataFrame:
-    """Per document its groups as sorted structs ``(neg, g_attr, g_val)``, largest first.
+def _first_candidates(documents: DataFrame, eq: DataFrame) -> DataFrame:
+    """Larger groups present in both the least and the greatest document of each group:
+    ``(w, g, cand)`` where there is any.
 
-    Only the first pair of each group is looked up, since the others occur in the same
-    documents.  The list per document is bounded by the document itself.
+    A group's containers occur in all of its documents, so two witnesses leave few
+    candidates, and decide everything for groups with one or two documents.  Structs are
+    ``(neg, g_attr, g_val)`` with ``neg`` the negative size, so their order is the group
+    order.  Only the first pair of a group is looked up; the others occur with it.
     """
-    names = groups.where("attr = g_attr AND val = g_val").select(
-        "w", "attr", "val", (-F.col("n_docs")).alias("neg")
+    names = eq.where("attr = g_attr AND val = g_val").select(
+        "w", "attr", "val", (-F.col("n_docs")).alias("neg"), "lo", "hi"
     )
-    member = F.struct("neg", F.col("attr").alias("g_attr"), F.col("val").alias("g_val"))
-    return (
+    name = F.struct("neg", F.col("attr").alias("g_attr"), F.col("val").alias("g_val"))
+    # Per document: its groups, and which of them it is a witness of.
+    per_doc = (
         shred(documents)
         .join(names, ["w", "attr", "val"])
         .groupBy("w", "doc")
-        .agg(F.array_sort(F.collect_list(member)).alias("gs"))
+        .agg(
+            F.array_sort(F.collect_list(name)).alias("gs"),
+            F.collect_list(F.when((F.col("doc") == F.col("lo")) | (F.col("doc") == F.col("hi")), name)).alias("of"),
+        )
+    )
+    return (
+        per_doc.select("w", "gs", F.explode("of").alias("g"))
+        .select("w", "g", F.expr("filter(gs, h -> h.neg < g.neg)").alias("larger"))
+        .groupBy("w", "g")
+        .agg(F.collect_list("larger").alias("seen"))
+        .select("w", "g", F.array_intersect(F.col("seen")[0], F.element_at("seen", -1)).alias("cand"))
+        .where(F.size("cand") > 0)
     )
 
 
-def absorbers(documents: DataFrame, groups: DataFrame) -> DataFrame:
+def absorbers(documents: DataFrame, eq: DataFrame) -> DataFrame:
     """For each group whose documents are a strict subset of another's: the first such
     other group in order, ``(w, g_attr, g_val, into)``.
 
     The first container in order is never itself contained in another one, since that
-    would be larger and come earlier; so one pass settles all groups.  Groups with one
-    document read their container off that document.  For the others, common documents
-    are counted per (group, larger group) met inside a document, combined before the
-    shuffle.
+    would be larger and come earlier; so one pass settles all groups.  For candidates
+    that two witnesses cannot decide, common documents are counted, combined before the
+    shuffle, and compared with the size of the smaller group.
     """
-    per_doc = _doc_groups(documents, groups)
-    single = (
-        per_doc.select("w", "gs", F.explode("gs").alias("g"))
-        .where((F.col("g.neg") == -1) & (F.col("gs")[0]["neg"] < -1))
-        .select("w", "g.g_attr", "g.g_val", F.col("gs")[0].alias("into"))
+    found = stage(_first_candidates(documents, eq))
+    settled = found.where("g.neg >= -2").select("w", "g", F.array_min("cand").alias("into"))
+    unsure = found.where("g.neg < -2")
+    none = F.lit(None).cast(found.schema["cand"].dataType).alias("cand")
+    names = (
+        unsure.select("w", "g.g_attr", "g.g_val", "cand", F.col("g.neg").alias("neg"))
+        .unionByName(
+            unsure.select("w", F.explode("cand").alias("h")).distinct().select("w", "h.g_attr", "h.g_val", none, "h.neg")
+        )
+        .groupBy("w", F.col("g_attr").alias("attr"), F.col("g_val").alias("val"), "neg")
+        .agg(F.first("cand", ignorenulls=True).alias("cand"))
     )
-    met = (
-        per_doc.select("w", F.filter("gs", lambda g: g["neg"] < -1).alias("gs"))
-        .select("w", "gs", F.explode("gs").alias("g"))
-        .select("w", "g", F.explode(F.expr("filter(gs, h -> h.neg < g.neg)")).alias("h"))
+    member = F.struct("neg", F.col("attr").alias("g_attr"), F.col("val").alias("g_val"))
+    counted = (
+        shred(documents)
+        .join(names, ["w", "attr", "val"])
+        .groupBy("w", "doc")
+        .agg(
+            F.collect_list(member).alias("gs"),
+            F.collect_list(F.when(F.col("cand").isNotNull(), F.struct(member.alias("g"), "cand"))).alias("open"),
+        )
+        .select("w", "gs", F.explode("open").alias("o"))
+        .select("w", "o.g", F.explode(F.array_intersect("o.cand", "gs")).alias("h"))
         .groupBy("w", "g", "h")
         .agg(F.count(F.lit(1)).alias("n"))
-    )
-    several = (
-        met.where(F.col("n") == -F.col("g.neg"))
+        .where(F.col("n") == -F.col("g.neg"))
         .groupBy("w", "g")
         .agg(F.min("h").alias("into"))
-        .select("w", "g.g_attr", "g.g_val", "into")
     )
-    return single.unionByName(several)
+    return settled.unionByName(counted).select("w", "g.g_attr", "g.g_val", "into")
 
 
 def association_groups(documents: DataFrame) -> DataFrame:
     """Equivalence groups with contained groups absorbed by the first larger one:
     ``(w, g_attr, g_val, n_docs, attr, val)`` with the absorber's name and documents."""
-    eq = equivalence_groups(documents)
+    eq = stage(_equivalence(documents))
     into = absorbers(documents, eq)
     return eq.join(into, ["w", *GROUP], "left").select(
         "w",

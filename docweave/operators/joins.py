@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import values as V
+from docweave.operators.pairs import explode_pairs
 from docweave.operators.stats import BLOCK
 from docweave.plans.core_attributes import (
+    FREQUENT,
     HOT,
     MAX_CORE,
     Core,
@@ -136,7 +138,7 @@ def _index_couples(left: DataFrame, right: DataFrame, core: Core, by: list[str],
     """
 
     def postings(df: DataFrame) -> DataFrame:
-        return df.drop("vals").select("*", F.explode("rest").alias("attr", "val"))
+        return explode_pairs(df.drop("vals"), ["*"], F.col("rest"))
 
     keys = [*by, "attr", "val"]
     l, r = postings(left), postings(right)
@@ -194,13 +196,13 @@ def natural_join(documents: DataFrame, core: Core | None = None, shared: bool =
     return _ordered(couples(documents, None, core, cell=cell), shared)
 
 
-def natural_join_index(documents: DataFrame, shared: bool = False, cell: int = HOT) -> DataFrame:
+def natural_join_index(documents: DataFrame, shared: bool = False, frequent: int = FREQUENT, cell: int = HOT) -> DataFrame:
     """Inverted-index join: candidates share a pair.
 
-    Attributes with a pair carried by more than ``cell`` documents of a window become
-    join keys instead, so no posting list longer than that is enumerated.
+    Attributes with a pair carried by more than ``frequent`` documents of a window become
+    join keys instead, so posting lists longer than that are not enumerated.
     """
-    return _ordered(couples(documents, None, hot_core(documents, hot=cell), cell=cell), shared)
+    return _ordered(couples(documents, None, hot_core(documents, hot=frequent), cell=cell), shared)
 
 
 def natural_join_universal(documents: DataFrame, shared: bool = False, cell: int = HOT) -> DataFrame:

@@ -14,19 +14,42 @@ def shred(documents: DataFrame) -> DataFrame:
     No shuffle: a document is one row and its map holds each attribute once, so the
     exploded pairs are already distinct.
     """
-    return documents.select("w", "doc", F.explode("m").alias("attr", "val"))
+    return explode_pairs(documents, ["w", "doc"], F.col("m"))
 
 
-def normalise_map(entries: Column, nulls: str = "text") -> Column:
-    """Raw ``ARRAY<STRUCT<key,value>>`` to a document map: trimmed, never NULL, last key wins."""
+def explode_pairs(df: DataFrame, keep: list[str | Column], m: Column) -> DataFrame:
+    """One row per entry of the map ``m``, with columns ``attr`` and ``val``.
+
+    The outer form with a filter behind it gives the same rows as a plain explode, but
+    stops the optimizer from adding a "map is not empty" filter below, which would build
+    the map (or parse its JSON) a second time for every row.
+    """
+    return df.select(*keep, F.explode_outer(m).alias("attr", "val")).where("attr IS NOT NULL")
+
+
+def with_normal_map(df: DataFrame, entries: Column, nulls: str = "text") -> DataFrame:
+    """Add the document map ``m`` from raw ``ARRAY<STRUCT<key,value>>``: both sides trimmed,
+    values never NULL, the last of repeated keys kept.
+
+    Done in steps, each column used several times by the next, so that every step is
+    computed once per row.
+    """
     trimmed = F.transform(
         entries,
         lambda e: F.struct(
             F.trim(e["key"]).alias("key"), V.canonical_value(e["value"], nulls).alias("value")
         ),
     )
-    kept = F.filter(V.last_of_each_key(trimmed), lambda e: e["value"].isNotNull())
-    return F.map_from_entries(kept)
+    steps = df.withColumn("_entries", trimmed).withColumn(
+        "_keys", F.reverse(F.transform("_entries", lambda e: e["key"]))
+    )
+    # In the reversed key list the first match of a key is its last occurrence.
+    is_last = lambda e, i: F.size("_keys") - F.array_position("_keys", e["key"]) == i
+    last = F.when(F.size(F.array_distinct("_keys")) == F.size("_keys"), F.col("_entries")).otherwise(
+        F.filter("_entries", is_last)
+    )
+    kept = F.filter(last, lambda e: e["value"].isNotNull())
+    return steps.withColumn("m", F.map_from_entries(kept)).drop("_entries", "_keys")
 
 
 def to_document(pairs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.operators.pairs import shred
+from docweave.operators.pairs import explode_pairs, shred
 
 UNSEEN_THRESHOLD = 3  # fixed value: documents with an unseen pair before it is added
 
@@ -18,7 +18,7 @@ def _routed_pairs(documents: DataFrame, composite_only: bool) -> DataFrame:
     if composite_only and "composite" in has:
         only = F.map_filter("m", lambda k, _: k == F.col("composite"))
         m = F.when(F.col("composite").isNotNull(), only).otherwise(m)
-    return documents.select("w", "doc", flag.alias("route_all"), F.explode(m).alias("attr", "val"))
+    return explode_pairs(documents, ["w", "doc", flag.alias("route_all")], m)
 
 
 def route(
@@ -55,10 +55,9 @@ def unseen_counts(documents: DataFrame, table: DataFrame, threshold: int = UNSEE
 
     Composite pairs are exempt.
     """
-    pairs = documents.select(
-        "w", F.explode("m").alias("attr", "val"), *(["composite"] if "composite" in documents.columns else [])
-    )
-    if "composite" in documents.columns:
+    expanded = "composite" in documents.columns
+    pairs = explode_pairs(documents, ["w", "composite"] if expanded else ["w"], F.col("m"))
+    if expanded:
         pairs = pairs.where(F.col("composite").isNull() | (F.col("attr") != F.col("composite")))
     counts = pairs.groupBy("w", "attr", "val").agg(F.count(F.lit(1)).alias("n_docs"))
     return counts.join(table, ["w", "attr", "val"], "left_anti").withColumn(

@@ -19,7 +19,8 @@ from docweave.operators.stats import pair_counts, universal_attrs
 
 MAX_CORE = 16
 SMALL_SCHEMA = 5
-HOT = 4096
+HOT = 4096  # documents per key above which a join key is split into cells
+FREQUENT = 256  # documents per pair above which the index join takes its attribute as key
 
 
 @dataclass(frozen=True)
@@ -121,8 +122,11 @@ def choose_core(documents: DataFrame, max_core: int = MAX_CORE, hot: int = HOT)
     return Core(names[:best], rest, rest and not covered, any_hot)
 
 
-def hot_core(documents: DataFrame, max_core: int = MAX_CORE, hot: int = HOT) -> Core:
-    """Core of the index join: only attributes with a pair too frequent to enumerate."""
+def hot_core(documents: DataFrame, max_core: int = MAX_CORE, hot: int = FREQUENT) -> Core:
+    """Core of the index join: only attributes with a pair too frequent to enumerate.
+
+    Keys made of them may hold many documents, so they are split like any hot key.
+    """
     per_attr = (
         pair_counts(documents).groupBy("attr").agg(F.max("n_docs").alias("f_max"))
     )

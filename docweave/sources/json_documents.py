@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import values as V
-from docweave.operators.pairs import normalise_map
+from docweave.operators.pairs import with_normal_map
 from docweave.session import stage
 
 # One attribute of an object, before its map is built.  ``kind`` is the first letters of
@@ -14,30 +14,37 @@ from docweave.session import stage
 ENTRY = "struct<key:string,value:string,kind:string>"
 
 
+STRICT = {"mode": "FAILFAST"}
+
+
 def _entries(text: Column, objects: str) -> tuple[Column, Column]:
     """Parse JSON text twice: values as text, and values as variants for their kinds.
 
     Text keeps ``1`` and ``1.0`` apart, which a variant does not; a variant tells the
     object ``{"x":1}`` from a string with the same characters, which text does not.
+    Malformed text fails the job rather than losing documents.  Variants refuse repeated
+    keys in nested objects; kinds are then missing and guessed from the text.
     """
-    if objects == "array":
-        return F.from_json(text, "array<map<string,string>>"), F.from_json(text, "array<map<string,variant>>")
-    return F.from_json(text, "map<string,string>"), F.from_json(text, "map<string,variant>")
+    shape = "array<map<string,{}>>" if objects == "array" else "map<string,{}>"
+    return F.from_json(text, shape.format("string"), STRICT), F.from_json(text, shape.format("variant"))
 
 
 def _with_kinds(texts: Column, variants: Column) -> Column:
     """Zip the two parses of one object into ``ARRAY<ENTRY>``."""
     kinds = F.transform(F.map_entries(variants), lambda e: F.schema_of_variant(e["value"]))
+    kinds = F.coalesce(kinds, F.array().cast("array<string>"))
+    both = F.arrays_zip(F.map_entries(texts).alias("t"), kinds.alias("k"))
     return F.transform(
-        F.map_entries(texts),
-        lambda e, i: F.struct(
-            e["key"].alias("key"), e["value"].alias("value"), F.try_element_at(kinds, i + 1).alias("kind")
+        both,
+        lambda z: F.struct(
+            z["t"]["key"].alias("key"), z["t"]["value"].alias("value"), z["k"].alias("kind")
         ),
     )
 
 
 def _is_object(e: Column) -> Column:
-    return F.coalesce(e["kind"].startswith("OBJECT"), F.lit(False))
+    known = e["kind"].startswith("OBJECT")
+    return F.coalesce(known, e["value"].startswith("{"), F.lit(False))
 
 
 def _canonical_object(text: Column) -> Column:
@@ -79,11 +86,12 @@ def _children_or_self(e: Column) -> Column:
     return F.when(_is_object(e), F.coalesce(children, F.array().cast(f"array<{ENTRY}>"))).otherwise(F.array(e))
 
 
-def document_map(
-    entries: Column, nested: str = "drop", nulls: str = "text", set_attrs: tuple[str, ...] = (), depth: int = 4
-) -> Column:
-    """``ARRAY<ENTRY>`` to the document map: nesting, set-valued attributes, text, last key."""
-    kept = nested_policy(entries, nested, depth)
+def with_document_map(
+    df: DataFrame, nested: str = "drop", nulls: str = "text", set_attrs: tuple[str, ...] = (), depth: int = 4
+) -> DataFrame:
+    """Column ``e ARRAY<ENTRY>`` to the document map ``m``: nesting, set-valued attributes,
+    text, last key."""
+    kept = nested_policy(F.col("e"), nested, depth)
     if set_attrs:
         kept = F.transform(
             kept,
@@ -94,17 +102,18 @@ def document_map(
                 .alias("value"),
             ),
         )
-    return normalise_map(kept, nulls)
+    return with_normal_map(df, kept, nulls).drop("e")
 
 
 def parse_documents(texts: DataFrame, layout: str = "array", id_attr: str | None = None, **rules) -> DataFrame:
     """Rows ``(file, value)`` of JSON text to ``(doc, file, m)``, one row per object.
 
     The id is ``file#position`` for arrays; ``id_attr`` takes it from an attribute instead.
-    ``rules`` go to ``document_map``.
+    ``rules`` go to ``with_document_map``.
     """
     if layout == "array":
         text, variant = _entries(F.col("value"), "array")
+        variant = F.coalesce(variant, F.array().cast("array<map<string,variant>>"))
         parsed = F.posexplode(F.arrays_zip(text.alias("t"), variant.alias("v")))
         objects = texts.select("file", parsed.alias("pos", "_o")).select(
             F.concat_ws("#", "file", "pos").alias("doc"),
@@ -113,12 +122,12 @@ def parse_documents(texts: DataFrame, layout: str = "array", id_attr: str | None
         )
     else:
         # One object per line, with or without the brackets and commas of an array.
-        body = F.regexp_replace("value", r"^\s*[\[,]?\s*|\s*[,\]]?\s*$", "")
+        body = F.regexp_replace(F.regexp_replace("value", r"^\s*[\[,]?\s*", ""), r"\s*[,\]]?\s*$", "")
         lines = texts.withColumn("value", body).where("value != ''")
         text, variant = _entries(F.col("value"), "one")
         doc = F.col("doc") if "doc" in texts.columns else F.lit(None).cast("string")
         objects = lines.select(doc.alias("doc"), "file", _with_kinds(text, variant).alias("e"))
-    documents = objects.select("doc", "file", document_map(F.col("e"), **rules).alias("m"))
+    documents = with_document_map(objects, **rules)
     if id_attr:
         documents = documents.withColumn("doc", F.try_element_at("m", F.lit(id_attr))).withColumn(
             "m", F.map_filter("m", lambda k, _: k != id_attr)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import values as V
 from docweave.operators.joins import common_key
+from docweave.operators.pairs import explode_pairs
 from docweave.plans.core_attributes import shape_mask
 
 MAX_STREAM_CORE = 5
@@ -63,7 +64,7 @@ def stream_natural_join(
     if len(core) > MAX_STREAM_CORE:
         raise ValueError(f"core may name at most {MAX_STREAM_CORE} attributes")
     docs = _windowed(documents, duration, delay, core)
-    postings = docs.select("win", "doc", "mask", "rest", F.explode("rest").alias("attr", "val"))
+    postings = explode_pairs(docs, ["win", "doc", "mask", "rest"], F.col("rest"))
     rest = _meet(postings, postings, ["attr", "val"]).where(
         (F.col("doc_a") < F.col("doc_b"))
         & ((F.col("mask_a").bitwiseAND(F.col("mask_b"))) == 0)
