@@ -107,7 +107,9 @@ def choose_core(documents: DataFrame, max_core: int = MAX_CORE, hot: int = HOT)
     more = len(top) > max_core
     # No pair is more frequent than its attribute.
     any_hot = more or any(r["most"] > hot for r in top)
-    if len(top) <= SMALL_SCHEMA:
+    if not top:
+        return Core(())
+    if len(top) <= min(SMALL_SCHEMA, max_core):
         return Core(names, rest=False, index=False, hot=any_hot)
     emitted = _replicated_rows(documents, names)
     candidates = _index_candidates(documents, names)
