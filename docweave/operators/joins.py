@@ -27,6 +27,7 @@ from docweave.plans.core_attributes import (
     shape_mask,
     universal_core,
 )
+from docweave.session import stage
 
 
 def _sides(documents: DataFrame, core: Core, by: list[str], keep: list[str]) -> DataFrame:
@@ -213,12 +214,12 @@ def natural_join_universal(documents: DataFrame, shared: bool = False, cell: int
 def natural_join_partitioned(documents: DataFrame, routes: DataFrame, core: Core | None = None, cell: int = HOT) -> DataFrame:
     """Join inside each partition of ``routes (w, doc, pids)`` and unite the results.
 
-    A couple meeting in several partitions is emitted in the smallest common one.
+    A couple meeting in several partitions is emitted in the smallest common one.  The
+    routed documents are staged, one row each, because the join reads them several times.
     """
     core = core or choose_core(documents, hot=cell)
-    placed = documents.join(routes.select("w", "doc", "pids"), ["w", "doc"]).withColumn(
-        "pid", F.explode("pids")
-    )
+    routed = stage(documents.select("w", "doc", "m").join(routes.select("w", "doc", "pids"), ["w", "doc"]))
+    placed = routed.withColumn("pid", F.explode("pids"))
     joined = couples(placed, None, core, by=("w", "pid"), keep=("pids",), cell=cell)
     first = F.array_min(F.array_intersect("pids_a", "pids_b"))
     return _ordered(joined.where(F.col("pid") == first), False)

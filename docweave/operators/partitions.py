@@ -15,7 +15,7 @@ from docweave.operators.groups import GROUP, order_groups
 from docweave.operators.pairs import shred
 from docweave.session import stage
 
-MAX_EXACT_ROWS = 5_000_000
+MAX_EXACT_ROWS = 2_000_000  # (group, document) rows of a window that one task may hold
 
 _SEGMENTS = "w long, n_docs long, start long, segs array<struct<from:long,pids:array<int>>>"
 
@@ -79,6 +79,8 @@ def _assign_additive(ordered: DataFrame, k: int) -> DataFrame:
 
 
 def _fold_documents(k: int):
+    """One window's groups given out in order, loads counted in distinct documents."""
+
     def fold(batches: pd.DataFrame) -> pd.DataFrame:
         batches = batches.sort_values("pos", kind="stable")
         codes, docs = pd.factorize(batches["doc"])
@@ -93,7 +95,7 @@ def _fold_documents(k: int):
             loads[pid] += int((~held[pid, members]).sum())
             held[pid, members] = True
             pids[g] = pid
-        out = batches.iloc[bounds][["w", *GROUP]].copy()
+        out = batches.iloc[bounds][["w", "pos"]].copy()
         out["pid"] = pids
         return out
 
@@ -138,9 +140,11 @@ def assign_partitions(
     small = ordered.join(size.where(F.col("_rows") <= max_rows).select("w"), "w", "left_semi")
     large = ordered.join(size.where(F.col("_rows") > max_rows).select("w"), "w", "left_semi")
     members = _group_documents(documents, groups).join(small.select("w", *GROUP, "pos"), ["w", *GROUP])
-    exact = members.groupBy("w").applyInPandas(
-        _fold_documents(k), "w long, g_attr string, g_val string, pid int"
+    # Only positions and ids travel to Python; names are joined back afterwards.
+    pids = members.select("w", "pos", "doc").groupBy("w").applyInPandas(
+        _fold_documents(k), "w long, pos long, pid int"
     )
+    exact = small.join(pids, ["w", "pos"]).select("w", *GROUP, "pid")
     return exact.unionByName(_assign_additive(large, k))
 
 

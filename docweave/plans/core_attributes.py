@@ -96,6 +96,19 @@ def _replicated_rows(documents: DataFrame, attrs: tuple[str, ...]) -> dict[int,
     return {r["p"]: r["rows"] for r in shapes.groupBy("p").agg(F.sum("rows").alias("rows")).collect()}
 
 
+def _cheapest_prefix(documents: DataFrame, names: tuple[str, ...]) -> int:
+    """How many of ``names`` to take so that emitted shape rows plus index candidates
+    through the others are fewest."""
+    emitted = _replicated_rows(documents, names)
+    candidates = _index_candidates(documents, names)
+    best, best_cost = 0, sum(candidates.values())
+    for p in range(1, len(names) + 1):
+        cost = emitted[p] + sum(candidates[a] for a in names[p:])
+        if cost <= best_cost:
+            best, best_cost = p, cost
+    return best
+
+
 def choose_core(documents: DataFrame, max_core: int = MAX_CORE, hot: int = HOT) -> Core:
     """Core that minimises emitted shape rows plus index candidates.
 
@@ -111,13 +124,7 @@ def choose_core(documents: DataFrame, max_core: int = MAX_CORE, hot: int = HOT)
         return Core(())
     if len(top) <= min(SMALL_SCHEMA, max_core):
         return Core(names, rest=False, index=False, hot=any_hot)
-    emitted = _replicated_rows(documents, names)
-    candidates = _index_candidates(documents, names)
-    best, best_cost = 0, sum(candidates.values())
-    for p in range(1, len(names) + 1):
-        cost = emitted[p] + sum(candidates[a] for a in names[p:])
-        if cost <= best_cost:
-            best, best_cost = p, cost
+    best = _cheapest_prefix(documents, names)
     rest = more or best < len(names)
     # One attribute that no document lacks gives every two documents a common one.
     covered = best > 0 and top[0]["n"] == total
@@ -125,16 +132,17 @@ def choose_core(documents: DataFrame, max_core: int = MAX_CORE, hot: int = HOT)
 
 
 def hot_core(documents: DataFrame, max_core: int = MAX_CORE, hot: int = FREQUENT) -> Core:
-    """Core of the index join: only attributes with a pair too frequent to enumerate.
+    """Core of the index join: only attributes with a pair too frequent to enumerate, most
+    frequent pair first, as far as taking them pays off.
 
     Keys made of them may hold many documents, so they are split like any hot key.
     """
-    per_attr = (
-        pair_counts(documents).groupBy("attr").agg(F.max("n_docs").alias("f_max"))
-    )
+    per_attr = pair_counts(documents).groupBy("attr").agg(F.max("n_docs").alias("f_max"))
     top = per_attr.where(F.col("f_max") > hot).orderBy(F.desc("f_max"), F.asc("attr"))
-    rows = top.limit(max_core + 1).collect()
-    return Core(tuple(r["attr"] for r in rows[:max_core]), rest=True, hot=bool(rows))
+    names = tuple(r["attr"] for r in top.limit(max_core).collect())
+    if len(names) > SMALL_SCHEMA:
+        names = names[: _cheapest_prefix(documents, names)]
+    return Core(names, rest=True, hot=bool(names))
 
 
 def universal_core(documents: DataFrame, max_core: int = MAX_CORE, hot: int = HOT) -> Core:
@@ -151,6 +159,11 @@ def universal_core(documents: DataFrame, max_core: int = MAX_CORE, hot: int = HO
         .collect()
     )
     windows = documents.where(F.size("m") > 0).select("w").distinct().count()
-    index = not seen or seen[0]["windows"] < windows
+    everywhere = [r for r in seen if r["windows"] == windows]
+    # Attributes universal only in some windows may form many shapes in the others.
+    names = tuple(r["attr"] for r in seen)
+    if len(seen) - len(everywhere) > SMALL_SCHEMA:
+        names = names[: max(len(everywhere), _cheapest_prefix(documents, names))]
+    index = not everywhere
     any_hot = index or any(r["most_docs"] > hot for r in seen)
-    return Core(tuple(r["attr"] for r in seen), rest=True, index=index, hot=any_hot)
+    return Core(names, rest=True, index=index, hot=any_hot)

@@ -60,6 +60,6 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = documents_from_table(
         table(spark, sf_dir, "supplier"),
         F.concat(F.lit("s"), F.col("s_suppkey")),
-        {"nationkey": "s_nationkey", "name": "s_name"},
+        {"nationkey": "s_nationkey", "supplier": "s_name"},
     )
     return nations.unionByName(suppliers)

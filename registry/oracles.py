@@ -358,7 +358,7 @@ FROM flagged GROUP BY 1""",
   UNION ALL SELECT 0, 'n' || n_nationkey, 'name', n_name FROM nation
   UNION ALL SELECT 0, 'n' || n_nationkey, 'regionkey', CAST(n_regionkey AS VARCHAR) FROM nation
   UNION ALL SELECT 0, 's' || s_suppkey, 'nationkey', CAST(s_nationkey AS VARCHAR) FROM supplier
-  UNION ALL SELECT 0, 's' || s_suppkey, 'name', s_name FROM supplier), {JOINED}
+  UNION ALL SELECT 0, 's' || s_suppkey, 'supplier', s_name FROM supplier), {JOINED}
 SELECT w, a, b FROM joined""",
     "join_turns": f"""WITH pairs AS (
   SELECT conv_id // 100 AS w, conv_id || '#' || turn AS doc, 'conv' AS attr, CAST(conv_id AS VARCHAR) AS val FROM conversations
