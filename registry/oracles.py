@@ -294,7 +294,7 @@ FROM (SELECT DISTINCT w FROM docs) d LEFT JOIN chosen c ON c.w = d.w GROUP BY d.
     "eq_groups": f"WITH {PAIRS}, {equivalence()} SELECT w, g_attr, g_val, n_docs, attr, val FROM eq",
     "group_order": f"WITH {PAIRS}, {equivalence()}, {ordered('eq')} SELECT w, g_attr, g_val, n_docs, n_pairs, pos FROM ordered",
     "assoc_groups": f"WITH {PAIRS}, {association()} SELECT w, g_attr, g_val, n_docs, attr, val FROM ag",
-    "top_groups": f"""WITH {PAIRS}, {AG}
+    "partition_top_k": f"""WITH {PAIRS}, {AG}
 SELECT w, g_attr, g_val, n_docs, n_pairs, pos + 1 AS rank FROM ordered WHERE pos < {K}""",
     "assoc_groups_local": f"WITH {LOCAL} SELECT w, shard, g_attr, g_val, n_docs, attr, val FROM local",
     "assoc_groups_collected": f"""WITH {PAIRS},
@@ -311,7 +311,7 @@ FROM kept k JOIN gdocs g ON g.w = k.w AND g.shard = k.shard AND g.g_attr = k.g_a
 WINDOW same AS (PARTITION BY k.w, g.docs ORDER BY k.attr, k.val)""",
     "partition_assign": f"WITH RECURSIVE {PAIRS}, {AG}, {FOLD} SELECT w, g_attr, g_val, pid FROM fold",
     "partition_assign_distinct": f"WITH RECURSIVE {PAIRS}, {AG}, {FOLD_DISTINCT} SELECT w, g_attr, g_val, pid FROM fold",
-    "partition_pairs": f"WITH {BASE} SELECT w, attr, val, pid FROM tab",
+    "partition_table": f"WITH {BASE} SELECT w, attr, val, pid FROM tab",
     "partition_load": f"WITH {OWN} SELECT w, pid, count(*) AS n_docs FROM own GROUP BY w, pid",
     "partition_idle": f"""WITH {OWN}, l AS (SELECT w, pid, count(*) AS n_docs FROM own GROUP BY w, pid)
 SELECT w, pid, n_docs FROM l QUALIFY row_number() OVER (PARTITION BY w ORDER BY n_docs, pid DESC) = 1""",

@@ -17,7 +17,8 @@ from docweave.operators import quality as Q
 from docweave.operators import routing as R
 from docweave.operators import stats as S
 from docweave.operators import windows as W
-from docweave.plans.partitioning import Options, build_table, repartition_replay
+from docweave.plans import partitioning
+from docweave.plans.partitioning import Options, build_table
 from docweave.session import stage, stage_dir
 from docweave.sources import json_documents as JD
 from docweave.sources import sinks
@@ -304,7 +305,7 @@ def assoc_groups(spark, sf):
 
 
 @query
-def top_groups(spark, sf):
+def partition_top_k(spark, sf):
     return G.top_k_groups(G.association_groups(mixed_events(spark, sf)), K)
 
 
@@ -363,7 +364,7 @@ def _own_routes(spark, sf, docs=None):
 
 
 @query
-def partition_pairs(spark, sf):
+def partition_table(spark, sf):
     return _snake_table(spark, sf).withColumn("pid", F.col("pid").cast("bigint"))
 
 
@@ -500,9 +501,9 @@ def repartition_causes(spark, sf):
 
 
 @query
-def repartition_windows(spark, sf):
+def repartition_replay(spark, sf):
     """Table version, quality and cause per window of 2,500 events."""
-    return repartition_replay(mixed_events(spark, sf, 2500), Options(k=K))
+    return partitioning.repartition_replay(mixed_events(spark, sf, 2500), Options(k=K))
 
 
 # --- joins -----------------------------------------------------------------------------

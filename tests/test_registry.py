@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 import check
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"repartition_windows"}
+ROWS_ONLY = {"repartition_replay"}
 
 
 @pytest.fixture(scope="module")
