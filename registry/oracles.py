@@ -374,15 +374,16 @@ SELECT d.w, CAST(d.doc AS VARCHAR) AS "DocumentID",
 FROM docs d LEFT JOIN both_ways s ON s.w = d.w AND s.doc = d.doc GROUP BY d.w, d.doc""",
     "join_table": f"WITH {PAIRS}, {JOINED} SELECT w, a, b FROM joined",
     "join_probe": f"""WITH {PAIRS}, {JOINED}, {SYMMETRIC}
-SELECT w, doc, partner FROM both_ways WHERE doc % 10 = 0""",
+SELECT w, doc, partner FROM both_ways""",
     "join_merged": f"""WITH {ORDERS}, {JOINED}
 SELECT j.w, j.a, j.b, p.attr, p.val FROM joined j JOIN pairs p ON p.w = j.w AND (p.doc = j.a OR p.doc = j.b)
 GROUP BY j.w, j.a, j.b, p.attr, p.val""",
     "set_ops": f"""WITH {PAIRS},
-even AS (SELECT w, attr, val FROM pairs WHERE doc % 2 = 0), odd AS (SELECT w, attr, val FROM pairs WHERE doc % 2 = 1)
-SELECT *, 'union' AS op FROM (SELECT * FROM even UNION SELECT * FROM odd)
-UNION ALL SELECT *, 'both' FROM (SELECT * FROM even INTERSECT SELECT * FROM odd)
-UNION ALL SELECT *, 'first' FROM (SELECT * FROM even EXCEPT SELECT * FROM odd)""",
+known AS (SELECT w, attr, val FROM pairs WHERE doc IN (SELECT doc FROM pairs WHERE attr = 'user')),
+unknown AS (SELECT w, attr, val FROM pairs WHERE doc NOT IN (SELECT doc FROM pairs WHERE attr = 'user'))
+SELECT *, 'union' AS op FROM (SELECT * FROM known UNION SELECT * FROM unknown)
+UNION ALL SELECT *, 'both' FROM (SELECT * FROM known INTERSECT SELECT * FROM unknown)
+UNION ALL SELECT *, 'first' FROM (SELECT * FROM known EXCEPT SELECT * FROM unknown)""",
     "stream_join": f"WITH {PAIRS.replace('pairs AS', 'base AS', 1)}, {DAY}, {JOINED} SELECT w, a, b FROM joined",
     "stream_join_index": f"WITH {PAIRS.replace('pairs AS', 'base AS', 1)}, {DAY}, {JOINED} SELECT w, a, b FROM joined",
     "stream_batches": f"WITH {PAIRS}, {JOINED} SELECT w, a, b FROM joined",

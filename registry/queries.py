@@ -611,9 +611,9 @@ def join_table(spark, sf):
 
 @query
 def join_probe(spark, sf):
-    """Partners of every tenth document."""
+    """Partners of every document, looked up rather than self-joined."""
     docs = mixed_events(spark, sf)
-    return J.joinable_with(docs.where("doc % 10 = 0"), docs)
+    return J.joinable_with(docs, docs)
 
 
 @query
@@ -625,13 +625,14 @@ def join_merged(spark, sf):
 
 @query
 def set_ops(spark, sf):
-    """Pairs of even and odd documents: united, in both, in the first only."""
+    """Pairs of documents with and without a user: united, in both, in the first only."""
     docs = mixed_events(spark, sf)
-    even, odd = (P.shred(docs.where(F.col("doc") % 2 == r)).select("w", "attr", "val") for r in (0, 1))
+    has_user = F.map_contains_key("m", "user")
+    known, unknown = (P.shred(docs.where(c)).select("w", "attr", "val") for c in (has_user, ~has_user))
     named = [
-        ("union", P.pair_union(even, odd)),
-        ("both", P.pair_intersection(even, odd)),
-        ("first", P.pair_difference(even, odd)),
+        ("union", P.pair_union(known, unknown)),
+        ("both", P.pair_intersection(known, unknown)),
+        ("first", P.pair_difference(known, unknown)),
     ]
     out = [df.withColumn("op", F.lit(op)) for op, df in named]
     return out[0].unionByName(out[1]).unionByName(out[2])

@@ -23,7 +23,7 @@ def spark():
     session = (
         SparkSession.builder.master("local[8]")
         .appName("docweave-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "3")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

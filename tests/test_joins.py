@@ -24,7 +24,7 @@ def rows_of(windows) -> list:
     return [(w, 100 * w + i, m) for w, docs in enumerate(windows) for i, m in enumerate(docs)]
 
 
-@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=2, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(WINDOW, min_size=15, max_size=30))
 def test_every_core_gives_the_definition(make_documents, windows):
     rows = rows_of(windows)
@@ -80,8 +80,7 @@ def test_shared_counts(random_docs, random_rows, want):
         assert r["n_shared"] == len(maps[r["a"]].items() & maps[r["b"]].items())
 
 
-@pytest.mark.parametrize("k", [1, 2, 8])
-@pytest.mark.parametrize("unseen", ["broadcast", "hash"])
+@pytest.mark.parametrize(("k", "unseen"), [(1, "broadcast"), (8, "broadcast"), (2, "hash"), (8, "hash")])
 def test_partitioned_join(random_docs, want, k, unseen):
     options = Options(k=k, shards=3, window_size=30)
     routes = route(random_docs, build_table(random_docs, options), k, unseen)
