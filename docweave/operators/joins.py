@@ -190,6 +190,7 @@ def _ordered(joined: DataFrame, shared: bool) -> DataFrame:
 def natural_join(documents: DataFrame, core: Core | None = None, shared: bool = False, max_core: int = MAX_CORE, cell: int = HOT) -> DataFrame:
     """All joinable couples per window, with the core chosen by cost.
 
+    Ids must be unique within a window; ``dedupe_documents`` makes them so.
     Pass ``core`` to reuse an earlier choice and skip the statistics jobs.
     ``shared=True`` adds ``n_shared``, the number of equal pairs of the couple.
     """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from docweave.operators.positions import with_position
 
@@ -28,11 +29,18 @@ def count_window(
     return placed.withColumn("w", F.floor(F.col("_pos") / F.lit(n)).cast("bigint")).drop("_pos")
 
 
+def utc_instant(ts: Column) -> Column:
+    """A timestamp without time zone read as UTC, whatever the session's time zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, ts))
+
+
 def time_window(df: DataFrame, ts: str | Column, duration: str = "3 minutes") -> DataFrame:
     """Window id from event time: start of the tumbling window in epoch seconds."""
     ts = F.col(ts) if isinstance(ts, str) else ts
-    start = F.window(ts.cast("timestamp"), duration)["start"]
-    return df.withColumn("w", F.unix_timestamp(start))
+    if isinstance(df.select(ts).schema[0].dataType, TimestampNTZType):
+        ts = utc_instant(ts)
+    return df.withColumn("w", F.unix_timestamp(F.window(ts, duration)["start"]))
 
 
 def window_counts(documents: DataFrame, *extra: str) -> DataFrame:

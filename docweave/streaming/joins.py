@@ -53,7 +53,7 @@ def stream_natural_join(
     """Joinable couples ``(w, a, b)`` of streaming documents ``(doc, m, ts)``, append mode.
 
     ``duration`` is the tumbling event-time window, ``delay`` the watermark; rows later
-    than that are dropped.  Each couple is produced once, as soon as both documents are
+    than that are dropped.  Ids must be unique within a window.  Each couple is produced once, as soon as both documents are
     there: the shared pair at which it is emitted is decided inside the join, so no
     aggregation has to wait for the window to close.
 

@@ -652,7 +652,7 @@ def _event_stream(spark, sf, files):
 def _stream_join(spark, sf, core):
     docs = T.documents_from_table(
         _event_stream(spark, sf, 1), "event_id", mixed_attrs(), keep=["ts"]
-    ).withColumn("ts", F.col("ts").cast("timestamp"))
+    ).withColumn("ts", W.utc_instant(F.col("ts")))
     path = new_folder(spark, "out")
     sinks.stream_pairs(stream_natural_join(docs, "1 day", "1 hour", core), f"{path}/rows", f"{path}/progress").awaitTermination()
     return spark.read.parquet(f"{path}/rows")
