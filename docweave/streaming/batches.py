@@ -44,9 +44,11 @@ def stream_window_join(documents: DataFrame, path: str, available_now: bool = Tr
     ``path/couples``.
     """
 
+    # Batches are written first and then served from the table in the caller's session, so
+    # adaptive execution applies to them as to any batch job.
+    spark = documents.sparkSession
+
     def serve(new: DataFrame, batch: int) -> None:
-        spark = new.sparkSession
-        # Write first: the batch is then read from the table, not recomputed per use.
         new.select("w", "doc", "m").write.mode("overwrite").parquet(f"{path}/{DOCUMENTS}/batch={batch}")
         seen = spark.read.parquet(f"{path}/{DOCUMENTS}")
         fresh = seen.where(F.col("batch") == batch).drop("batch")
@@ -104,8 +106,11 @@ def stream_partitioned_join(documents: DataFrame, path: str, options: Options =
     under ``path/plans``.
     """
 
+    # Batches are written first and then served from the table in the caller's session, so
+    # adaptive execution applies to them as to any batch job.
+    spark = documents.sparkSession
+
     def serve(new: DataFrame, batch: int) -> None:
-        spark = new.sparkSession
         keeper = PartitionTableState(spark, path)
         state = keeper.load(batch)
         new.select("w", "doc", "m").write.mode("overwrite").partitionBy("w").parquet(

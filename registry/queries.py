@@ -654,7 +654,14 @@ def _stream_join(spark, sf, core):
         _event_stream(spark, sf, 1), "event_id", mixed_attrs(), keep=["ts"]
     ).withColumn("ts", W.utc_instant(F.col("ts")))
     path = new_folder(spark, "out")
-    sinks.stream_pairs(stream_natural_join(docs, "1 day", "1 hour", core), f"{path}/rows", f"{path}/progress").awaitTermination()
+    # State partitions are fixed when a stream first starts; one per core suits this input.
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(shuffles), spark.sparkContext.defaultParallelism)))
+    try:
+        joined = stream_natural_join(docs, "1 day", "1 hour", core)
+        sinks.stream_pairs(joined, f"{path}/rows", f"{path}/progress").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
     return spark.read.parquet(f"{path}/rows")
 
 
