@@ -176,7 +176,7 @@ def scan_block(test: dict, at: np.ndarray, data: np.ndarray) -> pa.StructArray:
     if len(here):
         new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (here[1:] - there[1:] != here[:-1] - there[:-1]) | (here[1:] != here[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.r_[first[1:], len(here)].astype(np.int64) - 1
+    last = np.r_[first[1:], len(here)][: len(first)].astype(np.int64) - 1
     matches = pa.ListArray.from_arrays(
         pa.array(offsets(np.bincount(doc[first], minlength=n)), pa.int32()),
         pa.StructArray.from_arrays(
