@@ -52,3 +52,38 @@ def op10_feistel_sharding(spark, sf):
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query
+def op1_secret_scan(spark, sf):
+    from docweave.llm.secrets import KINDS, with_secrets
+
+    found = with_secrets(table(spark, sf, "documents").select("doc_id", "text"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("secrets", lambda s: s["kind"].isin(*KINDS))
+    counts = [F.expr(f"cast(size(filter(secrets, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans")
+    )
+
+
+@query
+def op4_language_id(spark, sf):
+    from docweave.llm.language import fold, predict, train
+
+    docs = table(spark, sf, "documents")
+    model = train(docs.where(fold("doc_id", 4) != 2))
+    held_out = docs.select("doc_id", "text", (fold("doc_id", 4) == 2).alias("held_out"))
+    return predict(held_out, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op8_content_chunks(spark, sf):
+    from docweave.llm.chunks import drop_repeats
+
+    kept = drop_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return kept.select("doc_id", "text", "n_removed", spans.alias("removed_spans"))
