@@ -87,3 +87,10 @@ def op8_content_chunks(spark, sf):
     kept = drop_repeats(table(spark, sf, "documents").select("doc_id", "text"))
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return kept.select("doc_id", "text", "n_removed", spans.alias("removed_spans"))
+
+
+@query
+def op7_adaptive_dimension_scan(spark, sf):
+    from docweave.llm.neighbours import nearest
+
+    return nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
