@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm.words import U64
+from docweave.llm.words import U64, offsets
 from docweave.session import stage_dir
 
 PACKED = "shard int, keys binary, counts binary"
@@ -68,6 +68,9 @@ def load(path: str, dtype) -> np.ndarray:
     return np.memmap(local, dtype, "r")
 
 
+mapped = functools.lru_cache(maxsize=400)(load)
+
+
 def unique_counts(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys with summed counts."""
     if not len(keys):
@@ -86,9 +89,14 @@ def shard_bounds(shards: int) -> np.ndarray:
     return np.arange(1, shards, dtype=U64) << U64(64 - (shards - 1).bit_length())
 
 
-def pack(keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
-    """One row per shard from sorted distinct keys."""
-    at = [0, *np.searchsorted(keys, shard_bounds(shards)).tolist(), len(keys)]
+def pack(keys: np.ndarray, counts: np.ndarray, shards: int, shard_of: np.ndarray | None = None) -> pa.RecordBatch:
+    """One row per shard from sorted distinct keys; shards are key ranges unless given per key."""
+    if shard_of is None:
+        at = [0, *np.searchsorted(keys, shard_bounds(shards)).tolist(), len(keys)]
+    else:
+        order = np.argsort(shard_of, kind="stable")
+        keys, counts = keys[order], counts[order]
+        at = offsets(np.bincount(shard_of, minlength=shards)).tolist()
     full = [s for s in range(shards) if at[s + 1] > at[s]]
     small = np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)
     return pa.RecordBatch.from_arrays(
@@ -136,7 +144,7 @@ def find(folder: str, name: str, shards: set[int], keys: np.ndarray, total: int)
     for s in range(total):
         i, j = at[s], at[s + 1]
         if j > i and s in shards:
-            have = load(f"{folder}/{name}-{s}", U64)
+            have = mapped(f"{folder}/{name}-{s}", U64)
             p = np.searchsorted(have, keys[i:j])
             ok = p < len(have)
             ok[ok] = have[p[ok]] == keys[i:j][ok]

@@ -94,3 +94,20 @@ def op7_adaptive_dimension_scan(spark, sf):
     from docweave.llm.neighbours import nearest
 
     return nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op5_kneser_ney(spark, sf):
+    from docweave.llm.language import fold
+    from docweave.llm.language_model import score, train
+
+    docs = table(spark, sf, "documents").select("doc_id", "text", (fold("doc_id", 5) == 1).alias("held_out"))
+    scored = score(docs, train(docs.where(~F.col("held_out"))))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op6_jaccard_join(spark, sf):
+    from docweave.llm.jaccard import join_components
+
+    return join_components(table(spark, sf, "documents"))

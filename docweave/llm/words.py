@@ -123,9 +123,11 @@ def ngrams(words: np.ndarray, n: int) -> np.ndarray:
 
 def row_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sum of ``values`` per row, rows given by offsets; empty rows sum to nothing."""
-    total = np.zeros(len(values) + 1, values.dtype if values.dtype.kind == "f" else np.int64)
-    np.cumsum(values, out=total[1:])
-    return total[at[1:]] - total[at[:-1]]
+    out = np.zeros(len(at) - 1, values.dtype if values.dtype.kind == "f" else np.int64)
+    full = np.flatnonzero(at[1:] > at[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(values, at[:-1][full], dtype=out.dtype)
+    return out
 
 
 def offsets(counts: np.ndarray) -> np.ndarray:
