@@ -247,3 +247,18 @@ def join_components(docs: DataFrame, percent: int = 80, into: tuple[str, str] =
     result = sets.select("doc_id", "n", "node").join(named, "node", "left")
     component = F.when(F.col("n") > 0, F.col("id")).otherwise(F.col("doc_id"))
     return result.select("doc_id", F.col("n").alias(into[0]), component.alias(into[1]))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """One row of each group of linked texts, that with the smallest id; columns unchanged.
+
+    Rows that agree in id and text are one.  Of rows without an id, those with equal texts are
+    one, and those linked to a row with an id go.  Texts without words all stay.
+    """
+    found = join_components(docs.select("doc_id", "text"), percent, ("n", "component"))
+    stays = found.where("n = 0 or component <=> doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    ids = stays.withColumn("_id", F.coalesce(F.col("_id").cast("string"), F.lit("none")))
+    key, text = free_name(docs.columns, "_id_text"), free_name(docs.columns, "_text_hash")
+    keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), text: F.xxhash64("text")})
+    left = keyed.join(ids, keyed[key] == ids["_id"], "left_semi")
+    return left.dropDuplicates([key, text]).drop(key, text)

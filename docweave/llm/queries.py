@@ -111,3 +111,14 @@ def op6_jaccard_join(spark, sf):
     from docweave.llm.jaccard import join_components
 
     return join_components(table(spark, sf, "documents"))
+
+
+@query
+def op2_quality_cotraining(spark, sf):
+    from docweave.llm.quality import kept, with_quality
+
+    scored = with_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return scored.select(
+        "doc_id", "_quality.quality_text", "_quality.quality_metadata", "_quality.quality_score", "_quality.toxic_text",
+        "_quality.toxic_metadata", "_quality.toxic_score", kept("_quality").alias("kept"),
+    )

@@ -83,9 +83,11 @@ def word_spans(at: np.ndarray, data: np.ndarray, table=SPACED) -> tuple[np.ndarr
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def word_hashes(at: np.ndarray, data: np.ndarray, table=SPACED) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash per lower-cased word, and the number of words of each text."""
+def word_hashes(at: np.ndarray, data: np.ndarray, table=SPACED, head: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash per lower-cased word (or its first ``head`` bytes), and the words of each text."""
     starts, ends = word_spans(at, data, table)
+    if head is not None:
+        ends = np.minimum(ends, starts + head)
     out = np.empty(len(starts), U64)
     power, inverse = _powers(SPAN)
     i = 0
