@@ -1,15 +1,16 @@
 """Exact Jaccard join on word shingles, in size-banded tiles with bitmap signatures.
 
 Texts are sets of distinct 5-word shingles; equal sets are one node.  In a total order of the
-shingles (by hash, with the frequent ones last) two sets that are alike enough share one of
-their first shingles, so a tile holds the sets of a size band (and the next smaller one) that
+shingles (rare ones first, by classes of a first count, then by hash) two sets that are alike
+enough share one of their first shingles, so a tile holds the sets of a size band (and the next smaller one) that
 have one such shingle in common.  Within tiles, pairs of compatible size are bounded from
 above by the bits that differ in hashed bitmaps, and what remains is decided by intersecting
 the sorted arrays.
 
-Links are needed for components, so pairs within a known component are not tried again.  While
-tiles hold too many pairs, each tries only one pivot against the rest and components are
-updated; in the end every pair between different components is tried, so no link is lost.
+Links are needed for components, so pairs within a known component are not tried again.  Small
+tiles try all pairs at once.  A large tile first tries one pivot after another against the
+rest, and components are updated; in the end every pair between different components is tried,
+so no link is lost.
 
 Null and wordless text has an empty set and links with nothing.  Rows get the component of
 their set: the smallest id of all rows linked to it; null ids name nothing.
@@ -27,14 +28,17 @@ from pyspark.sql import functions as F
 
 from docweave.llm.columns import free_name, scan
 from docweave.llm.components import components
-from docweave.llm.packed import PACKED, find, merge, pack, save, shard_count, shared_folder, unique_counts
+from docweave.llm.packed import PACKED, find, mapped, merge, pack, save, shard_count, shared_folder, unique_counts
 from docweave.llm.words import U64, blocks, mix, ngrams, offsets, text_bytes, word_hashes
 from docweave.session import stage
 
 SHINGLE = 5
 HELD = 2_000_000
+CLASSES = np.array([8, 64, 512, 4096])  # counts beyond which a shingle stands later in the order
 ROUNDS = 8
-NODE = "struct<n: long, node: long, first: array<long>, bits: binary, shingles: binary>"
+SMALL = 32  # pairs per row up to which a tile is small
+FEW = 1_000_000  # rows of 8 bytes
+NODE = "n long, node long, first array<long>, places array<int>, bits binary, shingles binary"
 
 
 def shingle_sets(at: np.ndarray, data: np.ndarray) -> Iterator[np.ndarray]:
@@ -51,15 +55,24 @@ def shingle_sets(at: np.ndarray, data: np.ndarray) -> Iterator[np.ndarray]:
             yield words[:0]
 
 
-def prefix(shingles: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set in the common order: enough for any set alike to share one."""
-    n = len(shingles)
-    size = n - -(-percent * n // 100) + 1
-    if not len(frequent) or not n:
-        return shingles[:size]
-    p = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
-    often = frequent[p] == shingles
-    return np.concatenate([shingles[~often], shingles[often]])[:size]
+def prefixes(sets: list[np.ndarray], order: dict | None, percent: int) -> list[np.ndarray]:
+    """The first shingles of each set in the common order: enough for sets alike to share one."""
+    size = [len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0 for s in sets]
+    flat = np.concatenate(sets) if sets else np.zeros(0, U64)
+    if order is None or not len(flat):
+        return [s[:n] for s, n in zip(sets, size, strict=True)]
+    keys, back = np.unique(flat, return_inverse=True)
+    place, ranges = find(order["folder"], "often", order["often"], keys, order["shards"])
+    rank = np.zeros(len(keys), np.uint8)
+    for s, i, j in ranges:
+        ok = np.flatnonzero(place[i:j] >= 0) + i
+        rank[ok] = mapped(f"{order['folder']}/class-{s}", np.uint8)[place[ok]]
+    rank, start = rank[back], offsets(np.array([len(s) for s in sets]))
+    out = []
+    for k, (s, n) in enumerate(zip(sets, size, strict=True)):
+        r = rank[start[k] : start[k + 1]]
+        out.append(s[:n] if not r[:n].any() else s[np.argsort(r, kind="stable")[:n]])
+    return out
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
@@ -83,53 +96,68 @@ def alike(common: int, n: int, m: int, percent: int) -> bool:
     return 100 * common >= percent * (n + m - common)
 
 
-def _count(shards: int, shared, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    frequent = shared.value
+def _count(shards: int, order: dict | None, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, n = [], 0
     for batch in batches:
         at, data = text_bytes(batch.column(0))
         for i, j in blocks(at):
-            for s in shingle_sets(at[i : j + 1] - at[i], data[at[i] : at[j]]):
-                held.append(prefix(s, frequent, percent))
-                n += len(held[-1])
-                if n > HELD:
-                    yield pack(*unique_counts(np.concatenate(held)), shards)
-                    held, n = [], 0
+            sets = list(shingle_sets(at[i : j + 1] - at[i], data[at[i] : at[j]]))
+            held.append(np.concatenate(prefixes(sets, order, percent)))  # a copy, so the sets can go
+            n += len(held[-1])
+            if n > HELD:
+                yield pack(*unique_counts(np.concatenate(held)), shards)
+                held, n = [], 0
     if n:
         yield pack(*unique_counts(np.concatenate(held)), shards)
 
 
-def _keep_shared(folder: str, name: str, often: int, shard: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    save(f"{folder}/{name}-{shard}", keys[counts > 1])
-    frequent = keys[counts > often]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([shard], pa.int32()), pa.array([int((counts > 1).sum())], pa.int64()), pa.array([frequent.tobytes()], pa.binary())],
-        ["shard", "n", "frequent"],
-    )
+def _keep(folder: str, name: str, shard: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Keep the shingles that occur again, or for the first count the frequent ones with a class."""
+    if name == "often":
+        some = counts > CLASSES[0]
+        save(f"{folder}/class-{shard}", np.searchsorted(CLASSES, counts[some]).astype(np.uint8))
+    else:
+        some = counts > 1
+    save(f"{folder}/{name}-{shard}", keys[some])
+    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([int(some.sum())], pa.int64())], ["shard", "n"])
+
+
+def _binary(parts: list[np.ndarray], given: np.ndarray) -> pa.Array:
+    """One binary value per array, null where not given."""
+    size = np.where(given, [p.nbytes for p in parts], 0)
+    data = np.concatenate([np.zeros(0, np.uint8), *(p.view(np.uint8) for p, g in zip(parts, given, strict=True) if g)])
+    valid = pa.py_buffer(np.packbits(given, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(parts), [valid, pa.py_buffer(offsets(size).astype(np.int32)), pa.py_buffer(data)])
 
 
-def _nodes(shards: int, shared, percent: int, folder: str, name: str, full: set[int], columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    kind = pa.struct([("n", pa.int64()), ("node", pa.int64()), ("first", pa.list_(pa.int64())), ("bits", pa.binary()), ("shingles", pa.binary())])
-    frequent = shared.value
-    for column in columns:
-        at, data = text_bytes(column)
-        parts = [pa.array([], kind)]
+def _nodes(order: dict, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per text, in small batches; bitmap and set only where another text shares a first shingle."""
+    for batch in batches:
+        at, data = text_bytes(batch.column(0))
         for i, j in blocks(at):
             sets = list(shingle_sets(at[i : j + 1] - at[i], data[at[i] : at[j]]))
-            first = [prefix(s, frequent, percent) for s in sets]
+            first = prefixes(sets, order, percent)
             flat = np.concatenate([np.zeros(0, U64), *first])
             keys, back = np.unique(flat, return_inverse=True)
-            place, _ = find(folder, name, full, keys, shards)
+            place, _ = find(order["folder"], "shared", order["shared"], keys, order["shards"])
             good = (place >= 0)[back] if len(flat) else np.zeros(0, bool)
             start = offsets(np.array([len(f) for f in first], np.int64))
-            rows = []
-            for k, s in enumerate(sets):
-                node = int(mix(np.array([mix(s).sum() + U64(len(s))], U64)).view(np.int64)[0])
-                f = first[k][good[start[k] : start[k + 1]]].view(np.int64)
-                some = len(f) > 0
-                rows.append((len(s), node, f if some else [], bitmap(s).tobytes() if some else None, s.tobytes() if some else None))
-            parts.append(pa.array([dict(zip(("n", "node", "first", "bits", "shingles"), r, strict=True)) for r in rows], kind))
-        yield pa.concat_arrays(parts)
+            number = np.array([np.count_nonzero(good[start[k] : start[k + 1]]) for k in range(len(sets))], np.int64)
+            there = np.flatnonzero(good)
+            there = there - start[np.searchsorted(start, there, side="right") - 1]
+            some = number > 0
+            node = mix(np.array([mix(s).sum() + U64(len(s)) for s in sets], U64)).view(np.int64)
+            columns = [
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array(node),
+                pa.ListArray.from_arrays(pa.array(offsets(number), pa.int32()), pa.array(flat[good].view(np.int64))),
+                pa.ListArray.from_arrays(pa.array(offsets(number), pa.int32()), pa.array(there, pa.int32())),
+                _binary([bitmap(s) if g else s[:0] for s, g in zip(sets, some, strict=True)], some),
+                _binary(sets, some),
+            ]
+            carried = [c.slice(i, j - i) for c in batch.columns[1:]]
+            names = [*batch.schema.names[1:], "n", "node", "first", "places", "bits", "shingles"]
+            yield pa.RecordBatch.from_arrays([*carried, *columns], names)
 
 
 def _may_link(percent: int, columns) -> Iterator[pa.Array]:
@@ -154,31 +182,40 @@ def _links(percent: int, columns) -> Iterator[pa.Array]:
         yield pa.array(out, pa.bool_())
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are alike: first by bitmaps, then by the sets."""
 
-    def side(name: str, *columns: str) -> DataFrame:
-        return nodes.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
-
-    near = pairs.join(side("a", "bits", "n"), "a").join(side("b", "bits", "n"), "b")
-    near = stage(near.where(scan(_may_link, "boolean", percent)("bits_a", "n_a", "bits_b", "n_b")).select("a", "b"))
-    exact = near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
+    def side(name: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("bits", "n", "row")))
+
+    def shingles(name: str) -> DataFrame:
+        return sets.select(F.col("row").alias(f"row_{name}"), F.col("shingles").alias(f"shingles_{name}"))
+
+    near = pairs.join(side("a"), "a").join(side("b"), "b")
+    near = near.where(scan(_may_link, "boolean", percent)("bits_a", "n_a", "bits_b", "n_b"))
+    near = stage(near.select("a", "b", "row_a", "row_b"))
+    # Only the sets of these pairs move; the rows asked for are broadcast while they are few.
+    asked = near.select(F.col("row_a").alias("row")).union(near.select("row_b")).distinct()
+    if asked.count() <= FEW:
+        asked = F.broadcast(asked)
+    sets = stage(sets.select("row", "shingles").join(asked, "row", "left_semi"))
+    exact = near.join(shingles("a"), "row_a").join(shingles("b"), "row_b")
     return exact.where(scan(_links, "boolean", percent)("shingles_a", "shingles_b")).select("a", "b")
 
 
-def find_links(nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of all nodes with a link."""
+def find_links(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(node, component) of all nodes with a link; ``row`` of a node is where its set lies."""
     # Sizes that may link differ by at most a band: a band spans a factor of 100 / percent.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    rows = nodes.select("node", "n", band.alias("band"), F.explode("first").alias("key"))
+    each = F.explode(F.arrays_zip("first", "places")).alias("x")
+    rows = nodes.select("node", "n", band.alias("band"), each).select("node", "n", "band", F.col("x.first").alias("key"), F.col("x.places").alias("place"))
     home = rows.withColumn("home", F.lit(True))
     away = rows.withColumn("band", F.col("band") + 1).withColumn("home", F.lit(False))
     tiles = home.union(away)
     # Tiles without two sets, of which one at home, pair nothing.
     full = tiles.groupBy("key", "band").agg(F.count("*").alias("m"), F.max("home").alias("some"))
     tiles = stage(tiles.join(full.where("m > 1 and some").select("key", "band"), ["key", "band"]))
-    size = tiles.count()
-    links, found = None, None
+    links, found, used = None, None, None
     for r in range(ROUNDS + 1):
         if found is None:
             known = tiles.withColumn("c", F.col("node"))
@@ -189,53 +226,66 @@ def find_links(nodes: DataFrame, percent: int) -> DataFrame:
         tile = by_component.groupBy("key", "band").agg(
             F.sum("m").alias("m"), F.sum("h").alias("h"), F.sum(F.col("m") * F.col("h")).alias("same"), F.count("*").alias("parts")
         )
-        left = tile.where("parts > 1")
-        open_pairs = left.agg(F.coalesce(F.sum(F.col("m").cast("double") * F.col("h") - F.col("same")), F.lit(0.0))).first()[0]
-        if not open_pairs:
+        # Small tiles, and in the end all, try every pair between components.
+        whole = F.lit(r == ROUNDS) | (F.col("m") * F.col("h") - F.col("same") <= SMALL * F.col("m"))
+        open_ = stage(tile.where("parts > 1").select("key", "band", whole.alias("whole")))
+        some = open_.agg(F.count("*").alias("n"), F.count_if("whole").alias("w")).first()
+        if not some.n:
             break
-        known = known.join(left.select("key", "band"), ["key", "band"])
-        x = known.select("key", "band", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "c", "home")))
-        last = open_pairs <= 4 * size + 200_000 or r == ROUNDS
-        if last:
-            y = known.where("home").select("key", "band", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "c")))
-        else:  # one set at home of each tile, the same in all its tiles where possible
-            order = F.xxhash64("node", F.lit(r))
-            y = known.where("home").groupBy("key", "band").agg(F.min(F.struct(order, F.col("node").alias("y_node"), F.col("n").alias("y_n"), F.col("c").alias("y_c"))).alias("y"))
-            y = y.select("key", "band", "y.y_node", "y.y_n", "y.y_c")
-        pairs = x.join(y, ["key", "band"]).where("x_c <> y_c").where(
-            F.greatest("x_n", "y_n") * percent <= F.least("x_n", "y_n") * 100
-        )
+        known = known.join(open_, ["key", "band"])
+        names = ("node", "n", "c", "place")
+        x = known.select("key", "band", "whole", *(F.col(c).alias(f"x_{c}") for c in names))
+        y = known.where("home and whole").select("key", "band", *(F.col(c).alias(f"y_{c}") for c in names))
+        pairs = x.where("whole").join(y, ["key", "band"])
+        if some.w < some.n:
+            # One set at home of each large tile, that with most large tiles, which copies derive
+            # from; no set serves twice.
+            large = known.where("home and not whole")
+            hubs = large.groupBy("node").agg(F.count("*").alias("hub"))
+            if used is not None:
+                hubs = hubs.join(used, "node", "left_anti")
+            best = F.max(F.struct("hub", F.xxhash64("node").alias("h"), *(F.col(c).alias(f"y_{c}") for c in names))).alias("y")
+            pivots = large.join(hubs, "node").groupBy("key", "band").agg(best)
+            pivots = stage(pivots.select("key", "band", *(f"y.y_{c}" for c in names)))
+            pairs = pairs.unionByName(x.where("not whole").join(pivots, ["key", "band"]))
+            now = pivots.select(F.col("y_node").alias("node")).distinct()
+            used = now if used is None else used.union(now)
+        # Alike sets have enough left from the first shingle they share.
+        rest = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+        pairs = pairs.where("x_c <> y_c").where(rest * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent)
         pairs = pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-        new = stage(verified(stage(pairs), nodes, percent))
+        new = stage(verified(stage(pairs), nodes, sets, percent))
         links = new if links is None else links.union(new)
         found = stage(components(links))
-        if last:
-            break
+        tiles = stage(tiles.join(open_.where("not whole").select("key", "band"), ["key", "band"]))
     return found
 
 
-def join_components(docs: DataFrame, percent: int = 80, into: tuple[str, str] = ("n_shingles", "component_id")) -> DataFrame:
-    """Per row of ``docs``: doc_id, the size of its set, and the smallest id that links reach."""
+def join_components(
+    docs: DataFrame, percent: int = 80, into: tuple[str, str] = ("n_shingles", "component_id"), hashed: bool = False
+) -> DataFrame:
+    """Per row of ``docs``: doc_id, the size of its set, and the smallest id that links reach.
+
+    ``hashed`` adds ``text_hash``, which tells rows of one id apart.
+    """
     spark = docs.sparkSession
-    shards, folder = shard_count(spark), shared_folder(spark, "shingles")
-    rows = docs.count()
+    order: dict = {"folder": shared_folder(spark, "shingles"), "shards": shard_count(spark)}
     texts = docs.select("text")
-    frequent = spark.sparkContext.broadcast(np.zeros(0, U64))
-    often = max(1_000, rows // 5_000)  # so at most some 5,000 per shingle of a prefix are frequent
-    for name in ("all", "ordered"):
-        counted = texts.mapInArrow(functools.partial(_count, shards, frequent, percent), PACKED)
-        meta = merge(counted, shards, functools.partial(_keep_shared, folder, name, often), "shard int, n long, frequent binary").collect()
-        found = np.sort(np.concatenate([np.zeros(0, U64), *(np.frombuffer(r.frequent, U64) for r in meta)]))
-        full = {r.shard for r in meta if r.n}
-        if name == "ordered" or not len(found):
-            break
-        frequent = spark.sparkContext.broadcast(found)
-    node = scan(_nodes, NODE, shards, frequent, percent, folder, name, full)("text")
-    sets = stage(docs.select("doc_id", node.alias("x")).select("doc_id", "x.*"))
-    some = sets.where("shingles is not null").drop("doc_id")
-    first = [F.first(c).alias(c) for c in ("n", "first", "bits", "shingles")]
-    nodes = stage(some.groupBy("node").agg(*first))
-    found = find_links(nodes, percent)
+
+    def count(name: str) -> set[int]:
+        counted = texts.mapInArrow(functools.partial(_count, order["shards"], order if "often" in order else None, percent), PACKED)
+        kept = merge(counted, order["shards"], functools.partial(_keep, order["folder"], name), "shard int, n long")
+        return {r.shard for r in kept.collect() if r.n}
+
+    order["often"] = count("often")
+    order["shared"] = count("shared")
+    rows = docs.select("text", "doc_id", *([F.xxhash64("text").alias("text_hash")] if hashed else []))
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {'text_hash long, ' * hashed}{NODE}"
+    sets = rows.mapInArrow(functools.partial(_nodes, order, percent), schema)
+    sets = stage(sets.withColumn("row", F.monotonically_increasing_id()))
+    some = sets.where("shingles is not null")
+    nodes = stage(some.groupBy("node").agg(*(F.min(c).alias(c) for c in ("n", "first", "places", "bits", "row"))))
+    found = find_links(nodes, sets, percent)
     least = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"))
     if found is None:
         named = least.select("node", F.col("doc").alias("id"))
@@ -243,10 +293,9 @@ def join_components(docs: DataFrame, percent: int = 80, into: tuple[str, str] =
         both = least.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         smallest = both.groupBy("component").agg(F.min("doc").alias("id"))
         named = both.select("node", "component").join(smallest, "component").select("node", "id")
-    # A set that no other row has needs no join; others do, and a copied one fills one node.
-    result = sets.select("doc_id", "n", "node").join(named, "node", "left")
+    result = sets.select(*rows.columns[1:], "n", "node").join(named, "node", "left")
     component = F.when(F.col("n") > 0, F.col("id")).otherwise(F.col("doc_id"))
-    return result.select("doc_id", F.col("n").alias(into[0]), component.alias(into[1]))
+    return result.select(*rows.columns[1:], F.col("n").alias(into[0]), component.alias(into[1]))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -255,10 +304,10 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     Rows that agree in id and text are one.  Of rows without an id, those with equal texts are
     one, and those linked to a row with an id go.  Texts without words all stay.
     """
-    found = join_components(docs.select("doc_id", "text"), percent, ("n", "component"))
-    stays = found.where("n = 0 or component <=> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    ids = stays.withColumn("_id", F.coalesce(F.col("_id").cast("string"), F.lit("none")))
+    found = join_components(docs.select("doc_id", "text"), percent, ("n", "component"), hashed=True)
+    stays = found.where("n = 0 or component <=> doc_id")
+    ids = stays.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("_id"), "text_hash").distinct()
     key, text = free_name(docs.columns, "_id_text"), free_name(docs.columns, "_text_hash")
     keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), text: F.xxhash64("text")})
-    left = keyed.join(ids, keyed[key] == ids["_id"], "left_semi")
+    left = keyed.join(ids, (keyed[key] == ids["_id"]) & (keyed[text] == ids["text_hash"]), "left_semi")
     return left.dropDuplicates([key, text]).drop(key, text)

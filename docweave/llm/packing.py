@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from docweave.session import stage
 
 END = 1
-KNOWN = 600_000  # words that a worker remembers
+KNOWN = 150_000  # words that a worker remembers
 #: Fixed value: the pattern that the tokenizer's byte-level parts follow.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, rank long"
@@ -108,6 +108,7 @@ def _pieces(path: str, capacity: int, batches: Iterator[pa.RecordBatch]) -> Iter
             columns = list(zip(*rows, strict=True))
             names = [p.split()[0] for p in PIECES.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+    _encoders[path].known.clear()
 
 
 def fill(counts: list[int], room: int) -> dict[int, int]:

@@ -175,7 +175,7 @@ def co_train(views: list[tuple], y: np.ndarray, known: np.ndarray, held: np.ndar
     labels that only calibrate.
     """
     fit, n = known & ~held, len(y)
-    if min(y[fit].sum(), (1 - y[fit]).sum(), y[held].sum() * 4, (1 - y[held]).sum() * 4) < LEAST:
+    if min(y[fit].sum(), (1 - y[fit]).sum(), y[held].sum() * 6, (1 - y[held]).sum() * 6) < LEAST:
         return None
     labels, uses = [y.astype(float).copy() for _ in views], [fit.astype(float) for _ in views]
     weights: list = [None] * len(views)

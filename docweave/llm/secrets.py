@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.columns import free_name, scan
+from docweave.llm.columns import scan
 from docweave.session import stage
 
 #: The base rules, in the order of their kinds.
@@ -39,7 +39,7 @@ EXAMPLES = 600
 ORDINARY = 4  # times as many ordinary runs, which are more diverse
 ALPHABET = 67
 FLOOR = 1e-4  # share of probability spread over the alphabet
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 SPANS = "array<struct<kind: string, start: int, end: int, score: double>>"
 
 
@@ -122,7 +122,7 @@ class Automaton:
                 else:
                     self.moves[a][c] = [to, n]
 
-    def merged(self, alpha: float = 0.05) -> "Automaton":
+    def merged(self, alpha: float = 0.01) -> "Automaton":
         """Merge from the root outward: a state joins the first settled state it is like."""
         bound = math.sqrt(0.5 * math.log(2 / alpha))
         settled, inside = [0], {0}
@@ -267,10 +267,10 @@ def with_secrets(docs: DataFrame, into: str = "secrets", examples: int = EXAMPLE
     return docs.withColumn(into, scan(_spans, SPANS, model)("text"))
 
 
-def _redact(texts_and_spans) -> Iterator[pa.Array]:
-    for texts, spans in texts_and_spans:
+def _redact(shared, columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in columns:
         out = []
-        for text, found in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
+        for text, found in zip(texts.to_pylist(), next(_spans(shared, iter([texts]))).to_pylist(), strict=True):
             if found:
                 parts, at = [], 0
                 for s in found:
@@ -282,8 +282,7 @@ def _redact(texts_and_spans) -> Iterator[pa.Array]:
         yield pa.array(out, pa.string())
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """``docs`` with every span replaced by ``[secret]``; no row is dropped."""
-    c = free_name(docs.columns, "_secrets")
-    found = with_secrets(docs, c)
-    return found.withColumn("text", F.when(F.size(c) > 0, scan(_redact, "string")("text", c)).otherwise(F.col("text"))).drop(c)
+    model = docs.sparkSession.sparkContext.broadcast(learn(labelled_values(docs, examples)))
+    return docs.withColumn("text", scan(_redact, "string", model)("text"))
