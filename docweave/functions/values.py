@@ -41,7 +41,8 @@ def pair(attr: Column, val: Column) -> Column:
 
 def trim_pairs(pairs: Column) -> Column:
     """Trim both sides of every pair of an ``ARRAY<STRUCT<attr,val>>``."""
-    return F.transform(pairs, lambda p: pair(p["attr"], p["val"]))
+    ends = r"^[\x00-\x20]+|[\x00-\x20]+$"  # control characters count as space
+    return F.transform(pairs, lambda p: pair(F.regexp_replace(p["attr"], ends, ""), F.regexp_replace(p["val"], ends, "")))
 
 
 def pair_equal(x: Column, y: Column) -> Column:

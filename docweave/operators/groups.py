@@ -175,20 +175,13 @@ def association_groups(documents: DataFrame) -> DataFrame:
     )
 
 
-def local_association_groups(
-    documents: DataFrame, shards: int, window_size: int | None = None, shard: Column | None = None
-) -> DataFrame:
+def local_association_groups(documents: DataFrame, shards: int, shard: Column | None = None) -> DataFrame:
     """Association groups found per shard: ``(w, shard, g_attr, g_val, n_docs, attr, val)``.
 
-    Documents are dealt to ``shards`` by hash.  With ``window_size`` each shard looks at
-    its first ``window_size // shards`` documents only, which is the bounded-cost variant;
-    pairs it never sees are handled by routing as unseen pairs.
+    Documents are dealt to ``shards`` by hash unless ``shard`` says where they go.
     """
     shard = F.pmod(F.xxhash64("doc"), F.lit(shards)) if shard is None else shard
     dealt = documents.withColumn("shard", shard.cast("bigint"))
-    if window_size is not None:
-        dealt = with_position(dealt, ["w", "shard"], [F.col("doc")], "_pos")
-        dealt = dealt.where(F.col("_pos") < window_size // shards)
     inner = dealt.select(F.struct("w", "shard").alias("w"), "doc", "m")
     return association_groups(inner).select(
         "w.w", "w.shard", *GROUP, "n_docs", "attr", "val"

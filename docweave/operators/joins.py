@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from docweave.functions import values as V
 from docweave.operators.pairs import explode_pairs
-from docweave.operators.stats import BLOCK
 from docweave.plans.core_attributes import (
     FREQUENT,
     HOT,
@@ -246,28 +245,22 @@ def symmetric(joined: DataFrame) -> DataFrame:
     return joined.select("w", F.explode(both).alias("_c")).select("w", "_c.doc", "_c.partner")
 
 
-def joinable_sets(joined: DataFrame, documents: DataFrame, block: int = BLOCK) -> DataFrame:
+def joinable_sets(joined: DataFrame, documents: DataFrame, parts: int = 1) -> DataFrame:
     """Partner set of every document, empty ones included: ``(w, doc, part, partners)``.
 
-    In a window of at most ``block`` documents each document has one row, part 0.  Larger
-    windows spread a document's partners over several rows by partner hash, so a list
-    never grows past about ``block`` ids; together the rows hold the whole set.
+    Every document's partners are dealt to ``parts`` rows by hash, whatever the size of the
+    window; rows without a partner are left out.  A document without any partner has one
+    row, part 0, with an empty list.
     """
-    windows = documents.groupBy("w").agg(F.count(F.lit(1)).alias("_n"))
-    large = windows.where(F.col("_n") > block).select(
-        "w", F.ceil(F.col("_n") / block).alias("_parts")
-    )
-    none = F.lit(None).cast(documents.schema["doc"].dataType).alias("partner")
-    rows = symmetric(joined).unionByName(documents.select("w", "doc", none))
-    part = F.when(F.col("partner").isNull(), F.lit(0)).otherwise(
-        F.coalesce(F.pmod(F.xxhash64("partner"), F.col("_parts")), F.lit(0))
-    )
-    # collect_list skips NULLs, so the bare document row only guarantees that part 0 exists.
-    return (
-        rows.join(large, "w", "left")
-        .groupBy("w", "doc", part.cast("bigint").alias("part"))
+    part = F.pmod(F.xxhash64("partner"), F.lit(parts)).alias("part")
+    some = (
+        symmetric(joined)
+        .groupBy("w", "doc", part)
         .agg(F.sort_array(F.collect_list("partner")).alias("partners"))
     )
+    alone = documents.select("w", "doc").join(some.select("w", "doc"), ["w", "doc"], "left_anti")
+    empty = F.array().cast(some.schema["partners"].dataType)
+    return some.unionByName(alone.select("w", "doc", F.lit(0).cast("bigint").alias("part"), empty.alias("partners")))
 
 
 def merged_documents(joined: DataFrame, documents: DataFrame) -> DataFrame:

@@ -15,8 +15,6 @@ from docweave.operators.groups import GROUP, order_groups
 from docweave.operators.pairs import shred
 from docweave.session import stage
 
-MAX_EXACT_ROWS = 2_000_000  # (group, document) rows of a window that one task may hold
-
 _SEGMENTS = "w long, n_docs long, start long, segs array<struct<from:long,pids:array<int>>>"
 
 
@@ -78,52 +76,13 @@ def _assign_additive(ordered: DataFrame, k: int) -> DataFrame:
     return opening.select("w", *GROUP, F.col("pos").cast("int").alias("pid")).unionByName(placed)
 
 
-def _fold_documents(k: int):
-    """One window's groups given out in order, loads counted in distinct documents."""
-
-    def fold(batches: pd.DataFrame) -> pd.DataFrame:
-        batches = batches.sort_values("pos", kind="stable")
-        codes, docs = pd.factorize(batches["doc"])
-        held = np.zeros((k, len(docs)), dtype=bool)
-        loads = np.zeros(k, dtype=np.int64)
-        bounds = np.flatnonzero(np.diff(batches["pos"].to_numpy(), prepend=-1))
-        ends = np.append(bounds[1:], len(batches))
-        pids = np.empty(len(bounds), dtype=np.int32)
-        for g, (lo, hi) in enumerate(zip(bounds, ends)):
-            pid = g if g < k else k - 1 - int(np.argmin(loads[::-1]))
-            members = codes[lo:hi]
-            loads[pid] += int((~held[pid, members]).sum())
-            held[pid, members] = True
-            pids[g] = pid
-        out = batches.iloc[bounds][["w", "pos"]].copy()
-        out["pid"] = pids
-        return out
-
-    return fold
-
-
-def _group_documents(documents: DataFrame, groups: DataFrame) -> DataFrame:
-    """Distinct ``(w, g_attr, g_val, doc)``: who carries some pair of the group."""
-    return (
-        shred(documents)
-        .join(groups.select("w", *GROUP, "attr", "val"), ["w", "attr", "val"])
-        .select("w", *GROUP, "doc")
-        .distinct()
-    )
-
-
-def assign_partitions(
-    groups: DataFrame, k: int, load: str = "additive", documents: DataFrame | None = None, max_rows: int = MAX_EXACT_ROWS
-) -> DataFrame:
+def assign_partitions(groups: DataFrame, k: int, load: str = "additive") -> DataFrame:
     """Partition of each group: ``(w, g_attr, g_val, pid)``.
 
     The ``k`` groups with most documents open partitions 0 to k-1; each later group goes
     to the least loaded partition, the highest id among equals.
 
-    ``load='additive'``: load is the sum of group sizes; any number of groups.
-    ``load='distinct'``: load is the number of distinct documents, which needs the
-    documents of a window side by side in one task.  Used where a window has at most
-    ``max_rows`` (group, document) rows; larger windows fall back to additive load.
+    ``load='additive'``: load is the sum of group sizes.
     ``load='snake'``: back-and-forth dealing by position, no loads at all.
     """
     ordered = stage(order_groups(groups))
@@ -131,21 +90,9 @@ def assign_partitions(
         turn, slot = F.floor(F.col("pos") / k), F.col("pos") % k
         pid = F.when(turn % 2 == 0, slot).otherwise(k - 1 - slot)
         return ordered.select("w", *GROUP, pid.cast("int").alias("pid"))
-    if load == "additive":
-        return _assign_additive(ordered, k)
-    if load != "distinct" or documents is None:
-        raise ValueError("load must be 'additive', 'snake' or 'distinct' (with documents)")
-    # n_docs of a group counts its documents, so this sum is exactly the rows to be moved.
-    size = ordered.groupBy("w").agg(F.sum("n_docs").alias("_rows"))
-    small = ordered.join(size.where(F.col("_rows") <= max_rows).select("w"), "w", "left_semi")
-    large = ordered.join(size.where(F.col("_rows") > max_rows).select("w"), "w", "left_semi")
-    members = _group_documents(documents, groups).join(small.select("w", *GROUP, "pos"), ["w", *GROUP])
-    # Only positions and ids travel to Python; names are joined back afterwards.
-    pids = members.select("w", "pos", "doc").groupBy("w").applyInPandas(
-        _fold_documents(k), "w long, pos long, pid int"
-    )
-    exact = small.join(pids, ["w", "pos"]).select("w", *GROUP, "pid")
-    return exact.unionByName(_assign_additive(large, k))
+    if load != "additive":
+        raise ValueError("load must be 'additive' or 'snake'")
+    return _assign_additive(ordered, k)
 
 
 def partition_table(groups: DataFrame, assignment: DataFrame) -> DataFrame:
@@ -155,13 +102,14 @@ def partition_table(groups: DataFrame, assignment: DataFrame) -> DataFrame:
     )
 
 
-def partition_loads(routes: DataFrame) -> DataFrame:
-    """Distinct documents per partition: ``(w, pid, n_docs)`` from ``routes``."""
-    return (
-        routes.select("w", F.explode("pids").alias("pid"))
-        .groupBy("w", "pid")
-        .agg(F.count(F.lit(1)).alias("n_docs"))
-    )
+def partition_loads(routes: DataFrame, table: DataFrame) -> DataFrame:
+    """Distinct documents per partition: ``(w, pid, n_docs)`` from ``routes``.
+
+    A partition of the window's ``table`` that received no document has load 0.
+    """
+    given = routes.select("w", F.explode("pids").alias("pid"), F.lit(1).cast("bigint").alias("n"))
+    open_ = table.select("w", "pid").distinct().withColumn("n", F.lit(0).cast("bigint"))
+    return given.unionByName(open_).groupBy("w", "pid").agg(F.sum("n").alias("n_docs"))
 
 
 def least_loaded(loads: DataFrame) -> DataFrame:
@@ -175,7 +123,8 @@ def partition_quality(routes: DataFrame) -> DataFrame:
     """``(w, n_docs, max_load, avg_comm)``: distinct routed documents, the largest
     partition, and copies per document."""
     docs = routes.groupBy("w").agg(F.count(F.lit(1)).alias("n_docs"))
-    loads = partition_loads(routes).groupBy("w").agg(
+    given = routes.select("w", F.explode("pids").alias("pid")).groupBy("w", "pid").agg(F.count(F.lit(1)).alias("n_docs"))
+    loads = given.groupBy("w").agg(
         F.max("n_docs").alias("max_load"), F.sum("n_docs").alias("_copies")
     )
     return docs.join(loads, "w").select(

@@ -31,12 +31,15 @@ def with_position(df: DataFrame, by: list[str], order: list[Column], name: str =
     before = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = before.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select(
-        *by,
-        "_part",
+        *(F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)),
+        F.col("_part").alias("_at"),
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
+    same = F.col("_part") == F.col("_at")
+    for i, c in enumerate(by):  # a NULL group is a group
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{i}"))
     return (
-        numbered.join(starts, [*by, "_part"])
+        numbered.join(starts, same)
         .withColumn(name, F.col("_mid") + F.col("_shift"))
-        .drop("_mid", "_part", "_shift")
+        .drop("_mid", "_part", "_shift", "_at", *(f"_by_{i}" for i in range(len(by))))
     )

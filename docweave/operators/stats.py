@@ -6,12 +6,11 @@ pair carried by a third of all documents costs one row per task, not one per doc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.operators.pairs import shred
-
-BLOCK = 100_000
+from docweave.operators.positions import with_position
 
 
 def pair_counts(documents: DataFrame) -> DataFrame:
@@ -42,8 +41,8 @@ def approx_attr_stats(documents: DataFrame, rsd: float = 0.02) -> DataFrame:
 
 def rank_attrs(stats: DataFrame) -> DataFrame:
     """Rank from 1 per window: most documents, then fewest values, then name."""
-    order = Window.partitionBy("w").orderBy(F.desc("n_docs"), F.asc("n_vals"), F.asc("attr"))
-    return stats.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    order = [F.desc("n_docs"), F.asc("n_vals"), F.asc("attr")]
+    return with_position(stats, ["w"], order, "rank").withColumn("rank", F.col("rank") + 1)
 
 
 def join_attr_order(documents: DataFrame) -> DataFrame:
@@ -51,37 +50,27 @@ def join_attr_order(documents: DataFrame) -> DataFrame:
     return rank_attrs(attr_stats(documents)).select("w", "attr", "rank")
 
 
-def pair_index(documents: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Inverted index ``(w, attr, val, n_docs, block, docs)`` with bounded posting lists.
+def pair_index(documents: DataFrame, parts: int = 1) -> DataFrame:
+    """Inverted index ``(w, attr, val, n_docs, block, docs)``.
 
-    A pair carried by at most ``block`` documents has one row (block 0).  A more frequent
-    pair is split by document hash into enough rows to keep each list near that size, so
-    no task ever holds one whole hot list.
+    Every posting list is dealt to ``parts`` rows (``block``) by document hash, whatever its
+    length, so with enough parts no task holds one whole hot list.  Empty rows are left out.
     """
-    counts = pair_counts(documents)
-    hot = counts.where(F.col("n_docs") > block).select(
-        "w", "attr", "val", F.ceil(F.col("n_docs") / block).alias("_blocks")
-    )
-    blocks = F.coalesce(F.pmod(F.xxhash64("doc"), F.col("_blocks")), F.lit(0)).cast("bigint")
-    lists = (
-        shred(documents)
-        .join(hot, ["w", "attr", "val"], "left")
-        .groupBy("w", "attr", "val", blocks.alias("block"))
-        .agg(F.sort_array(F.collect_list("doc")).alias("docs"))
-    )
-    return lists.join(counts, ["w", "attr", "val"]).select(
+    block = F.pmod(F.xxhash64("doc"), F.lit(parts)).alias("block")
+    lists = shred(documents).groupBy("w", "attr", "val", block).agg(F.sort_array(F.collect_list("doc")).alias("docs"))
+    return lists.join(pair_counts(documents), ["w", "attr", "val"]).select(
         "w", "attr", "val", "n_docs", "block", "docs"
     )
 
 
-def posting_lists(documents: DataFrame, block: int = BLOCK) -> DataFrame:
+def posting_lists(documents: DataFrame, parts: int = 1) -> DataFrame:
     """Attribute to values to documents: ``pair_index`` plus the attribute's totals.
 
     Columns ``(w, attr, n_occurrences, n_vals, val, block, docs)``; kept long so that an
     attribute with millions of values stays distributed.
     """
     totals = attr_stats(documents).withColumnRenamed("n_docs", "n_occurrences")
-    return pair_index(documents, block).join(totals, ["w", "attr"]).select(
+    return pair_index(documents, parts).join(totals, ["w", "attr"]).select(
         "w", "attr", "n_occurrences", "n_vals", "val", "block", "docs"
     )
 

@@ -52,18 +52,35 @@ def _canonical_object(text: Column) -> Column:
     return F.coalesce(F.to_json(F.try_parse_json(text)), text)
 
 
-def nested_policy(entries: Column, nested: str = "drop", depth: int = 4) -> Column:
+def object_depth(text: Column) -> Column:
+    """How deep braces nest in JSON text, those in strings left out."""
+    braces = F.regexp_replace(F.regexp_replace(text, r'"(\\.|[^"\\])*"', ""), r"[^{}]", "")
+    steps = F.transform(F.split(braces, ""), lambda c: F.when(c == "{", 1).when(c == "}", -1).otherwise(0))
+    most = F.aggregate(
+        steps,
+        F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")),
+        lambda s, d: F.struct((s["at"] + d).alias("at"), F.greatest(s["most"], s["at"] + d).alias("most")),
+        lambda s: s["most"],
+    )
+    return F.coalesce(most, F.lit(0))
+
+
+def nested_policy(entries: Column, nested: str = "drop", depth: int | None = None) -> Column:
     """What becomes of object-valued attributes in ``ARRAY<ENTRY>``.
 
     ``drop`` removes them, ``whole`` keeps their canonical JSON text as the value, and
-    ``flatten`` replaces them by their members under ``parent_child`` names.  Levels below
-    ``depth`` stay as canonical text, so nothing is lost.
+    ``flatten`` replaces them by their members under ``parent_child`` names, ``depth`` levels
+    down; an object below that fails the job.
     """
     if nested == "drop":
         return F.filter(entries, lambda e: ~_is_object(e))
     if nested == "flatten":
+        if depth is None:
+            raise ValueError("flatten needs the depth of the objects")
         for _ in range(depth):
             entries = F.flatten(F.transform(entries, _children_or_self))
+        deeper = F.raise_error(F.lit(f"objects nest deeper than {depth} levels")).cast(f"array<{ENTRY}>")
+        return F.when(F.exists(entries, _is_object), deeper).otherwise(entries)
     elif nested != "whole":
         raise ValueError("nested must be 'drop', 'whole' or 'flatten'")
     return F.transform(
@@ -87,7 +104,7 @@ def _children_or_self(e: Column) -> Column:
 
 
 def with_document_map(
-    df: DataFrame, nested: str = "drop", nulls: str = "text", set_attrs: tuple[str, ...] = (), depth: int = 4
+    df: DataFrame, nested: str = "drop", nulls: str = "text", set_attrs: tuple[str, ...] = (), depth: int | None = None
 ) -> DataFrame:
     """Column ``e ARRAY<ENTRY>`` to the document map ``m``: nesting, set-valued attributes,
     text, last key."""
@@ -156,13 +173,18 @@ def read_json_documents(
     if layout == "lines" and id_attr is None:
         number = F.monotonically_increasing_id()
         texts = stage(texts.withColumn("doc", F.concat_ws("#", "file", number)))
+    if rules.get("nested") == "flatten" and rules.get("depth") is None:
+        # Braces of the document itself are no level; arrays of objects only make this too large.
+        most = texts.agg(F.max(object_depth(F.col("value")))).first()[0] or 0
+        rules = rules | {"depth": max(0, most - 1)}
     return parse_documents(texts, layout, id_attr, **rules)
 
 
 def stream_documents(
     spark: SparkSession, path: str, max_files: int = 1, layout: str = "array", id_attr: str | None = None, **rules
 ) -> DataFrame:
-    """Continuous folder source of the same documents; lines need an ``id_attr``."""
+    """Continuous folder source of the same documents; lines need an ``id_attr``, and
+    ``nested='flatten'`` the ``depth`` of the objects."""
     if layout == "lines" and id_attr is None:
         raise ValueError("a stream of lines needs id_attr: lines have no stable number")
     reader = spark.readStream.option("maxFilesPerTrigger", max_files)

@@ -25,7 +25,9 @@ def _read(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     try:
         reader = spark.read if schema is None else spark.read.schema(schema)
         return reader.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

@@ -34,6 +34,33 @@ def mixed_events(spark: SparkSession, sf_dir: str, window: int = WINDOW) -> Data
     )
 
 
+def wide_attrs() -> dict[str, Column]:
+    """Eight optional attributes of a line item."""
+    i = F.col("doc")
+
+    def text(*names: str) -> Column:
+        return F.concat_ws("-", *(F.col(n).cast("string") for n in names))
+
+    return {
+        "part": F.when(i % 2 == 0, text("l_partkey")),
+        "order": F.when(i % 3 == 0, text("l_orderkey")),
+        "stock": F.when(i % 5 == 0, text("l_suppkey", "l_partkey")),
+        "line": F.when(i % 7 == 0, text("l_orderkey", "l_returnflag")),
+        "flag": F.when(i % 4 == 1, text("l_partkey", "l_returnflag")),
+        "state": F.when(i % 6 == 1, text("l_partkey", "l_linestatus")),
+        "supplied": F.when(i % 11 == 2, text("l_orderkey", "l_suppkey")),
+        "number": F.when(i % 13 == 3, text("l_partkey", "l_linenumber")),
+    }
+
+
+def wide_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All order lines as documents of one window; lines that share order and number are one."""
+    least = [F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")]
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*least)
+    lines = lines.withColumn("doc", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return documents_from_table(lines, "doc", wide_attrs())
+
+
 def universal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with ``event_type`` in every document."""
     attrs = mixed_attrs() | {"event_type": F.col("event_type")}

@@ -50,6 +50,26 @@ JOINED = """joined AS (
   GROUP BY x.w, x.doc, y.doc
   HAVING count(*) FILTER (x.val = y.val) >= 1 AND count(*) FILTER (x.val <> y.val) = 0)"""
 
+LINE = "l_orderkey * 10 + l_linenumber"
+WIDE = """lines AS (
+  SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey,
+    min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY 1, 2),
+pairs AS (""" + " UNION ALL ".join(
+    f"SELECT 0::BIGINT AS w, {LINE} AS doc, '{attr}' AS attr, concat_ws('-', {', '.join(cols)}) AS val FROM lines WHERE ({LINE}) % {m} = {r}"
+    for attr, m, r, cols in (
+        ("part", 2, 0, ["l_partkey"]), ("order", 3, 0, ["l_orderkey"]), ("stock", 5, 0, ["l_suppkey", "l_partkey"]),
+        ("line", 7, 0, ["l_orderkey", "l_returnflag"]), ("flag", 4, 1, ["l_partkey", "l_returnflag"]),
+        ("state", 6, 1, ["l_partkey", "l_linestatus"]), ("supplied", 11, 2, ["l_orderkey", "l_suppkey"]),
+        ("number", 13, 3, ["l_partkey", "l_linenumber"]),
+    )
+) + """),
+met AS (
+  SELECT DISTINCT x.w, x.doc AS a, y.doc AS b FROM pairs x JOIN pairs y ON x.w = y.w AND x.attr = y.attr AND x.val = y.val
+  WHERE x.doc < y.doc),
+joined AS (
+  SELECT w, a, b FROM met m WHERE NOT EXISTS (
+    SELECT 1 FROM pairs x JOIN pairs y ON x.attr = y.attr AND x.val <> y.val WHERE x.doc = m.a AND y.doc = m.b))"""
+
 STATS = """stats AS (
   SELECT w, attr, count(*) AS n_docs, count(DISTINCT val) AS n_vals FROM pairs GROUP BY w, attr),
 ranked AS (
@@ -135,16 +155,20 @@ def quality(name: str, routed: str) -> str:
   FROM (SELECT w, pid, count(*) AS n FROM {routed} GROUP BY w, pid) l GROUP BY w)"""
 
 
+def loads(name: str, routed: str, shift: int = 0) -> str:
+    """Documents per partition, 0 where a partition of the table got none."""
+    return f"""{name} AS (
+  SELECT w + {shift} AS w, pid, CAST(sum(n) AS BIGINT) AS n_docs
+  FROM (SELECT w, pid, 1 AS n FROM {routed} UNION ALL SELECT DISTINCT w, pid, 0 FROM tab) GROUP BY w, pid)"""
+
+
 BASE = f"{PAIRS}, {AG}, {SNAKE}"
+IDLE = f"""{BASE}, few AS (SELECT * FROM pairs WHERE attr = 'grp'), {routes('own', 0, 'few')}, {loads('l', 'own')}"""
 OWN = f"{BASE}, {routes('own', 0)}"
 LATER = f"{BASE}, {routes('later', 1)}"
 
-LOCAL_PAIRS = f"""{PAIRS}, numbered AS (
-  SELECT w, doc, row_number() OVER (PARTITION BY w, doc % 4 ORDER BY doc) AS r FROM (
-    SELECT event_id // {WINDOW} AS w, event_id AS doc FROM events)),
-local_pairs AS (
-  SELECT {{'w': p.w, 'shard': p.doc % 4}} AS w, p.doc, p.attr, p.val
-  FROM pairs p JOIN numbered n ON n.w = p.w AND n.doc = p.doc WHERE n.r <= 100)"""
+LOCAL_PAIRS = f"""{PAIRS},
+local_pairs AS (SELECT {{'w': w, 'shard': doc % 4}} AS w, doc, attr, val FROM pairs)"""
 
 LOCAL = f"""{LOCAL_PAIRS}, {association('local_pairs', 'l_')},
 local AS (SELECT w.w AS w, w.shard AS shard, g_attr, g_val, n_docs, attr, val FROM l_ag)"""
@@ -172,7 +196,7 @@ UPDATE = f"""{OWN}, {UNSEEN},
 fresh AS (
   SELECT DISTINCT p.w, p.doc FROM pairs p JOIN unseen u ON u.w = p.w AND u.attr = p.attr AND u.val = p.val
   WHERE u.candidate),
-loads AS (SELECT w + 1 AS w, pid, count(*) AS n_docs FROM own GROUP BY w, pid),
+{loads('loads', 'own', 1)},
 scored AS (
   SELECT f.w, f.doc, l.pid, l.n_docs, (
     SELECT count(*) FROM pairs p JOIN tab t ON t.w = p.w - 1 AND t.attr = p.attr AND t.val = p.val AND t.pid = l.pid
@@ -193,23 +217,6 @@ FOLD = f"""fold AS (
       CASE WHEN o.pos < {K} THEN o.pos ELSE {K} - list_position(list_reverse(f.loads), list_min(f.loads)) END AS pid
     FROM fold f JOIN ordered o ON o.w = f.w AND o.pos = f.pos + 1))"""
 
-FOLD_DISTINCT = f"""members AS (
-  SELECT o.w, o.g_attr, o.g_val, o.pos, list(DISTINCT p.doc) AS docs
-  FROM ordered o JOIN ag a ON a.w = o.w AND a.g_attr = o.g_attr AND a.g_val = o.g_val
-  JOIN pairs p ON p.w = a.w AND p.attr = a.attr AND p.val = a.val GROUP BY o.w, o.g_attr, o.g_val, o.pos),
-fold AS (
-  SELECT w, g_attr, g_val, pos, 0::BIGINT AS pid,
-    list_concat([docs], list_resize([]::BIGINT[][], {K - 1}, []::BIGINT[])) AS held
-  FROM members WHERE pos = 0
-  UNION ALL
-  SELECT w, g_attr, g_val, pos, pid,
-    list_concat(list_concat(held[:pid], [list_distinct(list_concat(held[pid + 1], docs))]), held[pid + 2:])
-  FROM (
-    SELECT m.w, m.g_attr, m.g_val, m.pos, m.docs, f.held,
-      CASE WHEN m.pos < {K} THEN m.pos
-        ELSE {K} - list_position(list_reverse([len(h) FOR h IN f.held]), list_min([len(h) FOR h IN f.held])) END AS pid
-    FROM fold f JOIN members m ON m.w = f.w AND m.pos = f.pos + 1))"""
-
 DAY = """pairs AS (
   SELECT epoch(date_trunc('day', e.ts))::BIGINT AS w, p.doc, p.attr, p.val
   FROM base p JOIN events e ON e.event_id = p.doc)"""
@@ -262,6 +269,15 @@ FROM d x JOIN d y ON y.w = x.w AND y.doc = x.doc + 1 LEFT JOIN c ON c.w = x.w AN
 UNION ALL SELECT event_id, 'props', replace(props, ': ', ':') FROM events""",
     "json_nested_flatten": f"""WITH {JSON_BASE} SELECT * FROM json_pairs
 UNION ALL SELECT event_id, 'props_k', json_extract_string(props, '$.k') FROM events""",
+    "join_wide": f"WITH {WIDE} SELECT w, a, b FROM joined",
+    "join_wide_index": f"WITH {WIDE} SELECT w, a, b FROM joined",
+    "join_wide_sets": f"""WITH {WIDE}, both_ways AS (SELECT w, a AS doc, b AS p FROM joined UNION ALL SELECT w, b, a FROM joined)
+SELECT 0::BIGINT AS w, d.doc, coalesce(string_agg(CAST(p AS VARCHAR), ',' ORDER BY p), '') AS partners
+FROM (SELECT l_orderkey * 10 + l_linenumber AS doc FROM lines) d LEFT JOIN both_ways b ON b.doc = d.doc GROUP BY d.doc""",
+    "json_nested_deep": """SELECT o_orderkey AS doc, 'status' AS attr, o_orderstatus AS val FROM orders
+UNION ALL SELECT o_orderkey, 'n0_n1_n2_n3_n4_n5_customer', CAST(o_custkey AS VARCHAR) FROM orders""",
+    "doc_trimmed_pairs": """SELECT p_partkey AS doc, 'brand' AS attr, p_brand AS val FROM part
+UNION ALL SELECT p_partkey, 'type', p_type FROM part""",
     "window_sizes": f"""
 SELECT (r - 1) // {WINDOW} AS w, count(*) AS n_docs FROM (SELECT row_number() OVER (ORDER BY ts, event_id) AS r FROM events) GROUP BY 1""",
     "window_sizes_by_source": """
@@ -310,10 +326,12 @@ SELECT k.w, first_value(k.attr) OVER same AS g_attr, first_value(k.val) OVER sam
 FROM kept k JOIN gdocs g ON g.w = k.w AND g.shard = k.shard AND g.g_attr = k.g_attr AND g.g_val = k.g_val
 WINDOW same AS (PARTITION BY k.w, g.docs ORDER BY k.attr, k.val)""",
     "partition_assign": f"WITH RECURSIVE {PAIRS}, {AG}, {FOLD} SELECT w, g_attr, g_val, pid FROM fold",
-    "partition_assign_distinct": f"WITH RECURSIVE {PAIRS}, {AG}, {FOLD_DISTINCT} SELECT w, g_attr, g_val, pid FROM fold",
     "partition_table": f"WITH {BASE} SELECT w, attr, val, pid FROM tab",
-    "partition_load": f"WITH {OWN} SELECT w, pid, count(*) AS n_docs FROM own GROUP BY w, pid",
-    "partition_idle": f"""WITH {OWN}, l AS (SELECT w, pid, count(*) AS n_docs FROM own GROUP BY w, pid)
+    "partition_load": f"WITH {OWN}, {loads('l', 'own')} SELECT w, pid, n_docs FROM l",
+    "partition_load_idle": f"WITH {IDLE} SELECT w, pid, n_docs FROM l",
+    "partition_idle_least": f"""WITH {IDLE}
+SELECT w, pid, n_docs FROM l QUALIFY row_number() OVER (PARTITION BY w ORDER BY n_docs, pid DESC) = 1""",
+    "partition_idle": f"""WITH {OWN}, {loads('l', 'own')}
 SELECT w, pid, n_docs FROM l QUALIFY row_number() OVER (PARTITION BY w ORDER BY n_docs, pid DESC) = 1""",
     "partition_quality": f"WITH {OWN}, {quality('q', 'own')} SELECT w, n_docs, max_load, avg_comm FROM q",
     "routes": f"WITH {OWN} SELECT w, doc, pid FROM own",

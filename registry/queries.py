@@ -25,7 +25,7 @@ from docweave.sources import sinks
 from docweave.sources import tables as T
 from docweave.streaming import batches as B
 from docweave.streaming.joins import stream_natural_join
-from registry.fixtures import K, WINDOW, keyed, mixed_attrs, mixed_events, places, table, universal_events
+from registry.fixtures import K, WINDOW, keyed, mixed_attrs, mixed_events, places, table, universal_events, wide_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -184,6 +184,32 @@ def json_nested_flatten(spark, sf):
     return _json_pairs(spark, sf, "lines", "flatten")
 
 
+@query
+def json_nested_deep(spark, sf):
+    """Six levels, the depth measured from the files."""
+    path = new_folder(spark, "json")
+    opened = "".join(f'{{"n{i}":' for i in range(1, 6))
+    table(spark, sf, "orders").select(
+        F.concat(
+            F.lit('{"key":'), F.col("o_orderkey").cast("string"), F.lit(',"status":"'), F.col("o_orderstatus"),
+            F.lit('","n0":' + opened), F.lit('{"customer":'), F.col("o_custkey").cast("string"), F.lit("}" * 7),
+        ).alias("value")
+    ).write.text(path)
+    docs = JD.read_json_documents(spark, path, "lines", "key", nested="flatten")
+    return docs.select(F.col("doc").cast("bigint").alias("doc"), F.explode("m").alias("attr", "val"))
+
+
+@query
+def doc_trimmed_pairs(spark, sf):
+    """Spaces around names and values fall away."""
+    padded = F.array(
+        F.struct(F.lit(" brand ").alias("attr"), F.concat(F.lit("\t "), F.col("p_brand"), F.lit("  ")).alias("val")),
+        F.struct(F.lit("type").alias("attr"), F.concat(F.lit(" "), F.col("p_type")).alias("val")),
+    )
+    trimmed = V.trim_pairs(padded)
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("doc"), F.inline(trimmed))
+
+
 # --- windows ---------------------------------------------------------------------------
 
 
@@ -310,8 +336,8 @@ def partition_top_k(spark, sf):
 
 
 def _local(spark, sf):
-    """Groups of four shards over the first 100 documents of each."""
-    return G.local_association_groups(mixed_events(spark, sf), 4, 400, F.col("doc") % 4)
+    """Groups of four shards."""
+    return G.local_association_groups(mixed_events(spark, sf), 4, F.col("doc") % 4)
 
 
 @query
@@ -323,7 +349,7 @@ def assoc_groups_local(spark, sf):
 def assoc_groups_collected(spark, sf):
     """Two runs over half the shards each, united."""
     docs = mixed_events(spark, sf)
-    parts = [G.local_association_groups(docs.where(F.col("doc") % 2 == r), 4, None, F.col("doc") % 4) for r in (0, 1)]
+    parts = [G.local_association_groups(docs.where(F.col("doc") % 2 == r), 4, F.col("doc") % 4) for r in (0, 1)]
     return G.collect_local_groups(*parts)
 
 
@@ -346,12 +372,6 @@ def partition_assign(spark, sf):
     return PT.assign_partitions(_groups(spark, sf), K).withColumn("pid", F.col("pid").cast("bigint"))
 
 
-@query
-def partition_assign_distinct(spark, sf):
-    docs = mixed_events(spark, sf)
-    return PT.assign_partitions(_groups(spark, sf), K, "distinct", docs).withColumn("pid", F.col("pid").cast("bigint"))
-
-
 def _snake_table(spark, sf):
     groups = _groups(spark, sf)
     return stage(PT.partition_table(groups, PT.assign_partitions(groups, K, "snake")))
@@ -363,6 +383,11 @@ def _own_routes(spark, sf, docs=None):
     return R.route(docs, _snake_table(spark, sf), K)
 
 
+def _loads(spark, sf):
+    table_ = _snake_table(spark, sf)
+    return PT.partition_loads(R.route(mixed_events(spark, sf), table_, K), table_)
+
+
 @query
 def partition_table(spark, sf):
     return _snake_table(spark, sf).withColumn("pid", F.col("pid").cast("bigint"))
@@ -370,12 +395,26 @@ def partition_table(spark, sf):
 
 @query
 def partition_load(spark, sf):
-    return PT.partition_loads(_own_routes(spark, sf)).withColumn("pid", F.col("pid").cast("bigint"))
+    return _loads(spark, sf).withColumn("pid", F.col("pid").cast("bigint"))
+
+
+@query
+def partition_load_idle(spark, sf):
+    """Documents of one attribute: most partitions of their table get none of them."""
+    few = mixed_events(spark, sf).withColumn("m", F.map_filter("m", lambda k, _: k == "grp")).where(F.size("m") > 0)
+    table_ = _snake_table(spark, sf)
+    return PT.partition_loads(R.route(few, table_, K), table_).withColumn("pid", F.col("pid").cast("bigint"))
+
+
+@query
+def partition_idle_least(spark, sf):
+    """The least loaded partition where some are idle."""
+    return PT.least_loaded(stage(partition_load_idle(spark, sf)))
 
 
 @query
 def partition_idle(spark, sf):
-    return PT.least_loaded(PT.partition_loads(_own_routes(spark, sf))).withColumn("pid", F.col("pid").cast("bigint"))
+    return PT.least_loaded(_loads(spark, sf)).withColumn("pid", F.col("pid").cast("bigint"))
 
 
 @query
@@ -444,7 +483,7 @@ def _update_inputs(spark, sf):
     docs = _later(mixed_events(spark, sf))
     old = _next(_snake_table(spark, sf))
     fresh = docs.join(R.update_candidates(docs, R.unseen_counts(docs, old)), ["w", "doc"], "left_semi")
-    loads = _next(PT.partition_loads(_own_routes(spark, sf)))
+    loads = _next(_loads(spark, sf))
     return old, stage(fresh), stage(loads)
 
 
@@ -500,12 +539,6 @@ def repartition_causes(spark, sf):
     return Q.repartition_counts(Q.repartition_cause(_drift(spark, sf)))
 
 
-@query
-def repartition_replay(spark, sf):
-    """Table version, quality and cause per window of 2,500 events."""
-    return partitioning.repartition_replay(mixed_events(spark, sf, 2500), Options(k=K))
-
-
 # --- joins -----------------------------------------------------------------------------
 
 
@@ -534,7 +567,7 @@ def join_partitioned(spark, sf):
 def join_partitioned_hash(spark, sf):
     """Groups from a sample of each shard; the rest of the pairs go by hash."""
     docs = mixed_events(spark, sf)
-    options = Options(k=K, shards=4, window_size=WINDOW // 2)
+    options = Options(k=K, shards=4)
     return J.natural_join_partitioned(docs, R.route(docs, build_table(docs, options), K, "hash"))
 
 
@@ -592,6 +625,24 @@ def join_sets(spark, sf):
     return J.joinable_sets(J.natural_join(docs), docs).select("w", "doc", "part", listed("partners").alias("partners"))
 
 
+@query
+def join_wide(spark, sf):
+    """One window of all line items, eight optional attributes."""
+    return J.natural_join(wide_lines(spark, sf))
+
+
+@query
+def join_wide_index(spark, sf):
+    return J.natural_join_index(wide_lines(spark, sf))
+
+
+@query
+def join_wide_sets(spark, sf):
+    docs = wide_lines(spark, sf)
+    sets = J.joinable_sets(J.natural_join(docs), docs)
+    return sets.select("w", "doc", listed("partners").alias("partners"))
+
+
 @query
 def join_csv(spark, sf):
     """Partner sets written as ``|``-separated text and read back."""

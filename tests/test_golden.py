@@ -57,12 +57,9 @@ def test_groups(golden):
     assert found == GROUPS
 
 
-def test_partitions_with_distinct_load(golden):
-    groups = G.association_groups(golden)
-    table = PT.partition_table(groups, PT.assign_partitions(groups, 2, "distinct", golden))
-    assert {(r["attr"], r["val"], r["pid"]) for r in table.collect()} == {
-        ("b", "2", 0), ("a", "2", 0), ("a", "1", 1), ("c", "3", 1), ("d", "9", 1),
-    }
+def test_partitions_route_and_measure(golden, make_documents):
+    rows = [("b", "2", 0), ("a", "2", 0), ("a", "1", 1), ("c", "3", 1), ("d", "9", 1)]
+    table = golden.sparkSession.createDataFrame([(0, *r) for r in rows], "w long, attr string, val string, pid int")
     routes = route(golden, table, 2)
     assert {r["doc"]: r["pids"] for r in routes.collect()} == {1: [0, 1], 2: [1], 3: [0], 4: [0, 1], 5: [1]}
     q = PT.partition_quality(routes).first()
@@ -71,6 +68,27 @@ def test_partitions_with_distinct_load(golden):
     assert (s["copies"], s["min_copies"], s["max_copies"]) == (7, 1, 2)
 
 
+def test_idle_partitions_have_load_zero(golden, make_documents):
+    table = golden.sparkSession.createDataFrame(
+        [(0, "a", "1", 0), (0, "z", "1", 1)], "w long, attr string, val string, pid int"
+    )
+    loads = PT.partition_loads(route(make_documents([(1, {"a": "1"}), (2, {"a": "1"})]), table, 2), table)
+    assert as_set(loads, "pid", "n_docs") == {(0, 2), (1, 0)}
+    assert PT.least_loaded(loads).first()["pid"] == 1
+    new = make_documents([(3, {"z": "1"}), (4, {"q": "1"})])
+    assert as_set(PT.choose_partition(table, new, loads), "doc", "pid") == {(3, 1), (4, 1)}
+    assert as_set(PT.update_partitions(table, new, loads)[1], "pid", "n_docs") == {(0, 2), (1, 2)}
+
+
+def test_csv_has_none_only_for_documents_without_partners(golden):
+    from docweave.sources.sinks import joinable_lines
+
+    lines = joinable_lines(J.joinable_sets(J.natural_join(golden), golden, parts=3)).collect()
+    none = [r["DocumentID"] for r in lines if r["JoinableDocuments"] == "None"]
+    assert sorted(none) == ["5", "6"]
+    assert not {r["DocumentID"] for r in lines if r["JoinableDocuments"] != "None"} & set(none)
+
+
 def test_partitions_with_additive_load(golden):
     """Sizes 3, 2, 2, 1: the last group finds loads 3 and 4."""
     groups = G.association_groups(golden)
@@ -78,16 +96,10 @@ def test_partitions_with_additive_load(golden):
     assert got == {"b": 0, "a": 1, "c": 1, "d": 0}
 
 
-def test_large_windows_fall_back_to_additive_load(golden):
-    groups = G.association_groups(golden)
-    got = PT.assign_partitions(groups, 2, "distinct", golden, max_rows=3)
-    assert as_set(got, "g_attr", "pid") == as_set(PT.assign_partitions(groups, 2), "g_attr", "pid")
-
-
 def test_fewer_groups_than_partitions(golden):
     groups = G.association_groups(golden)
-    for load in ("additive", "snake", "distinct"):
-        got = PT.assign_partitions(groups, 9, load, golden)
+    for load in ("additive", "snake"):
+        got = PT.assign_partitions(groups, 9, load)
         assert sorted(r["pid"] for r in got.collect()) == [0, 1, 2, 3]
 
 

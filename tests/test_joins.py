@@ -82,7 +82,7 @@ def test_shared_counts(random_docs, random_rows, want):
 
 @pytest.mark.parametrize(("k", "unseen"), [(1, "broadcast"), (8, "broadcast"), (2, "hash"), (8, "hash")])
 def test_partitioned_join(random_docs, want, k, unseen):
-    options = Options(k=k, shards=3, window_size=30)
+    options = Options(k=k, shards=3)
     routes = route(random_docs, build_table(random_docs, options), k, unseen)
     got = J.natural_join_partitioned(random_docs, routes, Core(("a", "b", "c")))
     assert as_set(got, "w", "a", "b") == want
@@ -142,7 +142,7 @@ def test_probe(make_documents, random_docs, random_rows, want):
 
 
 def test_partner_lists_split_but_stay_whole(random_docs, want):
-    sets = J.joinable_sets(J.natural_join(random_docs), random_docs, block=20).collect()
+    sets = J.joinable_sets(J.natural_join(random_docs), random_docs, parts=3).collect()
     assert max(r["part"] for r in sets) == 2
     got = {}
     for r in sets:

@@ -89,16 +89,14 @@ def test_each_pair_in_one_group(docs):
     assert got.count() == got.select("w", "attr", "val").distinct().count() == pairs
 
 
-def test_local_groups_by_hash_cover_their_sample(docs):
+def test_local_groups_by_hash_cover_all_pairs(docs):
     local = G.local_association_groups(docs, 4)
     assert local.select("w", "attr", "val").distinct().count() == S.pair_counts(docs).count()
-    sampled = G.local_association_groups(docs, 4, 20)
-    assert sampled.groupBy("w", "shard").agg(F.max("n_docs").alias("n")).agg(F.max("n")).first()[0] <= 5
     merged = G.regroup_global(G.dedupe_group_pairs(local), docs)
     assert merged.count() == S.pair_counts(docs).count()
 
 
-@pytest.mark.parametrize("load", ["additive", "distinct", "snake"])
+@pytest.mark.parametrize("load", ["additive", "snake"])
 def test_tables_own_every_pair_and_routes_are_complete(docs, rows, load):
     table = build_table(docs, Options(k=4, load=load))
     assert table.count() == S.pair_counts(docs).count()

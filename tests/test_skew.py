@@ -48,12 +48,12 @@ def test_split_keys_bound_each_cell(docs):
 
 
 def test_posting_lists_are_bounded_and_whole(docs):
-    lists = S.pair_index(docs, block=10)
+    lists = S.pair_index(docs, parts=6)
     hot = lists.where("attr = 'a' AND val = 'hot'").collect()
     assert len(hot) > 1 and {r["n_docs"] for r in hot} == {60}
     assert sorted(d for r in hot for d in r["docs"]) == list(range(60))
     assert max(len(r["docs"]) for r in hot) < 30
-    by_attr = S.posting_lists(docs, block=10).where("attr = 'a'").first()
+    by_attr = S.posting_lists(docs, parts=6).where("attr = 'a'").first()
     assert (by_attr["n_occurrences"], by_attr["n_vals"]) == (90, 6)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docweave.functions import values as V
 from docweave.operators.joins import natural_join
 from docweave.operators.pairs import dedupe_documents, shred, to_document
+from docweave.sources import json_documents as JD
 from docweave.sources.json_documents import parse_documents, read_json_documents, stream_documents
 from docweave.sources.sinks import joinable_lines, write_joinable_csv
 
@@ -82,12 +83,19 @@ def test_whole_objects_are_canonical(spark):
 
 def test_flatten(spark):
     text = '[{"p":{"a":1,"q":{"b":[1,2],"c":null}},"r":2,"e":{}}]'
-    assert parse_one(spark, text, nested="flatten") == [{"p_a": "1", "p_q_b": "[1,2]", "p_q_c": "null", "r": "2"}]
+    assert parse_one(spark, text, nested="flatten", depth=2) == [{"p_a": "1", "p_q_b": "[1,2]", "p_q_c": "null", "r": "2"}]
 
 
-def test_flatten_deeper_than_depth_keeps_text(spark):
-    got = parse_one(spark, '[{"a":{"b":{"c":{"d":1}}}}]', nested="flatten", depth=2)
-    assert got == [{"a_b_c": '{"d":1}'}]
+def test_flatten_deeper_than_the_depth_given_fails(spark):
+    text = '[{"a":{"b":{"c":{"d":1}}}}]'
+    assert parse_one(spark, text, nested="flatten", depth=3) == [{"a_b_c_d": "1"}]
+    with pytest.raises(Exception, match="deeper than 2"):
+        parse_one(spark, text, nested="flatten", depth=2)
+
+
+def test_depth_counts_braces_outside_strings(spark):
+    text = r'[{"a":{"b":"}}{{{","c":{"d\"{":1}}},{"x":1}]'
+    assert spark.range(1).select(JD.object_depth(F.lit(text))).first()[0] == 3
 
 
 def test_array_order_matters_unless_declared_a_set(spark):
