@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.columns import free_name, scan
+from docweave.llm.columns import free_name, scan, small_batches
 from docweave.llm.components import components
 from docweave.llm.packed import PACKED, find, mapped, merge, pack, save, shard_count, shared_folder, unique_counts
 from docweave.llm.words import U64, blocks, mix, ngrams, offsets, text_bytes, word_hashes
@@ -35,7 +35,8 @@ from docweave.session import stage
 SHINGLE = 5
 HELD = 2_000_000
 CLASSES = np.array([8, 64, 512, 4096])  # counts beyond which a shingle stands later in the order
-ROUNDS = 8
+ROUNDS = 3
+BATCH = 500  # rows of whole sets or texts that a worker gets at once
 SMALL = 32  # pairs per row up to which a tile is small
 FEW = 1_000_000  # rows of 8 bytes
 NODE = "n long, node long, first array<long>, places array<int>, bits binary, shingles binary"
@@ -200,7 +201,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int)
         asked = F.broadcast(asked)
     sets = stage(sets.select("row", "shingles").join(asked, "row", "left_semi"))
     exact = near.join(shingles("a"), "row_a").join(shingles("b"), "row_b")
-    return exact.where(scan(_links, "boolean", percent)("shingles_a", "shingles_b")).select("a", "b")
+    with small_batches(pairs.sparkSession, BATCH):
+        return stage(exact.where(scan(_links, "boolean", percent)("shingles_a", "shingles_b")).select("a", "b"))
 
 
 def find_links(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
@@ -254,7 +256,7 @@ def find_links(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | N
         rest = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
         pairs = pairs.where("x_c <> y_c").where(rest * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent)
         pairs = pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-        new = stage(verified(stage(pairs), nodes, sets, percent))
+        new = verified(stage(pairs), nodes, sets, percent)
         links = new if links is None else links.union(new)
         found = stage(components(links))
         tiles = stage(tiles.join(open_.where("not whole").select("key", "band"), ["key", "band"]))
@@ -275,14 +277,16 @@ def join_components(
     def count(name: str) -> set[int]:
         counted = texts.mapInArrow(functools.partial(_count, order["shards"], order if "often" in order else None, percent), PACKED)
         kept = merge(counted, order["shards"], functools.partial(_keep, order["folder"], name), "shard int, n long")
-        return {r.shard for r in kept.collect() if r.n}
+        with small_batches(spark, BATCH):
+            return {r.shard for r in kept.collect() if r.n}
 
     order["often"] = count("often")
     order["shared"] = count("shared")
     rows = docs.select("text", "doc_id", *([F.xxhash64("text").alias("text_hash")] if hashed else []))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {'text_hash long, ' * hashed}{NODE}"
     sets = rows.mapInArrow(functools.partial(_nodes, order, percent), schema)
-    sets = stage(sets.withColumn("row", F.monotonically_increasing_id()))
+    with small_batches(spark, BATCH):
+        sets = stage(sets.withColumn("row", F.monotonically_increasing_id()))
     some = sets.where("shingles is not null")
     nodes = stage(some.groupBy("node").agg(*(F.min(c).alias(c) for c in ("n", "first", "places", "bits", "row"))))
     found = find_links(nodes, sets, percent)
