@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -134,6 +135,40 @@ def test_repeated_passages_go_and_clean_texts_stay(docs, rows, none):
     assert chunks.drop_repeats(none).count() == 0
 
 
+def brute_repeats(texts: list[bytes], size: int) -> list[set[int]]:
+    """Bytes of each text in a window that occurred before (beyond its first place)."""
+    seen, out = {}, []
+    for t, raw in enumerate(texts):
+        gone = set()
+        for i in range(len(raw) - size + 1):
+            u, j = seen.setdefault(raw[i : i + size], (t, i))
+            if (u, j) != (t, i):
+                gone.update(range(max(i, j + size) if u == t else i, i + size))
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize("kinds", [1000, 2])
+def test_every_repeated_window_goes(spark, monkeypatch, kinds):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    fresh = lambda n: " ".join(word() for _ in range(n))
+    passages = [fresh(51) for _ in range(300)]
+    short = [fresh(40)[:96] for _ in range(100)]  # exactly as long as the limit
+    texts = [f"{fresh(20)} {p} {fresh(20)}" for _ in range(2) for p in [*passages, *short]]
+    shared = [fresh(12) for _ in range(4)]
+    # A seed whose first place goes on in another way, and passages put together from several places.
+    texts += [f"{fresh(9)}{rng.choice(shared)}{rng.choice(shared)}{fresh(9)}{rng.choice(shared)}" for _ in range(40)]
+    texts += ["x" * 5000, "-=" * 700 + fresh(30) + "-=" * 700, fresh(60) * 3, passages[0][:95]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = brute_repeats([x.encode() for x in texts], 96)
+    monkeypatch.setattr(chunks, "KINDS", kinds)
+    got = {r.doc_id: r for r in chunks.drop_repeats(docs).collect()}
+    for t, bytes_ in enumerate(want):
+        assert {i for s in got[t].removed for i in range(s["start"], s["end"])} == bytes_, t
+    assert all(got[400 + t].n_removed >= len(p) for t, p in enumerate([*passages, *short]))
+
+
 def test_cuts_move_only_near_an_insertion():
     rng = np.random.default_rng(2)
     old = rng.integers(97, 123, 20_000).astype(np.uint8)
