@@ -7,8 +7,14 @@ way from ordinary runs.  Every other run of credential characters is scored by t
 likelihood ratio per character of each kind against the ordinary one; runs above the kind's
 threshold become spans ``like_<kind>``.  What the rules find always stays.
 
+Other runs may hold credentials that no rule knows.  So there are two ordinary automata, from the
+two halves of the sample by hash, and a run is scored by the one it is not in; and a threshold
+comes from labelled values scored by automata they are not in, and from the quartiles of the
+ratios of all distinct other runs, which no few runs can move.
+
 Sample bound: ``EXAMPLES`` values per kind, ``ORDINARY`` times as many ordinary runs, those with
-the smallest hash.  No sampled ordinary run passes a threshold.
+the smallest hash.  Of a longer value the automata learn the first ``LONGEST`` characters; every run
+is scored whole.
 Counts of spans, candidates and scores cover all texts.  Null text is empty and has no spans.
 """
 
@@ -16,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import deque
 from collections.abc import Iterator
 
@@ -39,6 +46,8 @@ EXAMPLES = 600
 ORDINARY = 4  # times as many ordinary runs, which are more diverse
 ALPHABET = 67
 FLOOR = 1e-4  # share of probability spread over the alphabet
+LONGEST = 200  # characters of a value that are learned
+FENCE = 3  # quartile distances above the upper quartile of other runs
 REMEMBERED = 50_000
 SPANS = "array<struct<kind: string, start: int, end: int, score: double>>"
 
@@ -78,7 +87,7 @@ class Automaton:
         for value in values:
             s = 0
             self.arrived[0] += 1
-            for c in value:
+            for c in value[:LONGEST]:
                 if c not in self.moves[s]:
                     self.moves[s][c] = [len(self.moves), 0]
                     self.moves.append({})
@@ -87,7 +96,7 @@ class Automaton:
                 self.moves[s][c][1] += 1
                 s = self.moves[s][c][0]
                 self.arrived[s] += 1
-            self.ended[s] += 1
+            self.ended[s] += len(value) <= LONGEST
 
     def alike(self, a: int, b: int, bound: float) -> bool:
         """No end or move of the two states, or of states they lead to, differs beyond chance."""
@@ -176,30 +185,39 @@ def log_likelihood(table, value: str) -> float:
     return total + ends[s]
 
 
+def half(value: str) -> int:
+    return zlib.crc32(value.encode()) & 1
+
+
 def ratios(model: dict, value: str) -> list[float]:
-    """Log2 likelihood ratio per character of each kind against ordinary runs."""
-    usual = log_likelihood(model["ordinary"], value)
+    """Log2 likelihood ratio per character of each kind against ordinary runs of the other half."""
+    usual = log_likelihood(model["ordinary"][1 - half(value)], value)
     return [(log_likelihood(t, value) - usual) / (len(value) + 1) for t in model["tables"]]
 
 
 def learn(values: dict[str, list[str]]) -> dict:
-    """Automata and thresholds from labelled values; a kind with under 5 values learns nothing."""
+    """Automata, and thresholds from labelled values; a kind with under 5 values learns nothing."""
     kinds = [k for k in KINDS if len(values.get(k, ())) >= 5]
-    ordinary = values.get("other", [])
-    model = {"kinds": kinds, "ordinary": Automaton(ordinary).merged().table(0.1), "tables": []}
+    other: list[list[str]] = [[], []]
+    for v in values.get("other", []):
+        other[half(v)].append(v)
+    model = {"kinds": kinds, "ordinary": [Automaton(o).merged().table(0.1) for o in other], "thresholds": []}
     model["tables"] = [Automaton(values[k]).merged().table() for k in kinds]
-    usual = np.array([ratios(model, v) for v in ordinary]).reshape(len(ordinary), len(kinds))
-    model["thresholds"] = [
-        max(
-            0.35 * float(np.median([ratios(model, v)[i] for v in values[k]])),
-            float(usual[:, i].max()) if len(ordinary) else 0.0,
-            0.5,
-        )
-        for i, k in enumerate(kinds)
-    ]
+    for k in kinds:
+        own = []
+        for i in (0, 1):
+            rest = model | {"tables": [Automaton(values[k][1 - i :: 2]).merged().table()]}
+            own += [ratios(rest, v)[0] for v in values[k][i::2]]
+        model["thresholds"].append(max(min(0.35 * float(np.median(own)), float(np.quantile(own, 0.05))), 0.5))
     return model
 
 
+def above_usual(model: dict, quartiles: list[tuple[float, float]]) -> dict:
+    """The model with thresholds above what is usual, from quartiles of all other runs' ratios by kind."""
+    fences = [high + FENCE * (high - low) for low, high in quartiles]
+    return model | {"thresholds": [max(t, f) for t, f in zip(model["thresholds"], fences, strict=True)]}
+
+
 # --- Spark ------------------------------------------------------------------------------
 
 
@@ -217,10 +235,14 @@ def _examples(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())])))
 
 
-def labelled_values(docs: DataFrame, examples: int = EXAMPLES) -> dict[str, list[str]]:
-    """Up to ``examples`` distinct values per kind, those with the smallest hash."""
+def distinct_values(docs: DataFrame) -> DataFrame:
+    """All distinct labelled values and other runs, staged."""
     found = docs.select(F.explode(scan(_examples, "array<struct<kind: string, value: string>>")("text")).alias("x"))
-    values = stage(found.select("x.kind", "x.value").where("length(x.value) <= 200").distinct())
+    return stage(found.select("x.kind", "x.value").distinct())
+
+
+def labelled_values(values: DataFrame, examples: int = EXAMPLES) -> dict[str, list[str]]:
+    """Up to ``examples`` distinct values per kind, those with the smallest hash."""
     out = {}
     for kind in (*KINDS, "other"):
         most = examples * (ORDINARY if kind == "other" else 1)
@@ -229,6 +251,24 @@ def labelled_values(docs: DataFrame, examples: int = EXAMPLES) -> dict[str, list
     return out
 
 
+def _ratios(shared, columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for column in columns:
+        yield pa.array([ratios(shared.value, v) for v in column.to_pylist()], pa.list_(pa.float64()))
+
+
+def fitted(docs: DataFrame, examples: int = EXAMPLES) -> dict:
+    """The model, with thresholds over all distinct other runs."""
+    values = distinct_values(docs)
+    model = learn(labelled_values(values, examples))
+    if not model["kinds"]:
+        return model
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    scored = values.where("kind = 'other'").select(scan(_ratios, "array<double>", shared)("value").alias("r"))
+    quartiles = [F.percentile_approx(F.col("r")[i], [0.25, 0.75], 10_000) for i in range(len(model["kinds"]))]
+    found = scored.agg(*quartiles).first()
+    return model if found[0] is None else above_usual(model, [tuple(q) for q in found])
+
+
 def _spans(shared, columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
     model = shared.value
     names = [f"like_{k}" for k in model["kinds"]]
@@ -263,7 +303,7 @@ def _spans(shared, columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def with_secrets(docs: DataFrame, into: str = "secrets", examples: int = EXAMPLES) -> DataFrame:
     """``docs`` with all spans as an array of (kind, start, end, score), in code points."""
-    model = docs.sparkSession.sparkContext.broadcast(learn(labelled_values(docs, examples)))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, examples))
     return docs.withColumn(into, scan(_spans, SPANS, model)("text"))
 
 
@@ -284,5 +324,5 @@ def _redact(shared, columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def redact(docs: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """``docs`` with every span replaced by ``[secret]``; no row is dropped."""
-    model = docs.sparkSession.sparkContext.broadcast(learn(labelled_values(docs, examples)))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, examples))
     return docs.withColumn("text", scan(_redact, "string", model)("text"))

@@ -50,6 +50,20 @@ def test_secret_scan_keeps_base_spans_and_redacts(docs, rows, none):
     assert secrets.redact(docs).columns == docs.columns and secrets.with_secrets(none, "found").count() == 0
 
 
+def test_unlabelled_credentials_among_other_runs_are_found(spark):
+    rng = __import__("random").Random(3)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    usual = lambda: "".join(rng.choice(["tion", "er", "an", "the", "lich"]) for _ in range(5))
+    texts = [f"{usual()} token={hexes(40)} {usual()}" for _ in range(60)] + [f"{usual()} {usual()}" for _ in range(300)]
+    hidden = [hexes(15) + "-" + hexes(15) for _ in range(6)]
+    texts += [f"{usual()} {v} {usual()}" for v in hidden] + [f"{usual()} {'ab' * 150}{'Z' * 50} {usual()}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in secrets.with_secrets(docs).collect()}
+    like = {i: [r.text[s["start"] : s["end"]] for s in r.secrets if s["kind"].startswith("like_")] for i, r in got.items()}
+    assert [like[360 + i] for i in range(6)] == [[v] for v in hidden]
+    assert not any(like[i] for i in range(360))
+
+
 def brute_contamination(text, items, window=10):
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     w, hit, names = find(text), set(), set()
