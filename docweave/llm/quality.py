@@ -8,10 +8,14 @@ documents are scored in one pass.  This is done for two targets, quality and tox
 document is kept if it is more likely good than not and more likely not toxic.
 
 Sample bounds: ``LABELLED`` labelled and ``POOL`` unlabelled documents, those with the smallest
-hash of their id; whole texts.  Everything else covers all documents.
-
-Null text is empty.  Of labels that repeat, the worse counts; null labels teach nothing.  A
-target with fewer than ``LEAST`` labels of either class is not learned: quality 1, toxicity 0.
+hash of their id; whole texts.  Everything else covers all documents.  The labelled ones are drawn
+per class (a combination of both labels): as many of each, or all if there are fewer.  Calibration
+weighs them by what they stand for.  A fifth of each class, one at least, is held out.
+
+Null text is empty.  Of labels that repeat, the worse counts; null labels teach nothing.  With
+fewer than ``FEW`` labels of a class to fit, weights are held closer to zero.  A target is not
+learned (quality 1, toxicity 0) only if no label, or a single one in each combination, of one of
+its classes belongs to a document.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from docweave.session import stage
 
 LABELLED = 8_000
 POOL = 8_000
-LEAST = 20
+FEW = 20
 FEATURES = 1_500  # words and word heads per target
 HEAD = 5
 ROUNDS = 3
@@ -157,35 +161,38 @@ def fit_sparse(rows, columns, y, use, width, weights=None, steps=120, ridge=2e-4
     return w
 
 
-def fit_dense(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def fit_dense(x: np.ndarray, y: np.ndarray, stands: np.ndarray, ridge=1e-2) -> np.ndarray:
     """Logistic weights (the last is the constant) of few columns, by Newton steps."""
     a = np.c_[x, np.ones(len(x))]
     w = np.zeros(a.shape[1])
     for _ in range(25):
         p = sigmoid(a @ w)
-        h = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(len(w))
-        w -= np.linalg.solve(h, a.T @ (p - y) + 1e-2 * w)
+        h = (a * (stands * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w))
+        w -= np.linalg.solve(h, a.T @ (stands * (p - y)) + ridge * w)
     return w
 
 
-def co_train(views: list[tuple], y: np.ndarray, known: np.ndarray, held: np.ndarray) -> dict | None:
+def co_train(views: list[tuple], y: np.ndarray, known: np.ndarray, held: np.ndarray, stands: np.ndarray | None = None) -> dict | None:
     """Weights, calibration and combination of two views.
 
     ``views``: (rows, columns, width) of each; ``y``: labels where ``known``; ``held``: those
-    labels that only calibrate.
+    labels that only calibrate; ``stands``: how many labels each stands for.
     """
     fit, n = known & ~held, len(y)
-    if min(y[fit].sum(), (1 - y[fit]).sum(), y[held].sum() * 6, (1 - y[held]).sum() * 6) < LEAST:
+    stands = np.ones(n) if stands is None else stands
+    least = min(y[fit].sum(), (1 - y[fit]).sum(), y[held].sum() * 6, (1 - y[held]).sum() * 6)
+    if least == 0:
         return None
+    few = max(1.0, FEW / least) ** 2
     labels, uses = [y.astype(float).copy() for _ in views], [fit.astype(float) for _ in views]
     weights: list = [None] * len(views)
     calibration: list = [None] * len(views)
     for r in range(ROUNDS + 1):
         sure = []
         for k, (rows, columns, width) in enumerate(views):
-            weights[k] = fit_sparse(rows, columns, labels[k], uses[k], width, weights[k])
+            weights[k] = fit_sparse(rows, columns, labels[k], uses[k], width, weights[k], ridge=2e-4 * few)
             z = np.bincount(rows, weights[k][columns], n) + weights[k][-1]
-            calibration[k] = fit_dense(z[held, None], y[held])
+            calibration[k] = fit_dense(z[held, None], y[held], stands[held], 1e-2 * few)
             p = sigmoid(calibration[k][0] * z + calibration[k][1])
             sure.append((p, z))
         if r == ROUNDS:
@@ -194,14 +201,15 @@ def co_train(views: list[tuple], y: np.ndarray, known: np.ndarray, held: np.ndar
             other = 1 - k
             for label, score in ((1.0, p), (0.0, 1 - p)):
                 tried = held & (score >= SURE)
-                if tried.sum() < 10 or (y[tried] == label).mean() < 0.95:
-                    continue  # not shown to be right when it is sure
+                usual = np.average(y[held] != label, weights=stands[held])
+                if tried.sum() < 10 or np.average(y[tried] != label, weights=stands[tried]) > min(0.05, usual / 2):
+                    continue  # not shown to be right when it is sure, or sure only as the other class is rare
                 new = np.flatnonzero(~known & (uses[other] == 0) & (score >= SURE))
-                share = max(1, int(0.1 * n * (y[fit] == label).mean()))
+                share = max(1, int(0.1 * n * np.average(y[fit] == label, weights=stands[fit])))
                 new = new[np.argsort(-score[new], kind="stable")[:share]]
                 labels[other][new], uses[other][new] = label, 1.0
     logits = np.stack([c[0] * z + c[1] for c, (_, z) in zip(calibration, sure, strict=True)], 1)
-    return {"weights": weights, "calibration": calibration, "combination": fit_dense(logits[held], y[held])}
+    return {"weights": weights, "calibration": calibration, "combination": fit_dense(logits[held], y[held], stands[held], 1e-2 * few)}
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -209,16 +217,40 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     fine = labels.where("doc_id is not null and quality is not null and toxic is not null")
     fine = fine.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
     ids = docs.select("doc_id").where("doc_id is not null")
-    # Only ids with a document count, so take the first of both together.
-    labelled = fine.join(ids.distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
+    # Only ids with a document count.
+    labelled = stage(fine.join(ids.distinct(), "doc_id", "left_semi"))
+    labelled = per_class(labelled, {tuple(r[:2]): r[2] for r in labelled.groupBy(*TARGETS).count().collect()})
     pool = ids.distinct().join(fine, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(POOL)
     chosen = labelled.unionByName(pool, allowMissingColumns=True)
     meta = F.array(*metadata_columns(docs)).alias("meta")
     # A repeated id stands for its first text.
     rows = docs.select("doc_id", "text", meta).join(F.broadcast(chosen), "doc_id")
-    one = rows.groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "meta", "quality", "toxic")).alias("x"))
-    held = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(5)) == 0
-    return stage(one.select("doc_id", "x.*", held.alias("held")))
+    one = rows.groupBy("doc_id").agg(
+        F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "meta", "quality", "toxic", "stands", "held")).alias("x")
+    )
+    return stage(one.select("doc_id", "x.*"))
+
+
+def shares(counts: dict, most: int) -> dict:
+    """As many of each class, or all if there are fewer; ``most`` together."""
+    out, left = {}, most
+    for i, c in enumerate(sorted(counts, key=lambda c: (counts[c], c))):
+        out[c] = min(counts[c], left // (len(counts) - i))
+        left -= out[c]
+    return out
+
+
+def per_class(labelled: DataFrame, counts: dict) -> DataFrame:
+    """The sample of the labelled ids, with what each stands for and whether it is held out."""
+    out = labelled.where("false").select("*", F.lit(1.0).alias("stands"), F.lit(False).alias("held"))
+    for (quality, toxic), take in shares(counts, LABELLED).items():
+        own = labelled.where((F.col("quality") == quality) & (F.col("toxic") == toxic))
+        own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(take)
+        apart = own.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(min(max(1, take // 5), take - 1))
+        own = own.join(F.broadcast(apart.withColumn("held", F.lit(True))), "doc_id", "left")
+        stands = F.lit(counts[quality, toxic] / max(take, 1))
+        out = out.unionByName(own.select("doc_id", *TARGETS, stands.alias("stands"), F.coalesce("held", F.lit(False)).alias("held")))
+    return stage(out)
 
 
 def choose_features(rows: DataFrame) -> np.ndarray:
@@ -246,17 +278,18 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     if len(values):
         model["edges"] = [np.unique(np.quantile(values[:, k], np.arange(1, BINS) / BINS)) for k in range(SHAPES)]
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    data = rows.select("doc_id", "quality", "toxic", "held", "meta", scan(_column_lists, "array<int>", shared)("text").alias("x"))
+    data = rows.select("doc_id", "quality", "toxic", "stands", "held", "meta", scan(_column_lists, "array<int>", shared)("text").alias("x"))
     data = data.orderBy("doc_id").toArrow()
     lists = data.column("x").combine_chunks()
     text_view = (np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.values.to_numpy(), SHAPES * BINS + max(1, len(model["features"])))
     meta = np.array(data.column("meta").to_pylist(), np.int64).reshape(-1, 3)
     meta_view = (np.repeat(np.arange(len(meta)), 3), meta.ravel(), SOURCES + LANGS + SIZES)
     known = np.array([q is not None for q in data.column("quality").to_pylist()], bool)
-    held = np.array(data.column("held").to_pylist(), bool) & known
+    held = np.array([bool(h) for h in data.column("held").to_pylist()], bool) & known
+    stands = np.array([x or 1.0 for x in data.column("stands").to_pylist()], float)
     for t in TARGETS:
         y = np.array([x or 0 for x in data.column(t).to_pylist()], float)
-        model[t] = co_train([text_view, meta_view], y, known, held)
+        model[t] = co_train([text_view, meta_view], y, known, held, stands)
     return model
 
 

@@ -41,6 +41,21 @@ def test_a_view_that_is_never_sure_teaches_nothing():
     assert abs(w[0]) > abs(w[1]) and np.ptp(m["weights"][1][:4]) < 4
 
 
+def test_a_rare_class_is_learned_from_all_its_labels(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LABELLED", 200)
+    rng = np.random.default_rng(5)
+    usual = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(usual, 40)) + (" venom spite" if i % 75 == 0 else "") for i in range(3000)]
+    rows = [(i, t, "src", "en", len(t)) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 7 > 0), int(i % 75 == 0)) for i in range(3000) if i % 150 or i % 4], "doc_id long, quality int, toxic int")
+    got = quality.with_quality(table, labels, "q").select("doc_id", "q.toxic_score").collect()
+    found = {r.doc_id for r in got if r.toxic_score >= 0.5}
+    toxic = set(range(0, 3000, 75))  # the pool has only those without a label
+    assert len(found & toxic) >= 0.9 * len(toxic) and len(found - toxic) < 0.01 * len(got), (len(found & toxic), len(found - toxic))
+    assert quality.shares({(1, 0): 5000, (0, 1): 3, (0, 0): 90}, 200) == {(0, 1): 3, (0, 0): 90, (1, 0): 107}
+
+
 def test_stages_keep_columns_and_take_effect(spark, docs):
     left = docs.where("doc_id is not null")
     steps = dict(corpus_pipeline.STAGES)
