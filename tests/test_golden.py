@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from conftest import as_set
+from helpers import as_set
 from pyspark.sql import functions as F
 
 from docweave.operators import expansion as E

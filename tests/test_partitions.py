@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import as_set, joinable
+from helpers import as_set, joinable
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import as_set, brute_couples
+from helpers import as_set, brute_couples
 from pyspark.sql import functions as F
 
 from docweave.operators import groups as G

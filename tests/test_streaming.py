@@ -6,7 +6,7 @@ import datetime as dt
 import tempfile
 
 import pytest
-from conftest import as_set, brute_couples
+from helpers import as_set, brute_couples
 from pyspark.sql import functions as F
 
 from docweave.plans.partitioning import Options

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import pytest
-from conftest import as_set
+from helpers import as_set
 from pyspark.sql import functions as F
 
 from docweave.functions import values as V
