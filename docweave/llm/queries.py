@@ -122,3 +122,11 @@ def op2_quality_cotraining(spark, sf):
         "doc_id", "_quality.quality_text", "_quality.quality_metadata", "_quality.quality_score", "_quality.toxic_text",
         "_quality.toxic_metadata", "_quality.toxic_score", kept("_quality").alias("kept"),
     )
+
+
+@query
+def op13_spelling_variants(spark, sf):
+    from docweave.llm.spelling import variants, vocabulary
+
+    found = variants(vocabulary(table(spark, sf, "documents"), typos=31))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
