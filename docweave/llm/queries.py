@@ -130,3 +130,10 @@ def op13_spelling_variants(spark, sf):
 
     found = variants(vocabulary(table(spark, sf, "documents"), typos=31))
     return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query
+def op12_embedding_whitening(spark, sf):
+    from docweave.llm.whitening import whiten
+
+    return whiten(table(spark, sf, "embeddings"))
