@@ -137,3 +137,11 @@ def op12_embedding_whitening(spark, sf):
     from docweave.llm.whitening import whiten
 
     return whiten(table(spark, sf, "embeddings"))
+
+
+@query
+def op11_chosen_path_dedup(spark, sf):
+    from docweave.llm.chosen_paths import similar_components
+
+    found = similar_components(table(spark, sf, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
