@@ -11,7 +11,7 @@ a node a tree loses at most 1 in 16 pairs at similarity 0.8; ``TREES`` independe
 100,000.  Links are confirmed on full sets.
 
 Leaves rule a pair out by sizes, or if of 32 minwise tokens fewer than ``AGREE`` are equal, which
-two sets of similarity 0.8 do once in 10^8.
+two sets of similarity 0.8 do once in 10^6.
 
 Null and wordless text has an empty set and links with nothing; a text of fewer than four words is
 one shingle.  Rows that repeat an id or a text are rows of one node.  Rows get the smallest id of
@@ -36,7 +36,7 @@ from docweave.session import stage
 SHINGLE = 4
 TREES, BRANCHES, DEPTH = 4, 2, 4
 TOKENS = 32  # minwise tokens: eight a level
-AGREE = 12
+AGREE = 14
 ODD = mix(np.arange(1, TOKENS + 1, dtype=U64)) | U64(1)
 
 
@@ -110,6 +110,11 @@ def _pieces(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays(columns, ["node", "row_id", "piece", "shingles"])
 
 
+def pieces_of(texts: DataFrame, width: int) -> DataFrame:
+    """The sets of all texts, named as their rows are: node, row_id, piece, shingles."""
+    return texts.select("text", "row_id").mapInArrow(functools.partial(_pieces, width), "node long, row_id long, piece int, shingles binary")
+
+
 def may_link(percent: int, n: np.ndarray, sketches: pa.Array) -> np.ndarray:
     """Pairs whose sizes allow it and whose tokens agree often enough."""
     t = sketches.flatten().to_numpy().reshape(len(n), TOKENS)
@@ -130,13 +135,12 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = SHINGLE)
     some = rows.where("n > 0")
     # One row stands for all with the same set; which one makes no difference.
     nodes = stage(some.groupBy("node").agg(*(F.min(c).alias(c) for c in ("n", "row_id", "keys", "tokens"))))
-    sets = texts.select("text", "row_id").mapInArrow(functools.partial(_pieces, width), "node long, row_id long, piece int, shingles binary")
     found = linked(
         nodes.select(F.explode("keys").alias("key"), "node"),
         functools.partial(_branch, nodes.select("node", "tokens")),
         DEPTH,
         nodes.select("node", "n", F.col("tokens").alias("sketch"), "row_id"),
-        sets,
+        pieces_of(texts, width),
         percent,
         functools.partial(may_link, percent),
     )
@@ -151,11 +155,11 @@ def _branch(nodes: DataFrame, members: DataFrame, level: int) -> DataFrame:
     return further.select(F.xxhash64("key", F.col("at") + F.col("b"), token).alias("key"), "node")
 
 
-def named(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest id of all rows whose sets are linked to a row's."""
+def named(rows: DataFrame, found: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id (and ``more``): the smallest id of all rows whose sets are linked to a row's."""
     least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"))
     both = least.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = both.groupBy("component").agg(F.min("doc").alias("id"))
     ids = both.join(smallest, "component").select("node", "id")
     component = F.when(F.col("n") > 0, F.col("id")).otherwise(F.col("doc_id"))
-    return rows.join(ids, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return rows.join(ids, "node", "left").select("doc_id", *more, F.col("n").alias("n_shingles"), component.alias("component_id"))

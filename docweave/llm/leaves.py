@@ -2,10 +2,11 @@
 
 Keys come level by level from an operator's own way to choose them.  A group of at most ``LEAF``
 sets is compared whole in one task.  A larger one is cut into cells, each of which also gets the
-same few of its sets as pivots; links within cells and to pivots then tell its components, and
-only if there are still several does it go on: to the next level of keys, and beyond the last one
-to a grid of cells in which every two sets meet.  So no pair of sets that share a key and lie in
-different components is left out, and a large group of near copies costs what its rows cost.
+same few of its sets as pivots; links within cells and to pivots then tell its components.  If all
+but a few stragglers are one component, the stragglers meet every cell, and the group is done.
+If not, it goes on to the next level of keys, and beyond the last one to a grid of cells in which
+every two sets meet.  So no pair of sets that share a key and lie in different components is left
+out, and a large group of near copies costs what its rows cost.
 
 In a task, sketches of bounded size rule pairs out first; what they leave moves once more with the
 whole sets, and links are reduced to a forest while pairs are compared.
@@ -18,26 +19,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.components import components
-from docweave.llm.words import U64
+from docweave.llm.words import U64, expand
 from docweave.session import stage
 
-LEAF = 512
+LEAF = 2048
 PIVOTS = 16  # expected per large group
+STRAGGLERS = 512  # sets outside the largest component that every cell can take
+BYTES = 16 << 20  # of the sets of a part; two parts meet in a task
 PIECE = 1024  # shingles in a row of a set
-FEW = 1_000_000  # rows of 16 bytes up to which the sets asked for are broadcast
+FEW = 400_000  # rows of at most 40 bytes up to which the sets asked for are broadcast
 
 #: n and sketches of a group's sets to the matrix of pairs that may link
 MayLink = Callable[[np.ndarray, pa.Array], np.ndarray]
 
 
-def alike(common: int, n: int, m: int, percent: int) -> bool:
-    return 100 * common >= percent * (n + m - common)
-
-
 def pieces(shingles: np.ndarray) -> list[np.ndarray]:
     return [shingles[i : i + PIECE] for i in range(0, len(shingles), PIECE)]
 
@@ -74,6 +73,22 @@ def _labels(near: np.ndarray) -> np.ndarray:
         label = low
 
 
+def _parts(near: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
+    """The connected sets, whole where their bytes allow it, and otherwise part by part against each other."""
+    label, some = _labels(near), near.any(1)
+    for lab in np.unique(label[some]).tolist():
+        members = np.flatnonzero(some & (label == lab))
+        part = np.cumsum(8 * n[members]) // BYTES
+        parts = [members[part == k] for k in np.unique(part)]
+        if len(parts) == 1:
+            yield members
+            continue
+        for i, a in enumerate(parts):
+            for b in parts[i:]:
+                if near[np.ix_(a, b)].any():
+                    yield np.union1d(a, b)
+
+
 def _candidates(may_link: MayLink, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups within groups: sets that pairs which may link connect, numbered by the first of them."""
     out: list[list] = [[], [], [], []]
@@ -92,15 +107,13 @@ def _candidates(may_link: MayLink, batches: Iterator[pa.RecordBatch]) -> Iterato
         near &= c[:, None] != c[None, :]
         if not near.any():
             continue
-        label = _labels(near)
-        some = near.any(1)
-        for lab in np.unique(label[some]).tolist():
-            # Of the sets that a component already holds, each that may link to another one.
-            members = node[some & (label == lab)].tolist()
+        sub = 0
+        for members in _parts(near, n):
             out[0] += [key] * len(members)
             out[1] += [cell] * len(members)
-            out[2] += [lab] * len(members)
-            out[3] += members
+            out[2] += [sub] * len(members)
+            out[3] += node[members].tolist()
+            sub += 1
         if len(out[0]) > 10_000:
             yield sent()
     if out[0]:
@@ -110,19 +123,26 @@ def _candidates(may_link: MayLink, batches: Iterator[pa.RecordBatch]) -> Iterato
 def compared(sets: list[np.ndarray], known: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links between sets of different components that connect the same sets as all links do."""
     _, root = np.unique(known, return_inverse=True)
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sets, root = [sets[i] for i in order], root[order]
     n = np.array([len(s) for s in sets])
-    order = np.argsort(n, kind="stable")
+    at = np.concatenate([[0], np.cumsum(n)])
+    names, of = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(names), np.int64)
     links = []
-    for place, i in enumerate(order.tolist()):
-        for j in order[place + 1 :].tolist():
-            if 100 * n[i] < percent * n[j]:
-                break
-            if root[i] == root[j]:
-                continue
-            x, y = sets[i], sets[j]
-            common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            if alike(common, len(x), len(y), percent):
-                links.append((i, j))
+    for i in range(len(sets) - 1):
+        # Sizes grow, so those that may be alike are a range.
+        end = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
+        others = np.flatnonzero(root[i + 1 : end] != root[i]) + i + 1
+        if not len(others):
+            continue
+        mark[of[at[i] : at[i + 1]]] = 1
+        common = np.add.reduceat(mark[of[expand(at[others], n[others])]], np.cumsum(n[others]) - n[others])
+        mark[of[at[i] : at[i + 1]]] = 0
+        near = 100 * common >= percent * (n[i] + n[others] - common)
+        for j in others[near].tolist():
+            if root[i] != root[j]:
+                links.append((int(order[i]), int(order[j])))
                 root[root == root[j]] = root[i]
     return links
 
@@ -148,7 +168,8 @@ def _verified(candidates: DataFrame, nodes: DataFrame, sets: DataFrame, percent:
         F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("lo"), F.max("node").alias("hi")
     )
     once = prints.groupBy("m", "x", "lo", "hi").agg(F.min(F.struct("key", "cell", "sub")).alias("g")).select("g.*")
-    members = candidates.join(once, ["key", "cell", "sub"]).join(nodes.select("node", "c"), "node")
+    members = stage(candidates.join(once, ["key", "cell", "sub"]).join(nodes.select("node", "c"), "node"))
+    members = F.broadcast(members) if members.count() <= FEW else members  # then only the sets move, once
     order = ["key", "cell", "sub", "node", "piece"]
     rows = members.join(sets, "node").select(*order, "c", "shingles")
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -158,58 +179,85 @@ def _verified(candidates: DataFrame, nodes: DataFrame, sets: DataFrame, percent:
 
 def linked(
     first: DataFrame, branch: Callable[[DataFrame, int], DataFrame], levels: int, nodes: DataFrame, sets: DataFrame, percent: int, may_link: MayLink
-) -> DataFrame | None:
-    """(node, component) of all nodes that links connect; None where there is no link to try.
+) -> DataFrame:
+    """(node, component) of all nodes that links connect.
 
     ``first`` holds (key, node), ``branch(members, level)`` the same for the members (key, node)
     of groups that go on; ``nodes`` node, n, sketch, row_id; ``sets`` node, row_id, piece, shingles.
     """
-    spark = nodes.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found, large, members = None, None, first
-    for level in range(levels + 1):
-        last = level == levels
-        if level and not last:
-            members = branch(large, level)
-        elif last:
-            members = large
-        known = nodes.withColumn("c", F.col("node")) if found is None else (
-            nodes.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        )
-        known = stage(known) if found is not None else known
-        members = stage(members.join(known.select("node", "c"), "node").select("key", "node", "c"))
-        sizes = members.groupBy("key").agg(
-            F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("lo"),
-            F.max("node").alias("hi"), (F.min("c") < F.max("c")).alias("several"),
-        ).where("m > 1 and several")
-        once = sizes.groupBy("m", "x", "lo", "hi").agg(F.min("key").alias("key")).select("key", "m")
-        members = stage(members.join(once, "key"))
-        if not level:  # later groups are parts of these, so no other set is needed
-            asked = stage(members.select("node").distinct().join(nodes.select("node", "row_id"), "node").select("node", "row_id"))
-            asked = F.broadcast(asked) if asked.count() <= FEW else asked
-            sets = stage(sets.join(asked, ["node", "row_id"], "left_semi").select("node", "piece", "shingles"))
-        cells = _cells(members, F.lit(last))
-        sketches = known.select("node", "n", "sketch")
-        rows = cells.join(sketches, "node").select("key", "cell", "node", "n", "c", "sketch")
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known, found, rest = nodes.withColumn("c", F.col("node")), None, None
+    groups = _groups_of(first.withColumn("c", F.col("node")))
+    # Later groups are parts of these, so no other set is needed.
+    asked = stage(groups.select("node").distinct().join(nodes.select("node", "row_id"), "node").select("node", "row_id"))
+    asked = F.broadcast(asked) if asked.count() <= FEW else asked
+    sets = stage(sets.join(asked, ["node", "row_id"], "left_semi").select("node", "piece", "shingles"))
+    for level in range(1, levels + 2):
+        cells = _grid(groups) if level > levels else _cells(groups)
+        cells = cells if rest is None else cells.union(rest)
+        rows = cells.join(known.select("node", "n", "c", "sketch"), "node").select("key", "cell", "node", "n", "c", "sketch")
         rows = rows.repartition(tasks, "key", "cell").sortWithinPartitions("key", "cell", "node")
         candidates = stage(rows.mapInArrow(functools.partial(_candidates, may_link), "key long, cell long, sub long, node long"))
-        new = _verified(candidates, known, sets, percent)
-        stars = None if found is None else found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        found = stage(components(new if stars is None else new.union(stars)))
-        large = members.where(F.col("m") > LEAF).select("key", "node")
-        if last or large.isEmpty():
-            return found
-    return found
-
-
-def _cells(members: DataFrame, grid: Column) -> DataFrame:
-    """(key, cell, node, c): small groups whole, large ones cut up, with pivots or as a grid."""
-    # In a grid, cells hold half as many, and every two of them meet.
-    count = F.when(grid, F.ceil(2 * F.col("m") / LEAF)).otherwise(F.ceil(F.col("m") / (LEAF - 4 * PIVOTS))).cast("long")
-    placed = members.withColumn("cells", F.when(F.col("m") <= LEAF, F.lit(1).cast("long")).otherwise(count))
-    own = F.pmod(F.xxhash64("node", "key"), F.col("cells"))
-    everywhere = F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)
+        if not candidates.isEmpty():
+            new = _verified(candidates, known, sets, percent)
+            found = stage(components(new if found is None else new.union(found.select("node", "component"))))
+            known = nodes.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+            known = stage(known)
+        if level > levels:
+            break
+        large = _unsettled(groups.where(F.col("m") > LEAF), known)
+        rest = _to_every_cell(large.where(F.col("m") - F.col("most") <= STRAGGLERS))
+        large = large.where(F.col("m") - F.col("most") > STRAGGLERS).select("key", "node", "c", "m")
+        if rest.isEmpty():
+            rest = None
+        if large.isEmpty():
+            if rest is None:
+                break
+            groups = large
+        elif level < levels:
+            groups = _groups_of(branch(large, level).join(known.select("node", "c"), "node"))
+        else:
+            groups = large
+    return nodes.select("node", F.col("node").alias("component")).where("false") if found is None else found
+
+
+def _groups_of(members: DataFrame) -> DataFrame:
+    """(key, node, c, m): groups of several components; of keys with the same sets one is kept."""
+    sizes = members.groupBy("key").agg(
+        F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("lo"), (F.min("c") < F.max("c")).alias("several")
+    )
+    once = sizes.where("several").groupBy("m", "x", "lo").agg(F.min("key").alias("key")).select("key", "m")
+    return stage(members.join(once, "key").select("key", "node", "c", "m"))
+
+
+def _unsettled(large: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, node, c, m, main, most): large groups that still hold several components, and the largest."""
+    now = stage(large.select("key", "node", "m").join(known.select("node", "c"), "node"))
+    parts = now.groupBy("key", "c").agg(F.count("*").alias("k"))
+    main = parts.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top")).select("key", F.col("top.c").alias("main"), F.col("top.k").alias("most"))
+    return stage(now.join(main, "key").where(F.col("m") > F.col("most")))
+
+
+def _to_every_cell(settled: DataFrame) -> DataFrame:
+    """(key, node, cell): the largest component dealt over cells, and all others in each of them."""
+    cells = F.ceil(F.col("m") / (LEAF - STRAGGLERS)).cast("long")
+    own = F.array(F.pmod(F.xxhash64("node", "key"), cells))
+    everywhere = F.sequence(F.lit(0).cast("long"), cells - 1)
+    return settled.select("key", "node", F.explode(F.when(F.col("c") == F.col("main"), own).otherwise(everywhere)).alias("cell"))
+
+
+def _cells(groups: DataFrame) -> DataFrame:
+    """(key, node, cell): small groups whole, large ones cut up, with the same pivots everywhere."""
+    cells = F.when(F.col("m") <= LEAF, F.lit(1).cast("long")).otherwise(F.ceil(F.col("m") / (LEAF - 4 * PIVOTS)).cast("long"))
+    own = F.array(F.pmod(F.xxhash64("node", "key"), cells))
     pivot = F.pmod(F.xxhash64("key", "node", F.lit(1)), F.col("m")) < PIVOTS
-    met = F.transform(everywhere, lambda y: F.least(own, y) * F.col("cells") + F.greatest(own, y))
-    where = F.when(F.col("cells") == 1, F.array(F.lit(0).cast("long"))).when(grid, met).when(pivot, everywhere).otherwise(F.array(own))
-    return placed.select("key", "node", "c", F.explode(where).alias("cell"))
+    everywhere = F.sequence(F.lit(0).cast("long"), cells - 1)
+    return groups.select("key", "node", F.explode(F.when(pivot, everywhere).otherwise(own)).alias("cell"))
+
+
+def _grid(groups: DataFrame) -> DataFrame:
+    """(key, node, cell): every two parts of half a leaf meet in a cell."""
+    parts = F.ceil(2 * F.col("m") / LEAF).cast("long")
+    own = F.pmod(F.xxhash64("node", "key"), parts)
+    met = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda y: F.least(own, y) * parts + F.greatest(own, y))
+    return groups.select("key", "node", F.explode(met).alias("cell"))

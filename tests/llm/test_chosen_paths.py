@@ -88,6 +88,7 @@ def test_brute_force(spark, monkeypatch, leaf):
     """Also with leaves so small that levels, pivots and the grid have to do it."""
     monkeypatch.setattr(leaves, "LEAF", leaf)
     monkeypatch.setattr(leaves, "PIVOTS", min(leaves.PIVOTS, leaf // 8))
+    monkeypatch.setattr(leaves, "STRAGGLERS", min(leaves.STRAGGLERS, leaf // 4))
     rows = clusters(90)
     got = found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert got == brute_components(rows, 4)
@@ -99,6 +100,7 @@ def test_grid_alone_finds_all(spark, monkeypatch):
     monkeypatch.setattr(chosen_paths, "DEPTH", 1)
     monkeypatch.setattr(leaves, "LEAF", 6)
     monkeypatch.setattr(leaves, "PIVOTS", 0)
+    monkeypatch.setattr(leaves, "STRAGGLERS", 0)
     rows = clusters(60, 2)
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows, 4)
 
