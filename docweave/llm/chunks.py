@@ -96,15 +96,15 @@ def _count(shards: int, min_bytes: int, batches: Iterator[pa.RecordBatch]) -> It
             held.append(digests(p, p + SEED, own))
             n += len(held[-1])
             if n > HELD:
-                yield pack(*unique_counts(np.concatenate(held)), shards)
+                yield from pack(*unique_counts(np.concatenate(held)), shards)
                 held, n = [], 0
     if n:
-        yield pack(*unique_counts(np.concatenate(held)), shards)
+        yield from pack(*unique_counts(np.concatenate(held)), shards)
 
 
 def _gather(shards: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pack(*unique_counts(batch.column(0).to_numpy().view(U64)), shards)
+        yield from pack(*unique_counts(batch.column(0).to_numpy().view(U64)), shards)
 
 
 def _keep(folder: str, name: str, least: int, shard: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -317,7 +317,7 @@ def drop_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     if not 2 * SEED <= min_bytes <= SPAN // 2:
         raise ValueError(f"min_bytes must be from {2 * SEED} to {SPAN // 2}")
     spark = docs.sparkSession
-    shards, folder = shard_count(spark), shared_folder(spark, "chunks")
+    shards, folder = shard_count(docs.select("text")), shared_folder(spark, "chunks")
 
     def keep(packed: DataFrame, name: str, least: int) -> set[int]:
         meta = merge(packed, shards, functools.partial(_keep, folder, name, least), "shard int, n long").collect()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import functools
 
 from pyspark.sql import functions as F
@@ -20,15 +19,3 @@ def free_name(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
-
-
-@contextlib.contextmanager
-def small_batches(spark, rows: int):
-    """Arrow batches of at most ``rows`` rows in the actions run inside; the setting is put back."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)

@@ -2,18 +2,20 @@
 
 Texts are sets of distinct 5-word shingles; equal sets are one node.  In a total order of the
 shingles (rare ones first, by classes of a first count, then by hash) two sets that are alike
-enough share one of their first shingles, so a tile holds the sets of a size band (and the next smaller one) that
-have one such shingle in common.  Within tiles, pairs of compatible size are bounded from
-above by the bits that differ in hashed bitmaps, and what remains is decided by intersecting
-the sorted arrays.
-
-Links are needed for components, so pairs within a known component are not tried again.  Small
-tiles try all pairs at once.  A large tile first tries one pivot after another against the
-rest, and components are updated; in the end every pair between different components is tried,
-so no link is lost.
-
-Null and wordless text has an empty set and links with nothing.  Rows get the component of
-their set: the smallest id of all rows linked to it; null ids name nothing.
+enough share one of their first shingles, and two of a list that is one longer.  A tile holds the
+sets of a size band that have one such shingle in common, and the larger ones of the band below
+that may be alike to them.  Tiles are compared in tasks (``leaves.py``): the bits that differ in
+hashed bitmaps bound the overlap of a pair from above, and what remains is decided by
+intersecting the sorted arrays.  A tile that is too large for one task and holds several
+components is dealt again by a second shared shingle, and what is still too large by a grid of
+cells, so no link is lost.
+
+Links are needed for components, so pairs within a known component are not tried again, and a
+task's links are reduced to a forest.
+
+Null and wordless text has an empty set and links with nothing; texts of any length count whole.
+Rows that repeat an id or a text are rows of one node.  Rows get the component of their set: the
+smallest id of all rows linked to it; null ids name nothing.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,78 +25,73 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.columns import free_name, scan, small_batches
-from docweave.llm.components import components
+from docweave.llm.chosen_paths import named, pieces_of, set_ids, shingle_sets
+from docweave.llm.columns import free_name
+from docweave.llm.leaves import linked
 from docweave.llm.packed import PACKED, find, mapped, merge, pack, save, shard_count, shared_folder, unique_counts
-from docweave.llm.words import U64, blocks, mix, ngrams, offsets, text_bytes, word_hashes
+from docweave.llm.words import U64, blocks, mix, offsets, text_bytes
 from docweave.session import stage
 
 SHINGLE = 5
 HELD = 2_000_000
 CLASSES = np.array([8, 64, 512, 4096])  # counts beyond which a shingle stands later in the order
-ROUNDS = 3
-BATCH = 500  # rows of whole sets or texts that a worker gets at once
-SMALL = 32  # pairs per row up to which a tile is small
-FEW = 1_000_000  # rows of 8 bytes
-NODE = "n long, node long, first array<long>, places array<int>, bits binary, shingles binary"
-
-
-def shingle_sets(at: np.ndarray, data: np.ndarray) -> Iterator[np.ndarray]:
-    """The sorted distinct shingles of each text."""
-    words, counts = word_hashes(at, data)
-    grams, start = ngrams(words, SHINGLE), offsets(counts)
-    for i, n in enumerate(counts.tolist()):
-        if n >= SHINGLE:
-            s = np.sort(grams[start[i] : start[i + 1] - SHINGLE + 1])
-            yield s[np.r_[True, s[1:] != s[:-1]]]
-        elif n:
-            yield mix(ngrams(words[start[i] : start[i + 1]], n) + U64(n))
-        else:
-            yield words[:0]
-
-
-def prefixes(sets: list[np.ndarray], order: dict | None, percent: int) -> list[np.ndarray]:
-    """The first shingles of each set in the common order: enough for sets alike to share one."""
-    size = [len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0 for s in sets]
-    flat = np.concatenate(sets) if sets else np.zeros(0, U64)
-    if order is None or not len(flat):
-        return [s[:n] for s, n in zip(sets, size, strict=True)]
-    keys, back = np.unique(flat, return_inverse=True)
-    place, ranges = find(order["folder"], "often", order["often"], keys, order["shards"])
-    rank = np.zeros(len(keys), np.uint8)
-    for s, i, j in ranges:
-        ok = np.flatnonzero(place[i:j] >= 0) + i
-        rank[ok] = mapped(f"{order['folder']}/class-{s}", np.uint8)[place[ok]]
-    rank, start = rank[back], offsets(np.array([len(s) for s in sets]))
+BAND = 4.0  # a band of sizes spans this factor
+BITS = 1 << 13  # of a bitmap, at most
+NODE = "n long, node long, first array<long>, places array<int>, bits binary"
+
+
+def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
+    """What a set of ``n`` must share with any set alike to it."""
+    return -(-percent * n // 100)
+
+
+def prefixes(flat: np.ndarray, at: np.ndarray, order: dict | None, percent: int) -> list[np.ndarray]:
+    """The first shingles of each set in the common order: enough for sets alike to share two, if they have two."""
+    n = np.diff(at)
+    size = np.minimum(n, n - least_overlap(n, percent) + 2)
+    rank = np.zeros(len(flat), np.uint8)
+    if order is not None and len(flat):
+        keys, back = np.unique(flat, return_inverse=True)
+        place, ranges = find(order["folder"], "often", order["often"], keys, order["shards"])
+        ranked = np.zeros(len(keys), np.uint8)
+        for s, i, j in ranges:
+            ok = np.flatnonzero(place[i:j] >= 0) + i
+            ranked[ok] = mapped(f"{order['folder']}/class-{s}", np.uint8)[place[ok]]
+        rank = ranked[back]
     out = []
-    for k, (s, n) in enumerate(zip(sets, size, strict=True)):
-        r = rank[start[k] : start[k + 1]]
-        out.append(s[:n] if not r[:n].any() else s[np.argsort(r, kind="stable")[:n]])
+    for k, m in enumerate(size.tolist()):
+        s, r = flat[at[k] : at[k + 1]], rank[at[k] : at[k + 1]]
+        out.append(s[:m] if not r[:m].any() else s[np.argsort(r, kind="stable")[:m]])
     return out
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
     """One bit per shingle at its hash; about twice as many bits as shingles."""
-    bits = 1 << min(max(6, int(2 * len(shingles) - 1).bit_length()), 17)
+    bits = min(1 << max(6, int(2 * len(shingles) - 1).bit_length()), BITS)
     out = np.zeros(bits, bool)
     out[(mix(shingles) % U64(bits)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little")
 
 
-def at_most(a: np.ndarray, n: int, b: np.ndarray, m: int) -> int:
-    """An upper bound of the intersection: a bit that the other lacks is a shingle it lacks."""
-    while len(a) > len(b):
-        a = a[: len(a) // 2] | a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] | b[len(b) // 2 :]
-    return min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+def at_most(n: np.ndarray, bits: list[np.ndarray]) -> np.ndarray:
+    """Upper bounds of all intersections: a bit that the other lacks is a shingle it lacks."""
+    short = min(len(b) for b in bits)
+    rows = np.stack([np.bitwise_or.reduce(b.reshape(-1, short), axis=0) for b in bits]).view(U64)
+    lacks = np.zeros((len(rows), len(rows)), np.int64)
+    for w in range(rows.shape[1]):
+        lacks += np.bitwise_count(rows[:, w, None] & ~rows[None, :, w])
+    bound = n[:, None] - lacks
+    return np.minimum(bound, bound.T)
 
 
-def alike(common: int, n: int, m: int, percent: int) -> bool:
-    return 100 * common >= percent * (n + m - common)
+def may_link(percent: int, n: np.ndarray, sketches: pa.Array) -> np.ndarray:
+    bound = at_most(n, [np.frombuffer(s.as_buffer(), np.uint8) for s in sketches])
+    near = bound * (100 + percent) >= (n[:, None] + n[None, :]) * percent
+    np.fill_diagonal(near, False)
+    return near
 
 
 def _count(shards: int, order: dict | None, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,14 +99,14 @@ def _count(shards: int, order: dict | None, percent: int, batches: Iterator[pa.R
     for batch in batches:
         at, data = text_bytes(batch.column(0))
         for i, j in blocks(at):
-            sets = list(shingle_sets(at[i : j + 1] - at[i], data[at[i] : at[j]]))
-            held.append(np.concatenate(prefixes(sets, order, percent)))  # a copy, so the sets can go
+            sets = shingle_sets(at[i : j + 1] - at[i], data[at[i] : at[j]], SHINGLE)
+            held.append(np.concatenate([np.zeros(0, U64), *prefixes(*sets, order, percent)]))  # a copy, so the sets can go
             n += len(held[-1])
             if n > HELD:
-                yield pack(*unique_counts(np.concatenate(held)), shards)
+                yield from pack(*unique_counts(np.concatenate(held)), shards)
                 held, n = [], 0
     if n:
-        yield pack(*unique_counts(np.concatenate(held)), shards)
+        yield from pack(*unique_counts(np.concatenate(held)), shards)
 
 
 def _keep(folder: str, name: str, shard: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -123,183 +120,84 @@ def _keep(folder: str, name: str, shard: int, keys: np.ndarray, counts: np.ndarr
     yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([int(some.sum())], pa.int64())], ["shard", "n"])
 
 
-def _binary(parts: list[np.ndarray], given: np.ndarray) -> pa.Array:
-    """One binary value per array, null where not given."""
-    size = np.where(given, [p.nbytes for p in parts], 0)
-    data = np.concatenate([np.zeros(0, np.uint8), *(p.view(np.uint8) for p, g in zip(parts, given, strict=True) if g)])
-    valid = pa.py_buffer(np.packbits(given, bitorder="little").tobytes())
-    return pa.Array.from_buffers(pa.binary(), len(parts), [valid, pa.py_buffer(offsets(size).astype(np.int32)), pa.py_buffer(data)])
-
-
 def _nodes(order: dict, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per text, in small batches; bitmap and set only where another text shares a first shingle."""
+    """A row per text; first shingles that another text has too, and a bitmap where there are any."""
     for batch in batches:
         at, data = text_bytes(batch.column(0))
         for i, j in blocks(at):
-            sets = list(shingle_sets(at[i : j + 1] - at[i], data[at[i] : at[j]]))
-            first = prefixes(sets, order, percent)
+            flat_sets, begin = shingle_sets(at[i : j + 1] - at[i], data[at[i] : at[j]], SHINGLE)
+            first = prefixes(flat_sets, begin, order, percent)
             flat = np.concatenate([np.zeros(0, U64), *first])
             keys, back = np.unique(flat, return_inverse=True)
             place, _ = find(order["folder"], "shared", order["shared"], keys, order["shards"])
             good = (place >= 0)[back] if len(flat) else np.zeros(0, bool)
             start = offsets(np.array([len(f) for f in first], np.int64))
-            number = np.array([np.count_nonzero(good[start[k] : start[k + 1]]) for k in range(len(sets))], np.int64)
             there = np.flatnonzero(good)
-            there = there - start[np.searchsorted(start, there, side="right") - 1]
-            some = number > 0
-            node = mix(np.array([mix(s).sum() + U64(len(s)) for s in sets], U64)).view(np.int64)
+            own = np.searchsorted(start, there, side="right") - 1
+            number = np.bincount(own, minlength=len(first))
+            bits = [bitmap(flat_sets[a:b]).tobytes() if m else None for a, b, m in zip(begin[:-1], begin[1:], number, strict=True)]
             columns = [
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array(node),
+                pa.array(np.diff(begin), pa.int64()),
+                pa.array(set_ids(flat_sets, begin)),
                 pa.ListArray.from_arrays(pa.array(offsets(number), pa.int32()), pa.array(flat[good].view(np.int64))),
-                pa.ListArray.from_arrays(pa.array(offsets(number), pa.int32()), pa.array(there, pa.int32())),
-                _binary([bitmap(s) if g else s[:0] for s, g in zip(sets, some, strict=True)], some),
-                _binary(sets, some),
+                pa.ListArray.from_arrays(pa.array(offsets(number), pa.int32()), pa.array(there - start[own], pa.int32())),
+                pa.array(bits, pa.binary()),
             ]
             carried = [c.slice(i, j - i) for c in batch.columns[1:]]
-            names = [*batch.schema.names[1:], "n", "node", "first", "places", "bits", "shingles"]
-            yield pa.RecordBatch.from_arrays([*carried, *columns], names)
-
-
-def _may_link(percent: int, columns) -> Iterator[pa.Array]:
-    for a, n, b, m in columns:
-        n, m = n.to_numpy(), m.to_numpy()
-        yield pa.array(
-            [
-                alike(at_most(np.frombuffer(x.as_buffer(), np.uint8), int(n[i]), np.frombuffer(y.as_buffer(), np.uint8), int(m[i])), int(n[i]), int(m[i]), percent)
-                for i, (x, y) in enumerate(zip(a, b, strict=True))
-            ],
-            pa.bool_(),
-        )
-
-
-def _links(percent: int, columns) -> Iterator[pa.Array]:
-    for a, b in columns:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-            p = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            out.append(alike(int((y[p] == x).sum()), len(x), len(y), percent))
-        yield pa.array(out, pa.bool_())
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike: first by bitmaps, then by the sets."""
-
-    def side(name: str) -> DataFrame:
-        return nodes.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("bits", "n", "row")))
-
-    def shingles(name: str) -> DataFrame:
-        return sets.select(F.col("row").alias(f"row_{name}"), F.col("shingles").alias(f"shingles_{name}"))
-
-    near = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = near.where(scan(_may_link, "boolean", percent)("bits_a", "n_a", "bits_b", "n_b"))
-    near = stage(near.select("a", "b", "row_a", "row_b"))
-    # Only the sets of these pairs move; the rows asked for are broadcast while they are few.
-    asked = near.select(F.col("row_a").alias("row")).union(near.select("row_b")).distinct()
-    if asked.count() <= FEW:
-        asked = F.broadcast(asked)
-    sets = stage(sets.select("row", "shingles").join(asked, "row", "left_semi"))
-    exact = near.join(shingles("a"), "row_a").join(shingles("b"), "row_b")
-    with small_batches(pairs.sparkSession, BATCH):
-        return stage(exact.where(scan(_links, "boolean", percent)("shingles_a", "shingles_b")).select("a", "b"))
-
-
-def find_links(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """(node, component) of all nodes with a link; ``row`` of a node is where its set lies."""
-    # Sizes that may link differ by at most a band: a band spans a factor of 100 / percent.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    each = F.explode(F.arrays_zip("first", "places")).alias("x")
-    rows = nodes.select("node", "n", band.alias("band"), each).select("node", "n", "band", F.col("x.first").alias("key"), F.col("x.places").alias("place"))
-    home = rows.withColumn("home", F.lit(True))
-    away = rows.withColumn("band", F.col("band") + 1).withColumn("home", F.lit(False))
-    tiles = home.union(away)
-    # Tiles without two sets, of which one at home, pair nothing.
-    full = tiles.groupBy("key", "band").agg(F.count("*").alias("m"), F.max("home").alias("some"))
-    tiles = stage(tiles.join(full.where("m > 1 and some").select("key", "band"), ["key", "band"]))
-    links, found, used = None, None, None
-    for r in range(ROUNDS + 1):
-        if found is None:
-            known = tiles.withColumn("c", F.col("node"))
-        else:
-            known = tiles.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        known = stage(known)
-        by_component = known.groupBy("key", "band", "c").agg(F.count("*").alias("m"), F.count_if("home").alias("h"))
-        tile = by_component.groupBy("key", "band").agg(
-            F.sum("m").alias("m"), F.sum("h").alias("h"), F.sum(F.col("m") * F.col("h")).alias("same"), F.count("*").alias("parts")
-        )
-        # Small tiles, and in the end all, try every pair between components.
-        whole = F.lit(r == ROUNDS) | (F.col("m") * F.col("h") - F.col("same") <= SMALL * F.col("m"))
-        open_ = stage(tile.where("parts > 1").select("key", "band", whole.alias("whole")))
-        some = open_.agg(F.count("*").alias("n"), F.count_if("whole").alias("w")).first()
-        if not some.n:
-            break
-        known = known.join(open_, ["key", "band"])
-        names = ("node", "n", "c", "place")
-        x = known.select("key", "band", "whole", *(F.col(c).alias(f"x_{c}") for c in names))
-        y = known.where("home and whole").select("key", "band", *(F.col(c).alias(f"y_{c}") for c in names))
-        pairs = x.where("whole").join(y, ["key", "band"])
-        if some.w < some.n:
-            # One set at home of each large tile, that with most large tiles, which copies derive
-            # from; no set serves twice.
-            large = known.where("home and not whole")
-            hubs = large.groupBy("node").agg(F.count("*").alias("hub"))
-            if used is not None:
-                hubs = hubs.join(used, "node", "left_anti")
-            best = F.max(F.struct("hub", F.xxhash64("node").alias("h"), *(F.col(c).alias(f"y_{c}") for c in names))).alias("y")
-            pivots = large.join(hubs, "node").groupBy("key", "band").agg(best)
-            pivots = stage(pivots.select("key", "band", *(f"y.y_{c}" for c in names)))
-            pairs = pairs.unionByName(x.where("not whole").join(pivots, ["key", "band"]))
-            now = pivots.select(F.col("y_node").alias("node")).distinct()
-            used = now if used is None else used.union(now)
-        # Alike sets have enough left from the first shingle they share.
-        rest = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
-        pairs = pairs.where("x_c <> y_c").where(rest * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent)
-        pairs = pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-        new = verified(stage(pairs), nodes, sets, percent)
-        links = new if links is None else links.union(new)
-        found = stage(components(links))
-        tiles = stage(tiles.join(open_.where("not whole").select("key", "band"), ["key", "band"]))
-    return found
-
-
-def join_components(
-    docs: DataFrame, percent: int = 80, into: tuple[str, str] = ("n_shingles", "component_id"), hashed: bool = False
-) -> DataFrame:
-    """Per row of ``docs``: doc_id, the size of its set, and the smallest id that links reach.
+            yield pa.RecordBatch.from_arrays([*carried, *columns], [*batch.schema.names[1:], "n", "node", "first", "places", "bits"])
+
+
+def _tiles(nodes: DataFrame, percent: int) -> DataFrame:
+    """(key, node): a tile per shared first shingle and band of sizes."""
+    base = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1  # places up to which one is shared
+    each = nodes.withColumn("x", F.explode(F.arrays_zip("first", "places"))).where(F.col("x.places") < base)
+
+    def band(size):
+        return F.floor(F.log(size) / F.log(F.lit(BAND)) + 1e-9)
+
+    # The largest set that may be alike is 100 / percent times as large, so at most a band above.
+    bands = F.array_distinct(F.array(band(F.col("n").cast("double")), band(F.col("n") * (100 / percent))))
+    return each.withColumn("band", F.explode(bands)).select(F.xxhash64(F.col("x.first"), "band").alias("key"), "node")
+
+
+def _second(nodes: DataFrame, percent: int, members: DataFrame, level: int) -> DataFrame:
+    """The tiles of a large tile by each further first shingle: sets alike share two."""
+    each = members.join(nodes.select("node", "first"), "node").withColumn("x", F.explode("first"))
+    return each.select(F.xxhash64("key", "x").alias("key"), "node")
+
+
+def shingle_components(docs: DataFrame, percent: int = 80, hashed: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles (the size of its set), component_id (the smallest id that links reach).
 
     ``hashed`` adds ``text_hash``, which tells rows of one id apart.
     """
     spark = docs.sparkSession
-    order: dict = {"folder": shared_folder(spark, "shingles"), "shards": shard_count(spark)}
     texts = docs.select("text")
+    order: dict = {"folder": shared_folder(spark, "shingles"), "shards": shard_count(texts)}
 
     def count(name: str) -> set[int]:
         counted = texts.mapInArrow(functools.partial(_count, order["shards"], order if "often" in order else None, percent), PACKED)
         kept = merge(counted, order["shards"], functools.partial(_keep, order["folder"], name), "shard int, n long")
-        with small_batches(spark, BATCH):
-            return {r.shard for r in kept.collect() if r.n}
+        return {r.shard for r in kept.collect() if r.n}
 
     order["often"] = count("often")
     order["shared"] = count("shared")
-    rows = docs.select("text", "doc_id", *([F.xxhash64("text").alias("text_hash")] if hashed else []))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {'text_hash long, ' * hashed}{NODE}"
-    sets = rows.mapInArrow(functools.partial(_nodes, order, percent), schema)
-    with small_batches(spark, BATCH):
-        sets = stage(sets.withColumn("row", F.monotonically_increasing_id()))
-    some = sets.where("shingles is not null")
-    nodes = stage(some.groupBy("node").agg(*(F.min(c).alias(c) for c in ("n", "first", "places", "bits", "row"))))
-    found = find_links(nodes, sets, percent)
-    least = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"))
-    if found is None:
-        named = least.select("node", F.col("doc").alias("id"))
-    else:
-        both = least.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        smallest = both.groupBy("component").agg(F.min("doc").alias("id"))
-        named = both.select("node", "component").join(smallest, "component").select("node", "id")
-    result = sets.select(*rows.columns[1:], "n", "node").join(named, "node", "left")
-    component = F.when(F.col("n") > 0, F.col("id")).otherwise(F.col("doc_id"))
-    return result.select(*rows.columns[1:], F.col("n").alias(into[0]), component.alias(into[1]))
+    # The row whose set stands for a node is found again by its id.
+    given = docs.select("text", "doc_id", F.xxhash64("doc_id").alias("row_id"), *([F.xxhash64("text").alias("text_hash")] if hashed else []))
+    schema = f"doc_id {given.schema['doc_id'].dataType.simpleString()}, row_id long, {'text_hash long, ' * hashed}{NODE}"
+    rows = stage(given.mapInArrow(functools.partial(_nodes, order, percent), schema))
+    some = rows.where("bits is not null")
+    nodes = stage(some.groupBy("node").agg(*(F.min(c).alias(c) for c in ("n", "row_id", "first", "places", "bits"))))
+    found = linked(
+        _tiles(nodes, percent),
+        functools.partial(_second, nodes, percent),
+        2,
+        nodes.select("node", "n", F.col("bits").alias("sketch"), "row_id"),
+        pieces_of(given, SHINGLE),
+        percent,
+        functools.partial(may_link, percent),
+    )
+    return named(rows, found, ("text_hash",) if hashed else ())
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -308,8 +206,8 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     Rows that agree in id and text are one.  Of rows without an id, those with equal texts are
     one, and those linked to a row with an id go.  Texts without words all stay.
     """
-    found = join_components(docs.select("doc_id", "text"), percent, ("n", "component"), hashed=True)
-    stays = found.where("n = 0 or component <=> doc_id")
+    found = shingle_components(docs.select("doc_id", "text"), percent, hashed=True)
+    stays = found.where("n_shingles = 0 or component_id <=> doc_id")
     ids = stays.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("_id"), "text_hash").distinct()
     key, text = free_name(docs.columns, "_id_text"), free_name(docs.columns, "_text_hash")
     keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), text: F.xxhash64("text")})

@@ -58,10 +58,10 @@ def _packed(parts: Iterator[np.ndarray], packer) -> Iterator[pa.RecordBatch]:
         held.append(part)
         n += len(part)
         if n > HELD:
-            yield packer(*unique_counts(np.concatenate(held)))
+            yield from packer(*unique_counts(np.concatenate(held)))
             held, n = [], 0
     if n:
-        yield packer(*unique_counts(np.concatenate(held)))
+        yield from packer(*unique_counts(np.concatenate(held)))
 
 
 def _count_words(shards: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +148,8 @@ def _save_pairs(shared, shard: int, keys: np.ndarray, counts: np.ndarray) -> Ite
     yield _rows(kind=["pairs"], shard=[shard], n1=[int(few[1])], n2=[int(few[2])], n3=[int(few[3])], n4=[int(few[4])])
     followers, n = unique_counts(keys & U64(0xFFFFFFFF))
     order = np.argsort(mix(followers))
-    packed = pack(mix(followers)[order], n[order], model["shards"])
-    yield _rows(kind=["follower"] * packed.num_rows, shard=packed.column(0), keys=packed.column(1), counts=packed.column(2))
+    for packed in pack(mix(followers)[order], n[order], model["shards"]):
+        yield _rows(kind=["follower"] * packed.num_rows, shard=packed.column(0), keys=packed.column(1), counts=packed.column(2))
 
 
 def _save_followers(folder: str, shard: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -171,7 +171,7 @@ def train(docs: DataFrame) -> dict:
     """Count the texts of ``docs`` and return what a worker needs to find and use the arrays."""
     spark = docs.sparkSession
     texts = docs.select("text")
-    shards, folder = shard_count(spark), shared_folder(spark, "model")
+    shards, folder = shard_count(texts), shared_folder(spark, "model")
     words = merge(texts.mapInArrow(functools.partial(_count_words, shards), PACKED), shards, functools.partial(_save_words, folder), MANY)
     meta = words.collect()
     sizes = {r.shard: r.v for r in meta if r.kind == "words"}

@@ -20,15 +20,24 @@ from docweave.llm.words import U64, offsets
 from docweave.session import stage_dir
 
 PACKED = "shard int, keys binary, counts binary"
+SHARD = 8 << 20
+MOST_SHARDS = 1 << 16
+UNKNOWN = 1 << 60
+ROW = 1 << 13  # keys of a packed row
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{stage_dir(spark)}/docweave/{name}-{uuid.uuid4().hex}"
 
 
-def shard_count(spark: SparkSession) -> int:
-    """A power of two that is at least the session's number of shuffle partitions."""
-    return 1 << max(3, (int(spark.conf.get("spark.sql.shuffle.partitions", "200")) - 1).bit_length())
+def shard_count(texts: DataFrame) -> int:
+    """A power of two: at least the session's number of shuffle partitions, and one per ``SHARD`` bytes of the tables read."""
+    spark = texts.sparkSession
+    leaves = texts._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(b for b in sizes if b < UNKNOWN)  # rows that come from no table have no size
+    wanted = max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), min(size // SHARD, MOST_SHARDS))
+    return 1 << (wanted - 1).bit_length()
 
 
 def _local(path: str) -> str | None:
@@ -89,24 +98,26 @@ def shard_bounds(shards: int) -> np.ndarray:
     return np.arange(1, shards, dtype=U64) << U64(64 - (shards - 1).bit_length())
 
 
-def pack(keys: np.ndarray, counts: np.ndarray, shards: int, shard_of: np.ndarray | None = None) -> pa.RecordBatch:
-    """One row per shard from sorted distinct keys; shards are key ranges unless given per key."""
+def pack(keys: np.ndarray, counts: np.ndarray, shards: int, shard_of: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of bounded size from sorted distinct keys; shards are key ranges unless given per key."""
     if shard_of is None:
-        at = [0, *np.searchsorted(keys, shard_bounds(shards)).tolist(), len(keys)]
+        at = np.array([0, *np.searchsorted(keys, shard_bounds(shards)), len(keys)])
     else:
         order = np.argsort(shard_of, kind="stable")
         keys, counts = keys[order], counts[order]
-        at = offsets(np.bincount(shard_of, minlength=shards)).tolist()
-    full = [s for s in range(shards) if at[s + 1] > at[s]]
+        at = offsets(np.bincount(shard_of, minlength=shards))
     small = np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(full, pa.int32()),
-            pa.array([keys[at[s] : at[s + 1]].tobytes() for s in full], pa.binary()),
-            pa.array([small[at[s] : at[s + 1]].tobytes() for s in full], pa.binary()),
-        ],
-        ["shard", "keys", "counts"],
-    )
+    rows = [(s, i, min(i + ROW, at[s + 1])) for s in np.flatnonzero(np.diff(at)).tolist() for i in range(at[s], at[s + 1], ROW)]
+    for k in range(0, len(rows), 1000):
+        some = rows[k : k + 1000]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([s for s, _, _ in some], pa.int32()),
+                pa.array([keys[i:j].tobytes() for _, i, j in some], pa.binary()),
+                pa.array([small[i:j].tobytes() for _, i, j in some], pa.binary()),
+            ],
+            ["shard", "keys", "counts"],
+        )
 
 
 def merge(

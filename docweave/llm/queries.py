@@ -108,9 +108,9 @@ def op5_kneser_ney(spark, sf):
 
 @query
 def op6_jaccard_join(spark, sf):
-    from docweave.llm.jaccard import join_components
+    from docweave.llm.jaccard import shingle_components
 
-    return join_components(table(spark, sf, "documents"))
+    return shingle_components(table(spark, sf, "documents"))
 
 
 @query

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.llm import chunks, components, jaccard, neighbours, packing, sharding
+from docweave.llm import chunks, components, jaccard, leaves, neighbours, packing, sharding
 from docweave.llm.words import text_bytes
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -43,16 +43,21 @@ def brute_components(rows):
 
 
 def test_join_equals_brute_force(docs, rows, none):
-    got = jaccard.join_components(docs).collect()
+    got = jaccard.shingle_components(docs).collect()
     assert Counter((r[0], r[1], r[2]) for r in got) == brute_components(rows)
     kept = jaccard.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted(r[0] for r in kept.where("doc_id is not null").select("doc_id").collect()) == [1, 4, 5, 6, 7, *range(9, 19)]
     assert kept.where("doc_id is null").count() == 1
-    assert jaccard.join_components(none).count() == 0 and jaccard.drop_near_duplicates(none).count() == 0
+    assert jaccard.shingle_components(none).count() == 0 and jaccard.drop_near_duplicates(none).count() == 0
 
 
-def test_join_of_many_near_copies_loses_no_link(spark):
+@pytest.mark.parametrize("leaf", [leaves.LEAF, 20, 6])
+def test_join_of_many_near_copies_loses_no_link(spark, monkeypatch, leaf):
+    """Also where tiles must be dealt by a second shingle, and by a grid of cells."""
+    monkeypatch.setattr(leaves, "LEAF", leaf)
+    monkeypatch.setattr(leaves, "PIVOTS", min(leaves.PIVOTS, leaf // 8))
+    monkeypatch.setattr(leaves, "STRAGGLERS", min(leaves.STRAGGLERS, leaf // 4))
     rng = np.random.default_rng(1)
     vocabulary = [f"w{i}" for i in range(3000)]
     rows = []
@@ -63,7 +68,7 @@ def test_join_of_many_near_copies_loses_no_link(spark):
             for k in rng.choice(120, rng.integers(0, 5), replace=False):
                 w[k] = rng.choice(vocabulary)
             rows.append((len(rows), " ".join(w[: 120 - rng.integers(0, 20)])))
-    got = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = jaccard.shingle_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r[0], r[1], r[2]) for r in got) == brute_components(rows)
 
 
@@ -78,7 +83,8 @@ def test_bitmaps_bound_from_above():
     for _ in range(200):
         pool = rng.integers(0, 1 << 60, 300, dtype=np.uint64)
         a, b = (np.unique(rng.choice(pool, rng.integers(1, 200))) for _ in range(2))
-        assert jaccard.at_most(jaccard.bitmap(a), len(a), jaccard.bitmap(b), len(b)) >= len(np.intersect1d(a, b))
+        bound = jaccard.at_most(np.array([len(a), len(b)]), [jaccard.bitmap(a), jaccard.bitmap(b)])
+        assert bound[0, 1] == bound[1, 0] >= len(np.intersect1d(a, b)) and bound[0, 0] == len(a)
 
 
 def test_neighbours_are_exact_on_few_rows(spark):
