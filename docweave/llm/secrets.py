@@ -46,7 +46,7 @@ EXAMPLES = 600
 ORDINARY = 4  # times as many ordinary runs, which are more diverse
 ALPHABET = 67
 FLOOR = 1e-4  # share of probability spread over the alphabet
-LONGEST = 200  # characters of a value that are learned
+LEARNED = 1_000_000  # characters of a kind's examples together; each is learned whole
 FENCE = 3  # quartile distances above the upper quartile of other runs
 REMEMBERED = 50_000
 SPANS = "array<struct<kind: string, start: int, end: int, score: double>>"
@@ -87,7 +87,7 @@ class Automaton:
         for value in values:
             s = 0
             self.arrived[0] += 1
-            for c in value[:LONGEST]:
+            for c in value:
                 if c not in self.moves[s]:
                     self.moves[s][c] = [len(self.moves), 0]
                     self.moves.append({})
@@ -96,7 +96,7 @@ class Automaton:
                 self.moves[s][c][1] += 1
                 s = self.moves[s][c][0]
                 self.arrived[s] += 1
-            self.ended[s] += len(value) <= LONGEST
+            self.ended[s] += 1
 
     def alike(self, a: int, b: int, bound: float) -> bool:
         """No end or move of the two states, or of states they lead to, differs beyond chance."""
@@ -242,12 +242,18 @@ def distinct_values(docs: DataFrame) -> DataFrame:
 
 
 def labelled_values(values: DataFrame, examples: int = EXAMPLES) -> dict[str, list[str]]:
-    """Up to ``examples`` distinct values per kind, those with the smallest hash."""
+    """Up to ``examples`` distinct values per kind, those with the smallest hash that are ``LEARNED`` together."""
     out = {}
     for kind in (*KINDS, "other"):
         most = examples * (ORDINARY if kind == "other" else 1)
-        first = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(most)
-        out[kind] = [r.value for r in first.select("value").collect()]
+        key = F.xxhash64("value")
+        first = values.where(F.col("kind") == kind).orderBy(key, "value").limit(most).select("value", key.alias("key"), F.length("value").alias("n"))
+        room, keys = LEARNED, []
+        for r in first.select("key", "n").collect():
+            if r.n <= room:
+                keys.append(r.key)
+                room -= r.n
+        out[kind] = sorted(r.value for r in first.where(F.col("key").isin(keys)).select("value").collect()) if keys else []
     return out
 
 
