@@ -214,7 +214,7 @@ def co_train(views: list[tuple], y: np.ndarray, known: np.ndarray, held: np.ndar
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The labelled and pool documents: text, metadata columns, labels (null in the pool), fold."""
-    fine = labels.where("doc_id is not null and quality is not null and toxic is not null")
+    fine = labels.where("doc_id is not null and (quality is not null or toxic is not null)")
     fine = fine.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
     ids = docs.select("doc_id").where("doc_id is not null")
     # Only ids with a document count.
@@ -234,7 +234,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def shares(counts: dict, most: int) -> dict:
     """As many of each class, or all if there are fewer; ``most`` together."""
     out, left = {}, most
-    for i, c in enumerate(sorted(counts, key=lambda c: (counts[c], c))):
+    for i, c in enumerate(sorted(counts, key=lambda c: (counts[c], str(c)))):
         out[c] = min(counts[c], left // (len(counts) - i))
         left -= out[c]
     return out
@@ -244,7 +244,7 @@ def per_class(labelled: DataFrame, counts: dict) -> DataFrame:
     """The sample of the labelled ids, with what each stands for and whether it is held out."""
     out = labelled.where("false").select("*", F.lit(1.0).alias("stands"), F.lit(False).alias("held"))
     for (quality, toxic), take in shares(counts, LABELLED).items():
-        own = labelled.where((F.col("quality") == quality) & (F.col("toxic") == toxic))
+        own = labelled.where(F.col("quality").eqNullSafe(F.lit(quality)) & F.col("toxic").eqNullSafe(F.lit(toxic)))
         own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(take)
         apart = own.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(min(max(1, take // 5), take - 1))
         own = own.join(F.broadcast(apart.withColumn("held", F.lit(True))), "doc_id", "left")
@@ -255,15 +255,17 @@ def per_class(labelled: DataFrame, counts: dict) -> DataFrame:
 
 def choose_features(rows: DataFrame) -> np.ndarray:
     """The words and heads that tell the classes of a target apart best, on the fitting fold."""
-    fit = rows.where("quality is not null and not held")
+    fit = rows.where("(quality is not null or toxic is not null) and not held")
     found = fit.select("quality", "toxic", F.explode(scan(_features, "array<long>")("text")).alias("f"))
-    counts = stage(found.groupBy("f").agg(F.count("*").alias("n"), *(F.sum(t).cast("double").alias(t) for t in TARGETS)).where("n >= 3"))
-    total = fit.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(t), F.lit(0)).alias(t) for t in TARGETS)).first()
+    counted = [F.sum(t).cast("double").alias(t) for t in TARGETS] + [F.count(t).alias(f"n_{t}") for t in TARGETS]
+    counts = stage(found.groupBy("f").agg(F.count("*").alias("n"), *counted).where("n >= 3"))
+    total = fit.agg(*counted).first()
     chosen: set[int] = set()
-    for t in TARGETS:
-        expected = F.col("n") * (total[t] / max(total["n"], 1))
-        score = (F.col(t) - expected) ** 2 / (expected * (1 - total[t] / max(total["n"], 1)) + 1e-9)
-        chosen |= {r.f for r in counts.orderBy(score.desc(), "f").limit(FEATURES).select("f").collect()}
+    for t in TARGETS:  # each from the rows that have its label
+        share = (total[t] or 0.0) / max(total[f"n_{t}"], 1)
+        expected = F.col(f"n_{t}") * share
+        score = (F.col(t) - expected) ** 2 / (expected * (1 - share) + 1e-9)
+        chosen |= {r.f for r in counts.where(f"n_{t} > 0").orderBy(score.desc(), "f").limit(FEATURES).select("f").collect()}
     return np.sort(np.array(sorted(chosen), np.int64).view(U64))
 
 
@@ -284,12 +286,12 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     text_view = (np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.values.to_numpy(), SHAPES * BINS + max(1, len(model["features"])))
     meta = np.array(data.column("meta").to_pylist(), np.int64).reshape(-1, 3)
     meta_view = (np.repeat(np.arange(len(meta)), 3), meta.ravel(), SOURCES + LANGS + SIZES)
-    known = np.array([q is not None for q in data.column("quality").to_pylist()], bool)
-    held = np.array([bool(h) for h in data.column("held").to_pylist()], bool) & known
+    apart = np.array([bool(h) for h in data.column("held").to_pylist()], bool)
     stands = np.array([x or 1.0 for x in data.column("stands").to_pylist()], float)
     for t in TARGETS:
+        known = np.array([x is not None for x in data.column(t).to_pylist()], bool)
         y = np.array([x or 0 for x in data.column(t).to_pylist()], float)
-        model[t] = co_train([text_view, meta_view], y, known, held, stands)
+        model[t] = co_train([text_view, meta_view], y, known, apart & known, stands)
     return model
 
 
