@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import values as V
 from docweave.operators.pairs import explode_pairs
+from docweave.operators.positions import part_of
 from docweave.plans.core_attributes import (
     FREQUENT,
     HOT,
@@ -252,7 +253,7 @@ def joinable_sets(joined: DataFrame, documents: DataFrame, parts: int = 1) -> Da
     window; rows without a partner are left out.  A document without any partner has one
     row, part 0, with an empty list.
     """
-    part = F.pmod(F.xxhash64("partner"), F.lit(parts)).alias("part")
+    part = part_of("partner", parts).alias("part")
     some = (
         symmetric(joined)
         .groupBy("w", "doc", part)

@@ -43,3 +43,11 @@ def with_position(df: DataFrame, by: list[str], order: list[Column], name: str =
         .withColumn(name, F.col("_mid") + F.col("_shift"))
         .drop("_mid", "_part", "_shift", "_at", *(f"_by_{i}" for i in range(len(by))))
     )
+
+
+def part_of(doc: str, parts: int) -> Column:
+    """Which of ``parts`` rows a member of a list goes to, by a hash that other engines have as well."""
+    if parts == 1:
+        return F.lit(0).cast("bigint")
+    head = F.substring(F.md5(F.col(doc).cast("string").cast("binary")), 1, 8)
+    return F.conv(head, 16, 10).cast("bigint") % parts

@@ -10,6 +10,10 @@ from docweave.operators.pairs import explode_pairs, shred
 UNSEEN_THRESHOLD = 3  # fixed value: documents with an unseen pair before it is added
 
 
+def _keys(table: DataFrame) -> list[str]:
+    return [c for c in ("w", "attr", "val") if c in table.columns]
+
+
 def _routed_pairs(documents: DataFrame, composite_only: bool) -> DataFrame:
     """Pairs to route by, with the document's ``route_all`` flag."""
     has = documents.columns
@@ -29,7 +33,8 @@ def route(
     ``unseen='broadcast'`` sends a document with a pair in no partition to all ``k``;
     ``unseen='hash'`` gives each such pair one partition by its hash, so all its carriers
     still meet.  Either way any two joinable documents share a partition.
-    ``composite_only`` routes expanded documents by their composite pair alone.
+    ``composite_only`` routes expanded documents by their composite pair alone.  A table
+    without ``w`` serves all windows.
     """
     pid = F.col("pid")
     if unseen == "hash":
@@ -39,7 +44,7 @@ def route(
     # The list holds at most k ids; duplicates combine before the shuffle.
     found = (
         _routed_pairs(documents, composite_only)
-        .join(table, ["w", "attr", "val"], "left")
+        .join(table, _keys(table), "left")
         .groupBy("w", "doc")
         .agg(
             F.sort_array(F.collect_set(pid)).alias("_found"),
@@ -53,14 +58,14 @@ def route(
 def unseen_counts(documents: DataFrame, table: DataFrame, threshold: int = UNSEEN_THRESHOLD) -> DataFrame:
     """Pairs of a window that no partition owns: ``(w, attr, val, n_docs, candidate)``.
 
-    Composite pairs are exempt.
+    Composite pairs are exempt.  A table without ``w`` serves all windows.
     """
     expanded = "composite" in documents.columns
     pairs = explode_pairs(documents, ["w", "composite"] if expanded else ["w"], F.col("m"))
     if expanded:
         pairs = pairs.where(F.col("composite").isNull() | (F.col("attr") != F.col("composite")))
     counts = pairs.groupBy("w", "attr", "val").agg(F.count(F.lit(1)).alias("n_docs"))
-    return counts.join(table, ["w", "attr", "val"], "left_anti").withColumn(
+    return counts.join(table, _keys(table), "left_anti").withColumn(
         "candidate", F.col("n_docs") >= threshold
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.operators.pairs import shred
-from docweave.operators.positions import with_position
+from docweave.operators.positions import part_of, with_position
 
 
 def pair_counts(documents: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def pair_index(documents: DataFrame, parts: int = 1) -> DataFrame:
     Every posting list is dealt to ``parts`` rows (``block``) by document hash, whatever its
     length, so with enough parts no task holds one whole hot list.  Empty rows are left out.
     """
-    block = F.pmod(F.xxhash64("doc"), F.lit(parts)).alias("block")
+    block = part_of("doc", parts).alias("block")
     lists = shred(documents).groupBy("w", "attr", "val", block).agg(F.sort_array(F.collect_list("doc")).alias("docs"))
     return lists.join(pair_counts(documents), ["w", "attr", "val"]).select(
         "w", "attr", "val", "n_docs", "block", "docs"

@@ -37,3 +37,9 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{stage_dir(df.sparkSession)}/docweave/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file wherever it lies; one that is not there makes no difference."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -6,29 +6,20 @@ the checkpoint neither loses nor repeats results.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.operators.joins import couples, natural_join_partitioned
 from docweave.plans.core_attributes import choose_core
-from docweave.plans.partitioning import SUMMARY, Options, TableState, advance
+from docweave.plans.partitioning import SUMMARY, Options, TableState, serve_windows
+from docweave.streaming.ledger import WindowLedger, read_or_none
 
 COUPLES = "couples"
-DOCUMENTS = "documents"
 PLANS = "plans"
 TABLES = "tables"
-
-
-def _read(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
-    """The table at ``path``, or None before its first write."""
-    try:
-        reader = spark.read if schema is None else spark.read.schema(schema)
-        return reader.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+_META = "version long, rebuild boolean, attrs array<string>, n_docs long, max_load long, avg_comm double"
 
 
 def _run(documents: DataFrame, path: str, serve, available_now: bool):
@@ -38,33 +29,35 @@ def _run(documents: DataFrame, path: str, serve, available_now: bool):
     return writer.start()
 
 
-def stream_window_join(documents: DataFrame, path: str, available_now: bool = True):
-    """Join streaming documents ``(w, doc, m)`` per window, whatever order they arrive in.
+def stream_window_join(documents: DataFrame, path: str, available_now: bool = True, delay: int | None = None):
+    """Join streaming documents ``(w, doc, m[, source])`` per window, whatever order they arrive in.
 
     A batch joins its documents among themselves and with earlier documents of the same
     windows, so a window may be spread over any number of batches.  Couples are under
-    ``path/couples``.
+    ``path/couples``.  With ``delay`` a window is forgotten when every source has gone more
+    than that many windows beyond it, and what comes later still is under ``path/late``.
     """
-
     # Batches are written first and then served from the table in the caller's session, so
     # adaptive execution applies to them as to any batch job.
     spark = documents.sparkSession
+    ledger = WindowLedger(spark, path, delay)
 
     def serve(new: DataFrame, batch: int) -> None:
-        new.select("w", "doc", "m").write.mode("overwrite").parquet(f"{path}/{DOCUMENTS}/batch={batch}")
-        seen = spark.read.parquet(f"{path}/{DOCUMENTS}")
-        fresh = seen.where(F.col("batch") == batch).drop("batch")
-        span = fresh.agg(F.min("w").alias("lo"), F.max("w").alias("hi")).first()
-        if span["lo"] is None:
+        added = ledger.add(new, batch)
+        if added is None:
             return
-        # Only windows this batch touches are read back.
-        earlier = seen.where((F.col("batch") < batch) & F.col("w").between(span["lo"], span["hi"])).drop("batch")
-        earlier = earlier.join(fresh.select("w").distinct(), "w", "left_semi")
-        core = choose_core(fresh.unionByName(earlier))
-        found = couples(fresh, None, core).unionByName(couples(fresh, earlier, core))
-        found.select(
-            "w", F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")
-        ).write.mode("overwrite").parquet(f"{path}/{COUPLES}/batch={batch}")
+        windows, touched, closing = added
+        if touched:
+            # Only windows this batch touches are read back.
+            seen = ledger.documents(touched, new)
+            fresh = seen.where(F.col("batch") == batch).drop("batch")
+            earlier = seen.where(F.col("batch") < batch).drop("batch")
+            core = choose_core(fresh.unionByName(earlier))
+            found = couples(fresh, None, core).unionByName(couples(fresh, earlier, core))
+            found.select(
+                "w", F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")
+            ).write.mode("overwrite").parquet(f"{path}/{COUPLES}/batch={batch}")
+        ledger.commit(batch, windows, closing)
 
     return _run(documents, path, serve, available_now)
 
@@ -77,65 +70,77 @@ class PartitionTableState:
 
     def load(self, batch: int) -> TableState:
         """State after the last batch before ``batch``."""
-        meta = _read(self.spark, f"{self.path}/{TABLES}/meta")
+        meta = read_or_none(self.spark, f"{self.path}/{TABLES}/meta")
         last = meta and meta.where(F.col("batch") < batch).orderBy(F.desc("batch")).first()
         if not last:
             return TableState()
-        at = f"batch={last['batch']}"
         return TableState(
             version=last["version"],
             rebuild=last["rebuild"],
-            table=self.spark.read.parquet(f"{self.path}/{TABLES}/pairs/{at}"),
-            baseline=self.spark.read.parquet(f"{self.path}/{TABLES}/baseline/{at}"),
+            table=self.spark.read.parquet(f"{self.path}/{TABLES}/pairs/batch={last['batch']}"),
+            attrs=tuple(last["attrs"]),
+            baseline=None if last["n_docs"] is None else (last["n_docs"], last["max_load"], last["avg_comm"]),
         )
 
     def save(self, batch: int, state: TableState) -> None:
         at = f"batch={batch}"
         state.table.write.mode("overwrite").parquet(f"{self.path}/{TABLES}/pairs/{at}")
-        state.baseline.write.mode("overwrite").parquet(f"{self.path}/{TABLES}/baseline/{at}")
-        # Written last: a batch without it counts as not done and is served again.
-        self.spark.createDataFrame(
-            [(state.version, state.rebuild)], "version long, rebuild boolean"
-        ).write.mode("overwrite").parquet(f"{self.path}/{TABLES}/meta/{at}")
-
-
-def stream_partitioned_join(documents: DataFrame, path: str, options: Options = Options(), available_now: bool = True):
-    """Partitioned join of streaming documents with adaptive partition tables.
-
-    A batch must hold whole windows.  For each of its windows in order the table is chosen
-    before routing, quality is checked once after it, and updates or a rebuild take effect
-    with the next window.  Couples are under ``path/couples``, one summary row per window
-    under ``path/plans``.
+        row = (state.version, state.rebuild, list(state.attrs), *(state.baseline or (None, None, None)))
+        self.spark.createDataFrame([row], _META).write.mode("overwrite").parquet(f"{self.path}/{TABLES}/meta/{at}")
+
+
+def _serve_closed(ledger: WindowLedger, like: DataFrame, batch: int, closing: list[int], options: Options) -> None:
+    """Couples, plan rows and table state of the windows that a batch closes, in common jobs."""
+    spark, path = ledger.spark, ledger.path
+    keeper = PartitionTableState(spark, path)
+    closed = ledger.documents(closing, like).select("w", "doc", "m")
+    state, routes, rows = serve_windows(keeper.load(batch), closed, options)
+    natural_join_partitioned(closed, routes).write.mode("overwrite").parquet(f"{path}/{COUPLES}/batch={batch}")
+    spark.createDataFrame(rows, SUMMARY).write.mode("overwrite").parquet(f"{path}/{PLANS}/batch={batch}")
+    keeper.save(batch, state)
+
+
+def stream_partitioned_join(
+    documents: DataFrame, path: str, options: Options = Options(), available_now: bool = True, delay: int = 0
+):
+    """Partitioned join of streaming documents ``(w, doc, m[, source])`` with adaptive partition tables.
+
+    A window may come in any number of batches.  It is served once, when it closes: when every
+    source has gone more than ``delay`` windows beyond it; its documents are deleted then.  For
+    each window in order the table is chosen before routing, quality is checked once after it,
+    and updates or a rebuild take effect with the next window.  Couples are under
+    ``path/couples``, one summary row per window under ``path/plans``, documents of windows that
+    had closed before under ``path/late``.  ``end_windows`` serves what is open in the end.
     """
-
-    # Batches are written first and then served from the table in the caller's session, so
-    # adaptive execution applies to them as to any batch job.
-    spark = documents.sparkSession
+    ledger = WindowLedger(documents.sparkSession, path, delay)
 
     def serve(new: DataFrame, batch: int) -> None:
-        keeper = PartitionTableState(spark, path)
-        state = keeper.load(batch)
-        new.select("w", "doc", "m").write.mode("overwrite").partitionBy("w").parquet(
-            f"{path}/{DOCUMENTS}/batch={batch}"
-        )
-        held = spark.read.schema("doc {}, m map<string,string>, w long".format(new.schema["doc"].dataType.simpleString())).parquet(
-            f"{path}/{DOCUMENTS}/batch={batch}"
-        )
-        rows = []
-        for w in sorted(r["w"] for r in held.select("w").distinct().collect()):
-            window = held.where(F.col("w") == w).select("w", "doc", "m")
-            state, routes, summary = advance(state, window, w, options)
-            natural_join_partitioned(window, routes).write.mode("overwrite").parquet(
-                f"{path}/{COUPLES}/batch={batch}/part={w}"
-            )
-            rows.append(tuple(summary[c.split()[0]] for c in SUMMARY.split(", ")))
-        if rows:
-            spark.createDataFrame(rows, SUMMARY).write.mode("overwrite").parquet(f"{path}/{PLANS}/batch={batch}")
-            keeper.save(batch, state)
+        added = ledger.add(new, batch)
+        if added is None:
+            return
+        windows, _, closing = added
+        if closing:
+            _serve_closed(ledger, new, batch, closing, options)
+        ledger.commit(batch, windows, closing)
 
     return _run(documents, path, serve, available_now)
 
 
+def end_windows(documents: DataFrame, path: str, options: Options = Options()) -> None:
+    """Close and serve the windows of ``stream_partitioned_join`` that no later document has closed.
+
+    The stream of ``path`` is over then.  Done once, whatever how often it is called.
+    """
+    ledger = WindowLedger(documents.sparkSession, path, None)
+    last, windows = ledger.load()
+    if windows.ended or last < 0:
+        return
+    closing = sorted(windows.open)
+    if closing:
+        _serve_closed(ledger, documents, last + 1, closing, options)
+    ledger.commit(last + 1, replace(windows, open=frozenset(), closed=max(windows.high.values()), ended=True), closing)
+
+
 def read_couples(spark: SparkSession, path: str) -> DataFrame:
     """Couples ``(w, a, b)`` written so far by either runner."""
     return spark.read.parquet(f"{path}/{COUPLES}").select("w", "a", "b")

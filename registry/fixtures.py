@@ -9,6 +9,7 @@ from docweave.sources.tables import documents_from_table
 
 WINDOW = 500
 K = 8
+PARTS = 4  # rows of every posting or partner list
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,12 +54,16 @@ def wide_attrs() -> dict[str, Column]:
     }
 
 
-def wide_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines_with(spark: SparkSession, sf_dir: str, attrs: dict) -> DataFrame:
     """All order lines as documents of one window; lines that share order and number are one."""
     least = [F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")]
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*least)
     lines = lines.withColumn("doc", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return documents_from_table(lines, "doc", wide_attrs())
+    return documents_from_table(lines, "doc", attrs)
+
+
+def wide_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_with(spark, sf_dir, wide_attrs())
 
 
 def universal_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ lists compared with each other, groups packed one by one), not by the plans used
 
 from __future__ import annotations
 
-from registry.fixtures import K, WINDOW
+from registry.fixtures import K, PARTS, WINDOW
 
 
 def mixed(window: int = WINDOW) -> str:
@@ -67,8 +67,19 @@ met AS (
   SELECT DISTINCT x.w, x.doc AS a, y.doc AS b FROM pairs x JOIN pairs y ON x.w = y.w AND x.attr = y.attr AND x.val = y.val
   WHERE x.doc < y.doc),
 joined AS (
-  SELECT w, a, b FROM met m WHERE NOT EXISTS (
-    SELECT 1 FROM pairs x JOIN pairs y ON x.attr = y.attr AND x.val <> y.val WHERE x.doc = m.a AND y.doc = m.b))"""
+  SELECT m.w, m.a, m.b FROM met m JOIN pairs x ON x.doc = m.a JOIN pairs y ON y.doc = m.b AND y.attr = x.attr
+  GROUP BY m.w, m.a, m.b HAVING count(*) FILTER (x.val <> y.val) = 0)"""
+
+# The flag is carried by every document, so couples are looked for among lines of equal item.
+HOT = """lines AS (
+  SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey,
+    min(l_returnflag) AS flag, l_orderkey * 10 + l_linenumber AS doc FROM lineitem GROUP BY 1, 2),
+hot AS (
+  SELECT doc, flag, l_partkey || '-' || l_suppkey AS item, CASE WHEN doc % 4 <> 0 THEN l_orderkey END AS ord FROM lines
+  WHERE doc % 3 <> 0),
+joined AS (
+  SELECT 0::BIGINT AS w, x.doc AS a, y.doc AS b FROM hot x JOIN hot y
+  ON x.flag = y.flag AND x.item = y.item AND x.doc < y.doc AND (x.ord IS NULL OR y.ord IS NULL OR x.ord = y.ord))"""
 
 STATS = """stats AS (
   SELECT w, attr, count(*) AS n_docs, count(DISTINCT val) AS n_vals FROM pairs GROUP BY w, attr),
@@ -206,6 +217,42 @@ picked AS (
   SELECT w, doc, pid, overlap FROM scored
   QUALIFY row_number() OVER (PARTITION BY w, doc ORDER BY overlap DESC, n_docs, pid) = 1)"""
 
+# Every window under the table of every earlier one, then the chain from window to window.
+PLAN = f"""{BASE},
+under_hit AS (
+  SELECT o.w AS i, p.w AS j, p.doc, t.pid FROM (SELECT DISTINCT w FROM pairs) o JOIN pairs p ON p.w >= o.w
+  LEFT JOIN tab t ON t.w = o.w AND t.attr = p.attr AND t.val = p.val),
+under AS (
+  SELECT DISTINCT i, j, doc, pid FROM under_hit WHERE pid IS NOT NULL
+  UNION
+  SELECT i, j, doc, unnest(range({K})) FROM under_hit WHERE pid IS NULL),
+under_docs AS (SELECT i, j, count(DISTINCT doc) AS n_docs FROM under GROUP BY i, j),
+measured AS (
+  SELECT l.i, l.j, d.n_docs, max(n) AS max_load, CAST(sum(n) AS DOUBLE) / d.n_docs AS avg_comm
+  FROM (SELECT i, j, pid, count(*) AS n FROM under GROUP BY i, j, pid) l JOIN under_docs d ON d.i = l.i AND d.j = l.j
+  GROUP BY l.i, l.j, d.n_docs),
+checked AS (
+  SELECT n.*, CASE
+    WHEN (n.max_load / n.n_docs - b.max_load / b.n_docs) / (b.max_load / b.n_docs) * 100 > 20 THEN 'load'
+    WHEN (n.avg_comm - b.avg_comm) / b.avg_comm * 100 > 20 THEN 'communication' ELSE 'none' END AS cause
+  FROM measured n JOIN measured b ON b.i = n.i AND b.j = n.i),
+chain AS (
+  SELECT min(w) AS w, min(w) AS base, 1::BIGINT AS version FROM pairs
+  UNION ALL
+  SELECT c.w + 1, CASE WHEN k.cause <> 'none' THEN c.w + 1 ELSE c.base END, c.version + CASE WHEN k.cause <> 'none' THEN 1 ELSE 0 END
+  FROM chain c JOIN checked k ON k.i = c.base AND k.j = c.w WHERE c.w < (SELECT max(w) FROM pairs))"""
+PLANS = f"""WITH RECURSIVE {PLAN}
+SELECT c.w, c.version, c.w = c.base AS rebuilt, k.n_docs, k.max_load, round(k.avg_comm, 9) AS avg_comm, k.cause
+FROM chain c JOIN checked k ON k.i = c.base AND k.j = c.w"""
+
+# Of three files the last brings events of windows that the second has closed.
+LATE = f"""{PAIRS},
+late AS (
+  SELECT event_id AS doc, event_id // {WINDOW} AS w FROM events WHERE event_id < {2 * WINDOW} AND event_id % 10 = 3
+    AND event_id // {WINDOW} <= (
+      SELECT max(event_id // {WINDOW}) - 1 FROM events
+      WHERE event_id * 3.0 / (SELECT count(*) FROM events) < 2 AND NOT (event_id < {2 * WINDOW} AND event_id % 10 = 3)))"""
+
 FOLD = f"""fold AS (
   SELECT w, g_attr, g_val, pos, 0::BIGINT AS pid,
     list_concat([n_docs], list_resize([]::BIGINT[], {K - 1}, 0::BIGINT)) AS loads
@@ -227,6 +274,12 @@ JSON_BASE = """json_pairs AS (
   UNION ALL SELECT event_id, 'tags', to_json(list_sort(list_distinct(['b', 'a', event_type])))::VARCHAR FROM events
   UNION ALL SELECT event_id, 'none', 'null' FROM events)"""
 
+
+
+def part(doc: str) -> str:
+    return f"CAST('0x' || substr(md5(CAST({doc} AS VARCHAR)), 1, 8) AS BIGINT) % {PARTS}"
+
+
 SYMMETRIC = "both_ways AS (SELECT w, a AS doc, b AS partner FROM joined UNION ALL SELECT w, b, a FROM joined)"
 
 ORACLES: dict[str, str] = {
@@ -272,8 +325,8 @@ UNION ALL SELECT event_id, 'props_k', json_extract_string(props, '$.k') FROM eve
     "join_wide": f"WITH {WIDE} SELECT w, a, b FROM joined",
     "join_wide_index": f"WITH {WIDE} SELECT w, a, b FROM joined",
     "join_wide_sets": f"""WITH {WIDE}, both_ways AS (SELECT w, a AS doc, b AS p FROM joined UNION ALL SELECT w, b, a FROM joined)
-SELECT 0::BIGINT AS w, d.doc, coalesce(string_agg(CAST(p AS VARCHAR), ',' ORDER BY p), '') AS partners
-FROM (SELECT l_orderkey * 10 + l_linenumber AS doc FROM lines) d LEFT JOIN both_ways b ON b.doc = d.doc GROUP BY d.doc""",
+SELECT 0::BIGINT AS w, d.doc, coalesce({part('p')}, 0) AS part, coalesce(string_agg(CAST(p AS VARCHAR), ',' ORDER BY p), '') AS partners
+FROM (SELECT l_orderkey * 10 + l_linenumber AS doc FROM lines) d LEFT JOIN both_ways b ON b.doc = d.doc GROUP BY d.doc, coalesce({part('p')}, 0)""",
     "json_nested_deep": """SELECT o_orderkey AS doc, 'status' AS attr, o_orderstatus AS val FROM orders
 UNION ALL SELECT o_orderkey, 'n0_n1_n2_n3_n4_n5_customer', CAST(o_custkey AS VARCHAR) FROM orders""",
     "doc_trimmed_pairs": """SELECT p_partkey AS doc, 'brand' AS attr, p_brand AS val FROM part
@@ -291,12 +344,13 @@ FROM (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts,
 SELECT w, attr, count(*) AS n_docs FROM pairs p GROUP BY w, attr
 HAVING count(*) = (SELECT count(DISTINCT doc) FROM pairs q WHERE q.w = p.w)""",
     "pair_postings": f"""WITH {PAIRS}
-SELECT w, attr, val, count(*) AS n_docs, 0::BIGINT AS block, string_agg(CAST(doc AS VARCHAR), ',' ORDER BY doc) AS docs
-FROM pairs GROUP BY w, attr, val""",
+SELECT w, attr, val, CAST(sum(count(*)) OVER (PARTITION BY w, attr, val) AS BIGINT) AS n_docs, {part('doc')} AS block,
+  string_agg(CAST(doc AS VARCHAR), ',' ORDER BY doc) AS docs
+FROM pairs GROUP BY w, attr, val, {part('doc')}""",
     "attr_postings": f"""WITH {CUSTOMERS},
 totals AS (SELECT w, attr, count(*) AS n_occurrences, count(DISTINCT val) AS n_vals FROM pairs GROUP BY w, attr)
-SELECT p.w, p.attr, n_occurrences, n_vals, val, 0::BIGINT AS block, string_agg(CAST(doc AS VARCHAR), ',' ORDER BY doc) AS docs
-FROM pairs p JOIN totals t ON t.w = p.w AND t.attr = p.attr GROUP BY p.w, p.attr, n_occurrences, n_vals, val""",
+SELECT p.w, p.attr, n_occurrences, n_vals, val, {part('doc')} AS block, string_agg(CAST(doc AS VARCHAR), ',' ORDER BY doc) AS docs
+FROM pairs p JOIN totals t ON t.w = p.w AND t.attr = p.attr GROUP BY p.w, p.attr, n_occurrences, n_vals, val, {part('doc')}""",
     "doc_sorted_pairs": f"""WITH {PAIRS}, {STATS}
 SELECT p.w, p.doc, string_agg(p.attr || '=' || p.val, ';' ORDER BY r.rank) AS pairs
 FROM pairs p JOIN ranked r ON r.w = p.w AND r.attr = p.attr GROUP BY p.w, p.doc""",
@@ -384,8 +438,8 @@ SELECT w, a, b FROM joined""",
 SELECT w, a, b FROM joined""",
     "join_shared_counts": f"WITH {PAIRS}, {JOINED} SELECT w, a, b, n_shared FROM joined",
     "join_sets": f"""WITH {PAIRS}, {DOCS}, {JOINED}, {SYMMETRIC}
-SELECT d.w, d.doc, 0::BIGINT AS part, coalesce(string_agg(CAST(partner AS VARCHAR), ',' ORDER BY partner), '') AS partners
-FROM docs d LEFT JOIN both_ways s ON s.w = d.w AND s.doc = d.doc GROUP BY d.w, d.doc""",
+SELECT d.w, d.doc, coalesce({part('partner')}, 0) AS part, coalesce(string_agg(CAST(partner AS VARCHAR), ',' ORDER BY partner), '') AS partners
+FROM docs d LEFT JOIN both_ways s ON s.w = d.w AND s.doc = d.doc GROUP BY d.w, d.doc, coalesce({part('partner')}, 0)""",
     "join_csv": f"""WITH {PAIRS}, {DOCS}, {JOINED}, {SYMMETRIC}
 SELECT d.w, CAST(d.doc AS VARCHAR) AS "DocumentID",
   coalesce(string_agg(CAST(partner AS VARCHAR), ',' ORDER BY partner), 'None') AS "JoinableDocuments"
@@ -406,4 +460,17 @@ UNION ALL SELECT *, 'first' FROM (SELECT * FROM known EXCEPT SELECT * FROM unkno
     "stream_join_index": f"WITH {PAIRS.replace('pairs AS', 'base AS', 1)}, {DAY}, {JOINED} SELECT w, a, b FROM joined",
     "stream_batches": f"WITH {PAIRS}, {JOINED} SELECT w, a, b FROM joined",
     "stream_partitioned": f"WITH {mixed(2500)}, {JOINED} SELECT w, a, b FROM joined",
+    "repartition_plan": PLANS,
+    "stream_plans": PLANS,
+    "stream_late": f"""WITH {LATE}, {JOINED}
+SELECT w, a, b, false AS late FROM joined WHERE a NOT IN (SELECT doc FROM late) AND b NOT IN (SELECT doc FROM late)
+UNION ALL SELECT w, doc, doc, true FROM late""",
+    "stream_json": f"""WITH {JSON_BASE}, pairs AS (SELECT doc // {WINDOW} AS w, doc, attr, val FROM json_pairs), {JOINED}
+SELECT w, a, b FROM joined""",
+    "join_hot": f"WITH {HOT} SELECT w, a, b FROM joined",
+    "join_hot_index": f"WITH {HOT} SELECT w, a, b FROM joined",
+    "join_hot_partitioned": f"WITH {HOT} SELECT w, a, b FROM joined",
+    "join_hot_sets": f"""WITH {HOT}, {SYMMETRIC}
+SELECT 0::BIGINT AS w, d.doc, coalesce({part('partner')}, 0) AS part, coalesce(string_agg(CAST(partner AS VARCHAR), ',' ORDER BY partner), '') AS partners
+FROM hot d LEFT JOIN both_ways s ON s.doc = d.doc GROUP BY d.doc, coalesce({part('partner')}, 0)""",
 }

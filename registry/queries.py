@@ -25,7 +25,8 @@ from docweave.sources import sinks
 from docweave.sources import tables as T
 from docweave.streaming import batches as B
 from docweave.streaming.joins import stream_natural_join
-from registry.fixtures import K, WINDOW, keyed, mixed_attrs, mixed_events, places, table, universal_events, wide_lines
+from docweave.streaming.ledger import read_late
+from registry.fixtures import K, PARTS, WINDOW, keyed, lines_with, mixed_attrs, mixed_events, places, table, universal_events, wide_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -153,7 +154,7 @@ def _json_files(spark, sf, layout):
         arrays = rows.groupBy("w").agg(F.concat(F.lit("["), body, F.lit("]")).alias("value"))
         arrays.write.partitionBy("w").text(path)
     else:
-        rows.select("value").write.text(path)
+        rows.repartition(3).select("value").write.text(path)
     return path
 
 
@@ -257,12 +258,12 @@ def attr_universal(spark, sf):
 
 @query
 def pair_postings(spark, sf):
-    return S.pair_index(mixed_events(spark, sf)).select("w", "attr", "val", "n_docs", "block", listed("docs").alias("docs"))
+    return S.pair_index(mixed_events(spark, sf), PARTS).select("w", "attr", "val", "n_docs", "block", listed("docs").alias("docs"))
 
 
 @query
 def attr_postings(spark, sf):
-    return S.posting_lists(keyed(spark, sf, "customer", "c_custkey", ["c_nationkey", "c_mktsegment"])).select(
+    return S.posting_lists(keyed(spark, sf, "customer", "c_custkey", ["c_nationkey", "c_mktsegment"]), PARTS).select(
         "w", "attr", "n_occurrences", "n_vals", "val", "block", listed("docs").alias("docs")
     )
 
@@ -565,7 +566,7 @@ def join_partitioned(spark, sf):
 
 @query
 def join_partitioned_hash(spark, sf):
-    """Groups from a sample of each shard; the rest of the pairs go by hash."""
+    """Groups of each shard, merged; pairs that no group holds go by hash."""
     docs = mixed_events(spark, sf)
     options = Options(k=K, shards=4)
     return J.natural_join_partitioned(docs, R.route(docs, build_table(docs, options), K, "hash"))
@@ -622,7 +623,7 @@ def join_shared_counts(spark, sf):
 @query
 def join_sets(spark, sf):
     docs = mixed_events(spark, sf)
-    return J.joinable_sets(J.natural_join(docs), docs).select("w", "doc", "part", listed("partners").alias("partners"))
+    return J.joinable_sets(J.natural_join(docs), docs, PARTS).select("w", "doc", "part", listed("partners").alias("partners"))
 
 
 @query
@@ -636,11 +637,48 @@ def join_wide_index(spark, sf):
     return J.natural_join_index(wide_lines(spark, sf))
 
 
+def _hot_lines(spark, sf):
+    """All order lines; each value of ``flag`` is carried by about a third of them."""
+    return lines_with(spark, sf, {
+        "flag": "l_returnflag",
+        "item": F.when(F.col("doc") % 3 != 0, F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))),
+        "order": F.when(F.col("doc") % 4 != 0, F.col("l_orderkey").cast("string")),
+    })
+
+
+def _hot_documents(spark, sf):
+    """Lines with an item, so that few of those with the same flag agree; three in four name their order."""
+    return _hot_lines(spark, sf).where(F.map_contains_key("m", "item"))
+
+
+@query
+def join_hot(spark, sf):
+    """Pairs that a third of a window's documents carry, with attributes that tell most of them apart."""
+    return J.natural_join(_hot_documents(spark, sf))
+
+
+@query
+def join_hot_index(spark, sf):
+    return J.natural_join_index(_hot_documents(spark, sf))
+
+
+@query
+def join_hot_partitioned(spark, sf):
+    docs = _hot_documents(spark, sf)
+    return J.natural_join_partitioned(docs, R.route(docs, build_table(docs, Options(k=K)), K))
+
+
+@query
+def join_hot_sets(spark, sf):
+    docs = _hot_documents(spark, sf)
+    return J.joinable_sets(J.natural_join(docs), docs, PARTS).select("w", "doc", "part", listed("partners").alias("partners"))
+
+
 @query
 def join_wide_sets(spark, sf):
     docs = wide_lines(spark, sf)
-    sets = J.joinable_sets(J.natural_join(docs), docs)
-    return sets.select("w", "doc", listed("partners").alias("partners"))
+    sets = J.joinable_sets(J.natural_join(docs), docs, PARTS)
+    return sets.select("w", "doc", "part", listed("partners").alias("partners"))
 
 
 @query
@@ -739,12 +777,84 @@ def stream_batches(spark, sf):
     return B.read_couples(spark, path)
 
 
+def _event_files(spark, sf, parts):
+    """The events as a folder of files, written and read one after another, one per micro-batch."""
+    ev = table(spark, sf, "events")
+    path = new_folder(spark, "stream")
+    for part in range(parts):
+        ev.where(_file_of(sf, ev, parts) == part).coalesce(1).write.mode("append").parquet(path)
+    return JD.stream_table(spark, path, ev.schema, max_files=1)
+
+
+def _file_of(sf, ev, parts):
+    """Files hold ranges of ids that do not end where windows do; some early events come in the last."""
+    i, n = F.col("event_id"), ev.count()
+    late = (i < 2 * WINDOW) & (i % 10 == 3)
+    return F.when(late, parts - 1).otherwise(F.floor(i * parts / n)).cast("int")
+
+
+def _windowed_stream(spark, sf, window, parts):
+    return T.documents_from_table(
+        _event_files(spark, sf, parts), "event_id", mixed_attrs(), w=F.floor(F.col("event_id") / window)
+    )
+
+
 @query
 def stream_partitioned(spark, sf):
-    """Adaptive partition tables over windows of 2,500 events."""
+    """Adaptive partition tables over windows of 2,500 events that come in several batches each.
+
+    The delay is more than the rows out of order take, so no row is late.
+    """
+    docs = _windowed_stream(spark, sf, 2500, 5)
+    path, delay = new_folder(spark, "partitioned"), table(spark, sf, "events").count() // 2500
+    B.stream_partitioned_join(docs, path, Options(k=K), delay=delay).awaitTermination()
+    B.end_windows(docs, path, Options(k=K))
+    return B.read_couples(spark, path)
+
+
+def _watched():
+    """Tables that only a failed check changes."""
+    return Options(k=K, load="snake", update=False)
+
+
+def _plan(rows):
+    return rows.select("w", "version", "rebuilt", "n_docs", "max_load", F.round("avg_comm", 9).alias("avg_comm"), "cause")
+
+
+@query
+def repartition_plan(spark, sf):
+    """Which version of the partition table serves which window, and why the next one gets another."""
+    return _plan(partitioning.repartition_plan(mixed_events(spark, sf), _watched()))
+
+
+@query
+def stream_plans(spark, sf):
+    """The same decided on a stream, whose batches do not end where windows do."""
     docs = T.documents_from_table(
-        _event_stream(spark, sf, 1), "event_id", mixed_attrs(), w=F.floor(F.col("event_id") / 2500)
+        _event_stream(spark, sf, 1), "event_id", mixed_attrs(), w=F.floor(F.col("event_id") / WINDOW)
     )
-    path = new_folder(spark, "partitioned")
-    B.stream_partitioned_join(docs, path, Options(k=K)).awaitTermination()
-    return B.read_couples(spark, path)
+    path = new_folder(spark, "plans")
+    B.stream_partitioned_join(docs, path, _watched()).awaitTermination()
+    B.end_windows(docs, path, _watched())
+    return _plan(B.read_plans(spark, path))
+
+
+@query
+def stream_late(spark, sf):
+    """Couples of a stream that forgets closed windows, and the documents that came after that."""
+    docs = _windowed_stream(spark, sf, WINDOW, 3)
+    path = new_folder(spark, "late")
+    B.stream_window_join(docs, path, delay=0).awaitTermination()
+    late = read_late(spark, path).select("w", F.col("doc").cast("bigint").alias("a"), F.col("doc").cast("bigint").alias("b"))
+    return B.read_couples(spark, path).withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
+
+
+@query
+def stream_json(spark, sf):
+    """A folder of JSON files, read as a stream and joined per window."""
+    path = _json_files(spark, sf, "lines")
+    docs = JD.stream_documents(spark, path, 1, "lines", "event_id", set_attrs=("tags",))
+    docs = docs.withColumn("doc", F.col("doc").cast("bigint")).withColumn("w", F.floor(F.col("doc") / WINDOW))
+    out = new_folder(spark, "json-stream")
+    B.stream_window_join(docs, out).awaitTermination()
+    return B.read_couples(spark, out)

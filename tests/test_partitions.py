@@ -17,7 +17,7 @@ from docweave.operators import partitions as PT
 from docweave.operators import quality as Q
 from docweave.operators import routing as R
 from docweave.operators import stats as S
-from docweave.plans.partitioning import Options, build_table, repartition_replay, with_expansion
+from docweave.plans.partitioning import Options, TableState, build_table, repartition_plan, serve_windows, with_expansion
 
 
 @settings(max_examples=300, deadline=None)
@@ -178,23 +178,64 @@ def test_expansion_takes_all_when_values_never_suffice(golden):
     assert {r["attr"] for r in chosen.collect()} == {"a", "b", "c", "d"}
 
 
-def test_replay_rebuilds_after_drift(make_documents):
+def test_plan_rebuilds_after_drift(make_documents):
     """Windows 0 and 1 look alike; window 2 brings other pairs, so window 3 gets a new table."""
     def window(w, tag):
         return [(w, 100 * w + i, {"g": f"{tag}{i % 4}", "u": f"{tag}{i % 8}"}) for i in range(40)]
 
     docs = make_documents(window(0, "p") + window(1, "p") + window(2, "q") + window(3, "q"))
-    got = {r["w"]: r for r in repartition_replay(docs, Options(k=4)).collect()}
+    got = {r["w"]: r for r in repartition_plan(docs, Options(k=4)).collect()}
     assert [got[w]["version"] for w in range(4)] == [1, 1, 1, 2]
     assert [got[w]["rebuilt"] for w in range(4)] == [True, False, False, True]
     assert [got[w]["cause"] for w in range(4)] == ["none", "none", "load", "none"]
 
 
-def test_replay_adds_recurring_unseen_pairs(make_documents):
+def test_plan_adds_recurring_unseen_pairs(make_documents):
     """A little drift stays under the limit; the new pairs are in the table one window later."""
     base = [{"g": str(i % 4)} for i in range(40)]
     fresh = base + [{"n": "new"}] * 3
     rows = [(w, 100 * w + i, m) for w, ms in enumerate([base, fresh, fresh]) for i, m in enumerate(ms)]
-    got = {r["w"]: r for r in repartition_replay(make_documents(rows), Options(k=4, comm=1.0, load_limit=1.0)).collect()}
+    got = {r["w"]: r for r in repartition_plan(make_documents(rows), Options(k=4, comm=1.0, load_limit=1.0)).collect()}
     assert [got[w]["version"] for w in range(3)] == [1, 1, 1]
     assert got[1]["avg_comm"] > 1.0 and got[2]["avg_comm"] == 1.0
+
+
+def drifting(n: int) -> list:
+    """Windows whose pairs change now and then, and bring new ones in between."""
+    rows = []
+    for w in range(n):
+        tag, extra = "pqr"[w // 2 % 3], [{"n": f"new{w}"}] * (3 if w == 1 else 0)
+        ms = [{"g": f"{tag}{i % 4}", "u": f"{tag}{i % 8}"} for i in range(24)] + extra
+        rows += [(w, 100 * w + i, m) for i, m in enumerate(ms)]
+    return rows
+
+
+@pytest.mark.parametrize("options", [Options(k=4), Options(k=3, expansion=True, load="snake")])
+def test_windows_in_common_jobs_equal_one_after_another(spark, make_documents, options):
+    """However windows are cut into batches, each is served as if it came alone."""
+    docs = make_documents(drifting(5))
+    got = {}
+    for cut in (1, 5):
+        state, rows, routes = TableState(), [], set()
+        for at in range(0, 5, cut):
+            batch = docs.where(F.col("w").between(at, at + cut - 1))
+            state, there, more = serve_windows(state, batch, options)
+            rows += more
+            routes |= {(r["w"], r["doc"], tuple(r["pids"])) for r in there.collect()}
+        got[cut] = (rows, routes)
+    assert got[1] == got[5]
+    assert [r[0] for r in got[5][0]] == list(range(5))
+    assert len({r[1] for r in got[5][0]}) > 1 and {r[6] for r in got[5][0]} != {"none"}
+
+
+def test_jobs_do_not_grow_with_windows(spark, make_documents):
+    """No change after the first table: as many jobs for twelve windows as for four."""
+    jobs = {}
+    for n in (4, 12):
+        rows = [(w, 100 * w + i, {"g": str(i % 4)}) for w in range(n) for i in range(12)]
+        spark.sparkContext.setJobGroup(f"serve-{n}", "")
+        state, routes, plan = serve_windows(TableState(), make_documents(rows), Options(k=4))
+        jobs[n] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"serve-{n}"))
+        assert len(plan) == n and state.version == 1
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[4] and jobs[12] <= jobs[4] + 2

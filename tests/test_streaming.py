@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import tempfile
 
 import pytest
@@ -15,12 +16,14 @@ from docweave.sources.sinks import stream_pairs
 from docweave.sources.tables import documents_from_table
 from docweave.streaming.batches import (
     PartitionTableState,
+    end_windows,
     read_couples,
     read_plans,
     stream_partitioned_join,
     stream_window_join,
 )
 from docweave.streaming.joins import stream_natural_join
+from docweave.streaming.ledger import WindowLedger, Windows, read_late
 from registry.fixtures import mixed_attrs, mixed_events
 
 SF = "/root/testdata/sf0.001"
@@ -106,17 +109,65 @@ def test_batches_in_any_order(spark, event_couples):
 
 
 def test_partition_state_across_restarts(spark, event_couples):
+    """Files that end in the middle of a window: it is served once, when it is over, and then forgotten."""
     source, out = new_folder(), new_folder()
     events = spark.read.parquet(f"{SF}/events.parquet")
-    for w in range(2):
-        events.where(F.floor(F.col("event_id") / 500) == w).coalesce(1).write.mode("append").parquet(source)
+    for part in range(3):
+        events.where(F.floor(F.col("event_id") / 400) == part).coalesce(1).write.mode("append").parquet(source)
         stream_partitioned_join(events_stream(spark, source), out, Options(k=4)).awaitTermination()
+        kept = {f for f in os.listdir(f"{out}/documents") if f.startswith("w=")}
+        assert kept == ({"w=0"} if not part else {"w=1"})
+    assert {r[0] for r in as_set(read_couples(spark, out), "w", "a", "b")} == {0}
+    for _ in range(2):
+        end_windows(events_stream(spark, source), out, Options(k=4))
     assert as_set(read_couples(spark, out), "w", "a", "b") == event_couples
+    assert not [f for f in os.listdir(f"{out}/documents") if f.startswith("w=")]
     plans = {r["w"]: r for r in read_plans(spark, out).collect()}
     assert plans[0]["rebuilt"] and not plans[1]["rebuilt"] and plans[1]["version"] == 1
     keeper = PartitionTableState(spark, out)
-    assert keeper.load(0).table is None
-    assert keeper.load(1).version == 1 and keeper.load(1).table.count() > 0
+    assert keeper.load(1).table is None
+    assert keeper.load(2).version == 1 and keeper.load(2).table.count() > 0 and keeper.load(2).baseline
+
+
+def small(spark, path, rows):
+    spark.createDataFrame(rows, "w long, doc long, m map<string,string>, source string").coalesce(1).write.mode("append").parquet(path)
+
+
+def small_stream(spark, path):
+    return spark.readStream.schema("w long, doc long, m map<string,string>, source string").option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@pytest.mark.parametrize("runner", ["window", "partitioned"])
+def test_windows_close_when_all_sources_are_beyond_them(spark, runner):
+    source, out = new_folder(), new_folder()
+    m = {"a": "1"}
+    batches = [
+        [(0, 1, m, "x"), (0, 2, m, "y"), (1, 3, m, "x")],
+        [(2, 4, m, "x"), (0, 5, m, "y")],  # source y is still in window 0
+        [(2, 6, m, "y"), (1, 7, m, "y")],  # closes 0, and 1 with what has just come
+        [(0, 8, m, "x"), (1, 9, m, "y"), (2, 10, m, "x")],  # two late ones
+    ]
+    for rows in batches:
+        small(spark, source, rows)
+        if runner == "window":
+            stream_window_join(small_stream(spark, source), out, delay=0).awaitTermination()
+        else:
+            stream_partitioned_join(small_stream(spark, source), out, Options(k=2)).awaitTermination()
+    if runner == "partitioned":
+        end_windows(small_stream(spark, source), out, Options(k=2))
+    want = {(0, 1, 2), (0, 1, 5), (0, 2, 5), (1, 3, 7), (2, 4, 6), (2, 4, 10), (2, 6, 10)}
+    assert as_set(read_couples(spark, out), "w", "a", "b") == want
+    assert as_set(read_late(spark, out), "w", "doc") == {(0, 8), (1, 9)}
+
+
+def test_a_batch_that_was_done_changes_nothing(spark):
+    source, out = new_folder(), new_folder()
+    small(spark, source, [(0, 1, {"a": "1"}, "x"), (1, 2, {"a": "1"}, "x")])
+    stream_window_join(small_stream(spark, source), out, delay=0).awaitTermination()
+    ledger = WindowLedger(spark, out, 0)
+    assert ledger.load() == (0, Windows({"x": 1}, frozenset({1}), 0))
+    again = spark.read.schema("w long, doc long, m map<string,string>, source string").parquet(source)
+    assert ledger.add(again, 0) is None and ledger.load()[0] == 0
 
 
 def test_stream_of_json_files(spark):
