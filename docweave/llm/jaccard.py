@@ -196,6 +196,7 @@ def shingle_components(docs: DataFrame, percent: int = 80, hashed: bool = False)
         pieces_of(given, SHINGLE),
         percent,
         functools.partial(may_link, percent),
+        many=True,
     )
     return named(rows, found, ("text_hash",) if hashed else ())
 

@@ -178,12 +178,15 @@ def _verified(candidates: DataFrame, nodes: DataFrame, sets: DataFrame, percent:
 
 
 def linked(
-    first: DataFrame, branch: Callable[[DataFrame, int], DataFrame], levels: int, nodes: DataFrame, sets: DataFrame, percent: int, may_link: MayLink
+    first: DataFrame, branch: Callable[[DataFrame, int], DataFrame], levels: int, nodes: DataFrame, sets: DataFrame, percent: int, may_link: MayLink,
+    many: bool = False,
 ) -> DataFrame:
     """(node, component) of all nodes that links connect.
 
     ``first`` holds (key, node), ``branch(members, level)`` the same for the members (key, node)
     of groups that go on; ``nodes`` node, n, sketch, row_id; ``sets`` node, row_id, piece, shingles.
+    ``many``: similar sets share many first keys, so each set is first compared in its largest and
+    smallest group only, and then in all groups that still hold several components.
     """
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known, found, rest = nodes.withColumn("c", F.col("node")), None, None
@@ -192,9 +195,9 @@ def linked(
     asked = stage(groups.select("node").distinct().join(nodes.select("node", "row_id"), "node").select("node", "row_id"))
     asked = F.broadcast(asked) if asked.count() <= FEW else asked
     sets = stage(sets.join(asked, ["node", "row_id"], "left_semi").select("node", "piece", "shingles"))
-    for level in range(1, levels + 2):
-        cells = _grid(groups) if level > levels else _cells(groups)
-        cells = cells if rest is None else cells.union(rest)
+
+    def compare(cells: DataFrame, known: DataFrame, found: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+        """The components, and nodes with their own, after all pairs of each cell."""
         rows = cells.join(known.select("node", "n", "c", "sketch"), "node").select("key", "cell", "node", "n", "c", "sketch")
         rows = rows.repartition(tasks, "key", "cell").sortWithinPartitions("key", "cell", "node")
         candidates = stage(rows.mapInArrow(functools.partial(_candidates, may_link), "key long, cell long, sub long, node long"))
@@ -203,6 +206,16 @@ def linked(
             found = stage(components(new if found is None else new.union(found.select("node", "component"))))
             known = nodes.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
             known = stage(known)
+        return known, found
+
+    if many:
+        known, found = compare(_cells(_own_groups(groups)), known, found)
+        if found is not None:
+            groups = _groups_of(groups.select("key", "node").join(known.select("node", "c"), "node"))
+    for level in range(1, levels + 2):
+        cells = _grid(groups) if level > levels else _cells(groups)
+        cells = cells if rest is None else cells.union(rest)
+        known, found = compare(cells, known, found)
         if level > levels:
             break
         large = _unsettled(groups.where(F.col("m") > LEAF), known)
@@ -221,6 +234,15 @@ def linked(
     return nodes.select("node", F.col("node").alias("component")).where("false") if found is None else found
 
 
+def _own_groups(groups: DataFrame) -> DataFrame:
+    """(key, node, m): of each node its largest and its smallest group, with how many chose it as well."""
+    size = F.struct("m", "key")
+    ends = groups.groupBy("node").agg(F.array_distinct(F.array(F.max(size), F.min(size))).alias("own"))
+    chosen = ends.select("node", F.explode("own").alias("g")).select(F.col("g.key").alias("key"), "node")
+    sizes = chosen.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    return stage(chosen.join(sizes, "key"))
+
+
 def _groups_of(members: DataFrame) -> DataFrame:
     """(key, node, c, m): groups of several components; of keys with the same sets one is kept."""
     sizes = members.groupBy("key").agg(
