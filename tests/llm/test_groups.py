@@ -87,26 +87,75 @@ def test_bitmaps_bound_from_above():
         assert bound[0, 1] == bound[1, 0] >= len(np.intersect1d(a, b)) and bound[0, 0] == len(a)
 
 
+def brute_nearest(rows, k: int) -> Counter:
+    """(query, rank, id, score) from all pairs of vectors of a length."""
+    v = [(i, np.array(x, np.float32).astype(float)) for i, x in rows]
+    out = Counter()
+    for a, (q, x) in enumerate(v):
+        if q % 20 == 0:
+            others = sorted((-float(x @ y), i) for b, (i, y) in enumerate(v) if b != a and len(y) == len(x))[:k]
+            out.update((q, r + 1, i, round(-s, 4)) for r, (s, i) in enumerate(others))
+    return out
+
+
+def nearest_rows(found) -> Counter:
+    return Counter((r.query_id, r.rank, r.vec_id, round(r.score, 4)) for r in found.collect())
+
+
 def test_neighbours_are_exact_on_few_rows(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.standard_normal(6).tolist()) for i in range(60)]
     rows += [(60, rows[0][1]), (61, rows[0][1]), (0, rows[0][1])]  # ties and a repeated row
-    bad = [(62, None), (80, [0.0] * 6), (64, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (65, [float("nan")] * 6), (None, [1.0] * 6), (100, [float("inf")] * 6), (67, [1.0])]
+    rows += [(i, rng.standard_normal(9).tolist()) for i in range(200, 205)] + [(400, [1.0])]  # other lengths
+    bad = [(62, None), (80, [0.0] * 6), (64, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (65, [float("nan")] * 6), (None, [1.0] * 6), (100, [float("inf")] * 6)]
     table = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").withColumn("list", F.lit(1))
-    got = defaultdict(list)
-    for r in neighbours.nearest(table, F.col("vec_id") % 20 == 0, k=7).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    v = {i: np.array(x, np.float32).astype(float) for i, x in rows}
-    assert set(got) == {0, 20, 40, 60}
-    for q, found in got.items():
-        want = sorted(((-(v[i] @ v[q]), i) for i in v if i != q))[:7]
-        assert [i for i, _ in found] == [i for _, i in want]
-        assert [s for _, s in found] == pytest.approx([-s for s, _ in want])
+    assert nearest_rows(neighbours.nearest(table, F.col("vec_id") % 20 == 0, k=7)) == brute_nearest(rows, 7)
     few = neighbours.nearest(table.where("vec_id in (20, 1, 2)"), F.col("vec_id") % 20 == 0)
     assert few.count() == 2
     assert neighbours.nearest(table.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_scan_abandons_and_finds(spark):
+    """Lists of over 2,000 vectors, a third of them the same one: the tests abandon most candidates and recall holds."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((8, 48)) * 2
+    rows = [(i, (centres[i % 8] + rng.standard_normal(48)).tolist()) for i in range(9000)]
+    rows += [(i, rows[0][1]) for i in range(9000, 9300)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    asked = F.col("vec_id") % 20 == 0
+    got = neighbours.nearest(table, asked, lists=4).collect()
+    v = np.array([x for _, x in rows], np.float32).astype(float)
+    queries = [i for i in range(len(v)) if i % 20 == 0]
+    assert Counter(r.query_id for r in got) == {q: 20 for q in queries}
+    found, hits = defaultdict(set), 0
+    for r in got:
+        assert r.score == pytest.approx(v[r.vec_id] @ v[r.query_id])
+        found[r.query_id].add(r.vec_id)
+    for q in queries:
+        score = v @ v[q]
+        score[q] = -np.inf
+        hits += len(found[q] & set(np.lexsort((np.arange(len(v)), -score))[:20].tolist()))
+    assert hits >= 0.9 * 20 * len(queries)
+
+
+def test_scan_looks_at_few_columns():
+    """What a scan keeps, and that most candidates leave before their last block of columns."""
+    rng = np.random.default_rng(10)
+    x = np.r_[rng.standard_normal((20, 64)) * 0.3, rng.standard_normal((4000, 64)) * 2].astype(np.float32)
+    q = np.zeros(64, np.float32)
+    read = [0]
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            if isinstance(at, tuple) and isinstance(at[1], slice):
+                read[0] += len(at[0]) * (at[1].stop - at[1].start)
+            return np.asarray(self)[at]
+
+    places = neighbours.scan_cell(q, x.view(Counted), 20)
+    assert set(np.argsort((x**2).sum(1))[:20]) <= set(places.tolist())
+    assert read[0] < 0.5 * x.size
+
+
 def test_neighbours_reach_recall(spark):
     table = spark.read.parquet(f"{SF}/embeddings.parquet")
     ids, v = zip(*[(r.vec_id, r.embedding) for r in table.collect()], strict=True)

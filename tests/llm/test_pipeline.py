@@ -81,3 +81,21 @@ def test_sql_twins(spark):
     con = check.connect(SF)
     for name in queries.ORACLES:
         assert check.compare(spark, con, SF, name).startswith("ok"), name
+
+
+def test_labels_of_one_target_and_texts_of_any_kind(spark):
+    """A label without toxicity teaches quality alone; null, empty and very long texts are scored by what was learned."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet").withColumn("toxic", F.lit(None).cast("int"))
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    one = table.limit(1)
+    odd = one.withColumn("doc_id", F.lit(-1).cast("long")).withColumn("text", F.lit(None).cast("string"))
+    odd = odd.union(one.withColumn("doc_id", F.lit(-2).cast("long")).withColumn("text", F.lit("")))
+    odd = odd.union(one.withColumn("doc_id", F.lit(-3).cast("long")).withColumn("text", F.repeat(F.lit("word and word "), 100_000)))
+    scored = quality.with_quality(table.union(odd), labels, "q").select("doc_id", "q.quality_score", "q.toxic_score")
+    rows = {r.doc_id: r for r in scored.collect()}
+    assert {r.toxic_score for r in rows.values()} == {0.0}
+    assert len({round(r.quality_score, 3) for r in rows.values()}) > 20
+    assert all(0 <= rows[i].quality_score <= 1 for i in (-1, -2, -3))
+    known = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in rows}
+    right = sum((rows[i].quality_score >= 0.5) == (q == 1) for i, q in known.items())
+    assert right > 0.9 * len(known)

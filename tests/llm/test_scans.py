@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -39,6 +39,48 @@ def test_automata_learn_formats():
     assert all(map(passes, held_out)) and not any(map(passes, ordinary))
 
 
+def test_tree_likelihoods_equal_counted_shares():
+    """Before merging: the product over a value's characters of the shares counted after each prefix."""
+    rng = random.Random(3)
+    values = ["".join(rng.choice("ab1") for _ in range(rng.randint(1, 6))) for _ in range(60)] + ["a" * 3000, "a" * 3000 + "b"]
+    floor = 0.01
+    table = secrets.Automaton(values).table(floor)
+
+    def share(k, n):
+        return math.log2((1 - floor) * k / n + floor / secrets.ALPHABET)
+
+    for v in {*values, "aab", "b1"}:
+        want, known = 0.0, 0
+        for i, c in enumerate(v):
+            n = sum(x.startswith(v[:i]) for x in values)
+            k = sum(x.startswith(v[: i + 1]) for x in values)
+            want += share(k, n) if k else math.log2(floor / secrets.ALPHABET)
+            known = i + 1 if k and known == i else known
+            if not k:
+                break
+        if known == len(v):
+            want += share(values.count(v), sum(x.startswith(v) for x in values))
+            assert secrets.log_likelihood(table, v) == pytest.approx(want)
+
+
+def test_merging_keeps_counts_and_long_values_end():
+    """Arrivals of every reachable state are its ends and moves; no part of a long value is cut."""
+    rng = random.Random(4)
+    values = ["sk-" + "".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in [20] * 40 + [500, 700, 5000]]
+    tree = secrets.Automaton(values)
+    assert sum(tree.ended) == len(values)
+    merged = tree.merged()
+    todo, seen = [0], {0}
+    while todo:
+        s = todo.pop()
+        assert merged.arrived[s] == merged.ended[s] + sum(n for _, n in merged.moves[s].values())
+        for to, _ in merged.moves[s].values():
+            if to not in seen:
+                seen.add(to)
+                todo.append(to)
+    assert sum(merged.ended[s] for s in seen) == len(values)
+
+
 def test_secret_scan_keeps_base_spans_and_redacts(docs, rows, none):
     got = secrets.with_secrets(docs, "found").select("doc_id", "text", "found").collect()
     assert len(got) == len(rows)
@@ -150,7 +192,3 @@ def test_language_model_equals_brute_force(docs, rows, none):
     assert abs(sum(p("ta", w) for w in c) + p("ta", "unknown") - 1) < 1e-9
     nothing = language_model.score(docs.select("doc_id", "text"), language_model.train(none)).collect()
     assert {r["score"] for r in nothing} == {0.0} and {r["n_known"] for r in nothing} == {0}
-
-
-def test_items_digest():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
