@@ -14,6 +14,15 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="docweave-")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path without a scheme lies in the session's default file system, for every process alike."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    at = fs.Path(path)
+    if at.toUri().getScheme() is None:
+        at = at.makeQualified(fs.FileSystem.getDefaultUri(spark._jsc.hadoopConfiguration()), fs.Path("/"))
+    return at.toString().rstrip("/")
+
+
 def stage_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: ``spark.checkpoint.dir`` as the session names it.
 
@@ -22,7 +31,7 @@ def stage_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured.rstrip("/")
+        return qualified(spark, configured)
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return _local_folder()
