@@ -69,8 +69,8 @@ def prefixes(flat: np.ndarray, at: np.ndarray, order: dict | None, percent: int)
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """One bit per shingle at its hash; about twice as many bits as shingles."""
-    bits = min(1 << max(6, int(2 * len(shingles) - 1).bit_length()), BITS)
+    """One bit per shingle at its hash; at least four times as many bits as shingles, up to ``BITS``."""
+    bits = min(1 << max(6, int(4 * len(shingles) - 1).bit_length()), BITS)
     out = np.zeros(bits, bool)
     out[(mix(shingles) % U64(bits)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little")
@@ -80,10 +80,11 @@ def at_most(n: np.ndarray, bits: list[np.ndarray]) -> np.ndarray:
     """Upper bounds of all intersections: a bit that the other lacks is a shingle it lacks."""
     short = min(len(b) for b in bits)
     rows = np.stack([np.bitwise_or.reduce(b.reshape(-1, short), axis=0) for b in bits]).view(U64)
-    lacks = np.zeros((len(rows), len(rows)), np.int64)
-    for w in range(rows.shape[1]):
-        lacks += np.bitwise_count(rows[:, w, None] & ~rows[None, :, w])
-    bound = n[:, None] - lacks
+    lacks = np.zeros((len(rows), len(rows)), np.int16)
+    for i in range(0, len(rows), 256):  # bounds what lies in memory
+        for w in range(rows.shape[1]):
+            lacks[i : i + 256] += np.bitwise_count(rows[i : i + 256, w, None] & ~rows[None, :, w])
+    bound = n[:, None].astype(np.int32) - lacks
     return np.minimum(bound, bound.T)
 
 

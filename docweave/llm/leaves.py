@@ -29,7 +29,7 @@ from docweave.session import stage
 LEAF = 2048
 PIVOTS = 16  # expected per large group
 STRAGGLERS = 512  # sets outside the largest component that every cell can take
-BYTES = 16 << 20  # of the sets of a part; two parts meet in a task
+BYTES = 6 << 20  # of the sets of a part; two parts meet in a task
 PIECE = 1024  # shingles in a row of a set
 FEW = 400_000  # rows of at most 40 bytes up to which the sets asked for are broadcast
 
