@@ -18,6 +18,7 @@ from docweave.streaming.ledger import WindowLedger, read_or_none
 
 COUPLES = "couples"
 PLANS = "plans"
+ROUTES = "routes"
 TABLES = "tables"
 _META = "version long, rebuild boolean, attrs array<string>, n_docs long, max_load long, avg_comm double"
 
@@ -95,6 +96,8 @@ def _serve_closed(ledger: WindowLedger, like: DataFrame, batch: int, closing: li
     keeper = PartitionTableState(spark, path)
     closed = ledger.documents(closing, like).select("w", "doc", "m")
     state, routes, rows = serve_windows(keeper.load(batch), closed, options)
+    routes.write.mode("overwrite").parquet(f"{path}/{ROUTES}/batch={batch}")
+    routes = spark.read.schema(routes.schema).parquet(f"{path}/{ROUTES}/batch={batch}")
     natural_join_partitioned(closed, routes).write.mode("overwrite").parquet(f"{path}/{COUPLES}/batch={batch}")
     spark.createDataFrame(rows, SUMMARY).write.mode("overwrite").parquet(f"{path}/{PLANS}/batch={batch}")
     keeper.save(batch, state)
@@ -108,9 +111,11 @@ def stream_partitioned_join(
     A window may come in any number of batches.  It is served once, when it closes: when every
     source has gone more than ``delay`` windows beyond it; its documents are deleted then.  For
     each window in order the table is chosen before routing, quality is checked once after it,
-    and updates or a rebuild take effect with the next window.  Couples are under
-    ``path/couples``, one summary row per window under ``path/plans``, documents of windows that
-    had closed before under ``path/late``.  ``end_windows`` serves what is open in the end.
+    and updates or a rebuild take effect with the next window.  So documents that come before
+    there is a table are held until theirs is made, and each is routed once.  Couples are under
+    ``path/couples``, the partitions of each document under ``path/routes``, one summary row per
+    window under ``path/plans``, documents of windows that had closed before under ``path/late``.
+    ``end_windows`` serves what is open in the end.
     """
     ledger = WindowLedger(documents.sparkSession, path, delay)
 
@@ -148,3 +153,8 @@ def read_couples(spark: SparkSession, path: str) -> DataFrame:
 
 def read_plans(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{PLANS}").drop("batch")
+
+
+def read_routes(spark: SparkSession, path: str) -> DataFrame:
+    """``(w, doc, pids)``: where each document that has a pair was sent."""
+    return spark.read.parquet(f"{path}/{ROUTES}").select("w", "doc", "pids")

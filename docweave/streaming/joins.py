@@ -39,6 +39,16 @@ def _meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return l.join(r, on)
 
 
+def _in_cells(postings: DataFrame, cells: dict[str, int], copies: bool) -> DataFrame:
+    """Postings with ``cell``: one of the attribute's declared cells by document, or a copy for each."""
+    number = F.lit(1)
+    for attr, n in cells.items():
+        number = F.when(F.col("attr") == attr, n).otherwise(number)
+    if copies:
+        return postings.withColumn("cell", F.explode(F.sequence(F.lit(0), number - 1)))
+    return postings.withColumn("cell", F.pmod(F.xxhash64("doc"), number).cast("int"))
+
+
 def _couples(joined: DataFrame) -> DataFrame:
     return joined.where(V.agree(F.col("rest_a"), F.col("rest_b"))).select(
         F.unix_timestamp(F.col("win_a.start")).alias("w"),
@@ -48,7 +58,11 @@ def _couples(joined: DataFrame) -> DataFrame:
 
 
 def stream_natural_join(
-    documents: DataFrame, duration: str = "3 minutes", delay: str = "1 minute", core: tuple[str, ...] = ()
+    documents: DataFrame,
+    duration: str = "3 minutes",
+    delay: str = "1 minute",
+    core: tuple[str, ...] = (),
+    cells: dict[str, int] | None = None,
 ) -> DataFrame:
     """Joinable couples ``(w, a, b)`` of streaming documents ``(doc, m, ts)``, append mode.
 
@@ -60,12 +74,15 @@ def stream_natural_join(
     Name attributes of few values in ``core`` (at most five).  They become join keys over
     all shapes they can form, as in the batch join, so a value carried by a third of the
     stream is not enumerated against itself; remaining pairs go through the index.
+    ``cells`` spreads the state of an attribute's pairs over as many keys each: a document's
+    pair is kept in one cell on the left side, and in all of them on the right.
     """
     if len(core) > MAX_STREAM_CORE:
         raise ValueError(f"core may name at most {MAX_STREAM_CORE} attributes")
     docs = _windowed(documents, duration, delay, core)
     postings = explode_pairs(docs, ["win", "doc", "mask", "rest"], F.col("rest"))
-    rest = _meet(postings, postings, ["attr", "val"]).where(
+    left, right = (_in_cells(postings, cells or {}, copies) for copies in (False, True))
+    rest = _meet(left, right, ["attr", "val", "cell"]).where(
         (F.col("doc_a") < F.col("doc_b"))
         & ((F.col("mask_a").bitwiseAND(F.col("mask_b"))) == 0)
         & (F.array_min(V.common_attrs(F.col("rest_a"), F.col("rest_b"))) == F.col("attr_a"))

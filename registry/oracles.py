@@ -462,6 +462,8 @@ UNION ALL SELECT *, 'first' FROM (SELECT * FROM known EXCEPT SELECT * FROM unkno
     "stream_partitioned": f"WITH {mixed(2500)}, {JOINED} SELECT w, a, b FROM joined",
     "repartition_plan": PLANS,
     "stream_plans": PLANS,
+    "stream_routes": f"""WITH RECURSIVE {PLAN}
+SELECT c.w, u.doc, u.pid FROM chain c JOIN under u ON u.i = c.base AND u.j = c.w""",
     "stream_late": f"""WITH {LATE}, {JOINED}
 SELECT w, a, b, false AS late FROM joined WHERE a NOT IN (SELECT doc FROM late) AND b NOT IN (SELECT doc FROM late)
 UNION ALL SELECT w, doc, doc, true FROM late""",

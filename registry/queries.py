@@ -738,19 +738,28 @@ def _event_stream(spark, sf, files):
     return JD.stream_table(spark, path, ev.schema, max_files=1)
 
 
-def _stream_join(spark, sf, core):
+def _timed_stream(spark, sf, parts):
+    """The events in files of later and later times, written and read one after another."""
+    ev = table(spark, sf, "events").withColumn("at", F.unix_micros(W.utc_instant(F.col("ts"))))
+    ends = [float("-inf"), *ev.approxQuantile("at", [k / parts for k in range(1, parts)], 0.01), float("inf")]
+    path = new_folder(spark, "stream")
+    for low, high in zip(ends[:-1], ends[1:], strict=True):
+        some = ev.where((F.col("at") >= low) & (F.col("at") < high)).drop("at")
+        some.coalesce(1).write.mode("append").parquet(path)
+    return JD.stream_table(spark, path, ev.drop("at").schema, max_files=1)
+
+
+def _stream_join(spark, sf, core, cells=None):
+    # State partitions are fixed when a stream first starts; one per core suits this input.  In a
+    # session of its own the setting is no other job's.
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     docs = T.documents_from_table(
-        _event_stream(spark, sf, 1), "event_id", mixed_attrs(), keep=["ts"]
+        _timed_stream(own, sf, 2), "event_id", mixed_attrs(), keep=["ts"]
     ).withColumn("ts", W.utc_instant(F.col("ts")))
     path = new_folder(spark, "out")
-    # State partitions are fixed when a stream first starts; one per core suits this input.
-    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(shuffles), spark.sparkContext.defaultParallelism)))
-    try:
-        joined = stream_natural_join(docs, "1 day", "1 hour", core)
-        sinks.stream_pairs(joined, f"{path}/rows", f"{path}/progress").awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+    joined = stream_natural_join(docs, "1 day", "1 hour", core, cells)
+    sinks.stream_pairs(joined, f"{path}/rows", f"{path}/progress").awaitTermination()
     return spark.read.parquet(f"{path}/rows")
 
 
@@ -762,8 +771,8 @@ def stream_join(spark, sf):
 
 @query
 def stream_join_index(spark, sf):
-    """The same through shared pairs only."""
-    return _stream_join(spark, sf, ())
+    """The same through shared pairs only, the state of frequent ones in cells."""
+    return _stream_join(spark, sf, (), {"event_type": 4, "grp": 4})
 
 
 @query
@@ -827,16 +836,30 @@ def repartition_plan(spark, sf):
     return _plan(partitioning.repartition_plan(mixed_events(spark, sf), _watched()))
 
 
-@query
-def stream_plans(spark, sf):
-    """The same decided on a stream, whose batches do not end where windows do."""
+def _watched_stream(spark, sf):
+    """Where the stream of events was served whose batches do not end where windows do."""
+    ev = table(spark, sf, "events")
+    source, path, n = new_folder(spark, "stream"), new_folder(spark, "plans"), ev.count()
+    for part in range(3):
+        ev.where(F.floor(F.col("event_id") * 3 / n) == part).coalesce(1).write.mode("append").parquet(source)
     docs = T.documents_from_table(
-        _event_stream(spark, sf, 1), "event_id", mixed_attrs(), w=F.floor(F.col("event_id") / WINDOW)
+        JD.stream_table(spark, source, ev.schema, max_files=1), "event_id", mixed_attrs(), w=F.floor(F.col("event_id") / WINDOW)
     )
-    path = new_folder(spark, "plans")
     B.stream_partitioned_join(docs, path, _watched()).awaitTermination()
     B.end_windows(docs, path, _watched())
-    return _plan(B.read_plans(spark, path))
+    return path
+
+
+@query
+def stream_plans(spark, sf):
+    """The same decided on a stream."""
+    return _plan(B.read_plans(spark, _watched_stream(spark, sf)))
+
+
+@query
+def stream_routes(spark, sf):
+    """Where the documents of a stream go, those that came before the first table included, each once."""
+    return _long_routes(B.read_routes(spark, _watched_stream(spark, sf)))
 
 
 @query

@@ -14,6 +14,7 @@ from docweave.plans.partitioning import Options
 from docweave.sources.json_documents import stream_documents, stream_table
 from docweave.sources.sinks import stream_pairs
 from docweave.sources.tables import documents_from_table
+from docweave.streaming import joins
 from docweave.streaming.batches import (
     PartitionTableState,
     end_windows,
@@ -79,6 +80,22 @@ def test_late_documents_are_dropped(spark):
     assert {(a, b) for _, a, b in run(spark, source, out)} == {(1, 2), (3, 5)}
 
 
+def test_a_hot_pair_spreads_over_declared_cells(spark):
+    """A third of the stream carries one pair: its state lies under 16 keys and more, and the couples are the same."""
+    source, out = new_folder(), new_folder()
+    rows = [(i, {"h": "hot"} | {"u": str(i % 30)} if i % 3 == 0 else {"u": str(i % 30), "v": str(i)}, DAY0) for i in range(240)]
+    add_file(spark, source, rows)
+    docs = spark.readStream.schema(SCHEMA).parquet(source)
+    joined = stream_natural_join(docs, "1 day", "1 hour", (), {"h": 32})
+    stream_pairs(joined, f"{out}/rows", f"{out}/progress").awaitTermination()
+    got = spark.read.parquet(f"{out}/rows").select("a", "b").collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == {(a, b) for _, a, b in brute_couples([(i, m) for i, m, _ in rows])}
+    postings = spark.createDataFrame([(i, k, v) for i, m, _ in rows for k, v in m.items()], "doc long, attr string, val string")
+    kept = joins._in_cells(postings, {"h": 32}, False).where("attr = 'h'").groupBy("cell").count().collect()
+    assert len(kept) >= 16 and max(r["count"] for r in kept) < 80 / 4
+    assert joins._in_cells(postings, {"h": 32}, True).count() == len(rows) * 2 + 80 * 31
+
+
 def test_core_is_bounded(spark):
     docs = spark.readStream.schema(SCHEMA).parquet(new_folder())
     with pytest.raises(ValueError):
