@@ -313,7 +313,7 @@ def _later(places: DataFrame, first: DataFrame, key: str) -> DataFrame:
 
 def drop_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """``docs`` with ``text`` freed of repeated passages, ``removed`` spans (code points of the old
-    text, end exclusive) and ``n_removed`` characters."""
+    text, end exclusive) and ``n_removed`` characters; columns of these names are replaced."""
     if not 2 * SEED <= min_bytes <= SPAN // 2:
         raise ValueError(f"min_bytes must be from {2 * SEED} to {SPAN // 2}")
     spark = docs.sparkSession

@@ -10,7 +10,9 @@ The items are the query set.  They come in blocks of at most ``ITEM_BYTES`` of t
 longer item), each broadcast on its own, so the broadcast doesn't grow with the benchmark.
 
 Null or wordless text has no words and is never hit.  Null item ids are listed as ``null``.
-A window that an item repeats is located at its first place there.
+A window that an item repeats is located at its first place there.  Repeated documents are answered
+each, items of one id together.  A text longer than a block is a block of its own.  An empty table of
+documents gives no rows, an empty benchmark no hits.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ log probabilities, ``BUCKETS`` rows by one column per language, is broadcast, an
 scored as sparse sums of its rows.
 
 Null text and text without a letter is ``und`` with score 0, as is everything when nothing was
-learned.  Ties go to the language that sorts first.  Rows without a language teach nothing.
+learned.  Ties go to the language that sorts first.  Rows without a language teach nothing; repeated
+rows teach and are answered each.  Texts of any length count whole.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -127,7 +128,10 @@ def _predict(shared, columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (posterior probability), from the text alone."""
+    """``docs`` with ``lang_pred`` and ``score`` (posterior probability), from the text alone.
+
+    Columns of these names are replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     c = free_name(docs.columns, "_lang")
     scored = docs.withColumn(c, scan(_predict, "lang_pred string, score double", shared)("text"))

@@ -287,7 +287,10 @@ def _score(shared, columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with n_tokens, n_known, train_tokens, base_score and score (log10 probabilities)."""
+    """``docs`` with n_tokens, n_known, train_tokens, base_score and score (log10 probabilities).
+
+    Columns of these names are replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     c = free_name(docs.columns, "_lm")
     kind = "n_tokens long, n_known long, base_score double, score double"

@@ -12,7 +12,9 @@ hash of their id; whole texts.  Everything else covers all documents.  The label
 per class (a combination of both labels): as many of each, or all if there are fewer.  Calibration
 weighs them by what they stand for.  A fifth of each class, one at least, is held out.
 
-Null text is empty.  Of labels that repeat, the worse counts; null labels teach nothing.  With
+Null text is empty, and texts of any length count whole.  Of labels that repeat, the worse counts; a
+null label teaches nothing, and a label of one target teaches that one.  Ids of equal hash are drawn in
+the order of the ids; rows that repeat are scored each.  An empty table gives no rows.  With
 fewer than ``FEW`` labels of a class to fit, weights are held closer to zero.  A target is not
 learned (quality 1, toxicity 0) only if no label, or a single one in each combination, of one of
 its classes belongs to a document.
@@ -337,7 +339,10 @@ SCORES = ", ".join(f"{t}_{v} double" for t in TARGETS for v in ("text", "metadat
 
 
 def with_quality(docs: DataFrame, labels: DataFrame, into: str = "_quality") -> DataFrame:
-    """``docs`` with a struct of the views' and the combined probabilities of both targets."""
+    """``docs`` with a struct of the views' and the combined probabilities of both targets.
+
+    A column named like ``into`` is replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     return docs.withColumn(into, scan(_score, SCORES, shared)("text", *metadata_columns(docs)))
 

@@ -13,9 +13,10 @@ comes from labelled values scored by automata they are not in, and from the quar
 ratios of all distinct other runs, which no few runs can move.
 
 Sample bound: ``EXAMPLES`` values per kind, ``ORDINARY`` times as many ordinary runs, those with
-the smallest hash.  Of a longer value the automata learn the first ``LONGEST`` characters; every run
-is scored whole.
-Counts of spans, candidates and scores cover all texts.  Null text is empty and has no spans.
+the smallest hash, ``LEARNED`` characters together; values are learned and runs scored whole.
+Counts of spans, candidates and scores cover all texts.  Null and empty texts have no spans.  Texts may
+be of any length.  Repeated rows are scanned each, and teach no more than one; values of equal hash go
+by their text.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -308,7 +309,10 @@ def _spans(shared, columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def with_secrets(docs: DataFrame, into: str = "secrets", examples: int = EXAMPLES) -> DataFrame:
-    """``docs`` with all spans as an array of (kind, start, end, score), in code points."""
+    """``docs`` with all spans as an array of (kind, start, end, score), in code points.
+
+    A column named like ``into`` is replaced.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, examples))
     return docs.withColumn(into, scan(_spans, SPANS, model)("text"))
 
