@@ -191,10 +191,8 @@ def linked(
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known, found, rest = nodes.withColumn("c", F.col("node")), None, None
     groups = _groups_of(first.withColumn("c", F.col("node")))
-    # Later groups are parts of these, so no other set is needed.
-    asked = stage(groups.select("node").distinct().join(nodes.select("node", "row_id"), "node").select("node", "row_id"))
-    asked = F.broadcast(asked) if asked.count() <= FEW else asked
-    sets = stage(sets.join(asked, ["node", "row_id"], "left_semi").select("node", "piece", "shingles"))
+    if not many:  # Later groups are parts of these, so no other set is needed.
+        sets = stage(_sets_of(groups, nodes, sets))
 
     def compare(cells: DataFrame, known: DataFrame, found: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
         """The components, and nodes with their own, after all pairs of each cell."""
@@ -202,7 +200,8 @@ def linked(
         rows = rows.repartition(tasks, "key", "cell").sortWithinPartitions("key", "cell", "node")
         candidates = stage(rows.mapInArrow(functools.partial(_candidates, may_link), "key long, cell long, sub long, node long"))
         if not candidates.isEmpty():
-            new = _verified(candidates, known, sets, percent)
+            # With many groups, sets that are really asked for are far fewer than those in groups.
+            new = _verified(candidates, known, _sets_of(candidates, nodes, sets) if many else sets, percent)
             found = stage(components(new if found is None else new.union(found.select("node", "component"))))
             known = nodes.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
             known = stage(known)
@@ -234,6 +233,13 @@ def linked(
     return nodes.select("node", F.col("node").alias("component")).where("false") if found is None else found
 
 
+def _sets_of(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, piece, shingles of the members, each from the one row of ``sets`` that stands for it."""
+    asked = stage(members.select("node").distinct().join(nodes.select("node", "row_id"), "node").select("node", "row_id"))
+    asked = F.broadcast(asked) if asked.count() <= FEW else asked
+    return sets.join(asked, ["node", "row_id"], "left_semi").select("node", "piece", "shingles")
+
+
 def _own_groups(groups: DataFrame) -> DataFrame:
     """(key, node, m): of each node its largest and its smallest group, with how many chose it as well."""
     size = F.struct("m", "key")
