@@ -18,7 +18,7 @@ QUICK = """
     doc_pairs_encoded doc_values_canonical expansion_lists group_order groups_merged join_csv join_customers
     join_merged join_orders join_parts join_places join_sets join_table json_nested_flatten json_nested_whole
     partition_load_idle partition_idle_least json_nested_deep doc_trimmed_pairs join_wide join_wide_index join_wide_sets
-    partition_assign partition_update quality_drift routes_unseen set_ops
+    join_hot join_hot_sets repartition_plan partition_assign partition_update quality_drift routes_unseen set_ops
     window_sizes_by_source window_sizes_time
 """.split()
 NAMES = sorted(QUERIES) if os.environ.get("DOCWEAVE_TESTS") == "all" else QUICK
