@@ -239,3 +239,33 @@ def test_jobs_do_not_grow_with_windows(spark, make_documents):
         assert len(plan) == n and state.version == 1
     spark.sparkContext.setJobGroup("", "")
     assert jobs[4] and jobs[12] <= jobs[4] + 2
+
+
+def test_runs_side_by_side_equal_one_after_another(make_documents):
+    """Frequent rebuilds, and tables that grow before they are given up: the same as windows that come alone."""
+    rows = []
+    for w in range(9):
+        tag, extra = "pq"[w // 3 % 2] + str(w // 3), [{"n": f"new{w}"}] * (3 if w % 3 == 1 else 0)
+        rows += [(w, 100 * w + i, m) for i, m in enumerate([{"g": f"{tag}{i % 4}"} for i in range(24)] + extra)]
+    docs, got = make_documents(rows), {}
+    for cut in (1, 9):
+        state, plan, routes = TableState(), [], set()
+        for at in range(0, 9, cut):
+            state, there, more = serve_windows(state, docs.where(F.col("w").between(at, at + cut - 1)), Options(k=4))
+            plan += more
+            routes |= {(r["w"], r["doc"], tuple(r["pids"])) for r in there.collect()}
+        got[cut] = (plan, routes, state.version, state.rebuild, as_set(state.table, "attr", "val", "pid"))
+    assert got[1] == got[9] and got[9][2] > 2
+
+
+def test_jobs_do_not_grow_with_rebuilds(spark, make_documents):
+    """Every second window fails its check: as many jobs for twelve windows as for six."""
+    jobs = {}
+    for n in (6, 12):
+        rows = [(w, 100 * w + i, {"g": f"{w // 2}-{i % 4}", "u": f"{w}-{i % 8}"}) for w in range(n) for i in range(16)]
+        spark.sparkContext.setJobGroup(f"rebuild-{n}", "")
+        state, _, plan = serve_windows(TableState(), make_documents(rows), Options(k=4, update=False))
+        jobs[n] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"rebuild-{n}"))
+        assert len(plan) == n and state.version >= n // 2
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[12] <= jobs[6] + 2
