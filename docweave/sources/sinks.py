@@ -16,14 +16,22 @@ def joinable_lines(sets: DataFrame) -> DataFrame:
     )
 
 
+def _by_window(df: DataFrame) -> DataFrame:
+    """Rows of a window in as few tasks as their size asks for, so that its folder gets few files.
+
+    Dealt by document instead, every task would write a file for every window.
+    """
+    return df.hint("rebalance", F.col("w"))
+
+
 def write_joinable_csv(sets: DataFrame, path: str, mode: str = "error") -> None:
     """``DocumentID|JoinableDocuments`` lines, one folder of part files per window."""
-    joinable_lines(sets).write.partitionBy("w").mode(mode).csv(path, sep="|", header=True)
+    _by_window(joinable_lines(sets)).write.partitionBy("w").mode(mode).csv(path, sep="|", header=True)
 
 
 def write_pairs(joined: DataFrame, path: str, mode: str = "error") -> None:
     """Couples (or any other windowed result) as parquet, one folder per window."""
-    joined.write.partitionBy("w").mode(mode).parquet(path)
+    _by_window(joined).write.partitionBy("w").mode(mode).parquet(path)
 
 
 def stream_pairs(joined: DataFrame, path: str, checkpoint: str):
