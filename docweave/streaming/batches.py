@@ -47,14 +47,15 @@ def stream_window_join(documents: DataFrame, path: str, available_now: bool = Tr
         added = ledger.add(new, batch)
         if added is None:
             return
-        windows, touched, closing = added
+        windows, touched, known, closing = added
         if touched:
-            # Only windows this batch touches are read back.
-            seen = ledger.documents(touched, new)
-            fresh = seen.where(F.col("batch") == batch).drop("batch")
-            earlier = seen.where(F.col("batch") < batch).drop("batch")
+            # Only windows this batch touches are read back, and of them those that were there before.
+            fresh = ledger.incoming(new, batch).where(F.col("w") >= touched[0]).select("w", "doc", "m")
+            earlier = ledger.documents(known, new, batch)
             core = choose_core(fresh.unionByName(earlier))
-            found = couples(fresh, None, core).unionByName(couples(fresh, earlier, core))
+            found = couples(fresh, None, core)
+            if known:
+                found = found.unionByName(couples(fresh, earlier, core))
             found.select(
                 "w", F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")
             ).write.mode("overwrite").parquet(f"{path}/{COUPLES}/batch={batch}")
@@ -94,7 +95,7 @@ def _serve_closed(ledger: WindowLedger, like: DataFrame, batch: int, closing: li
     """Couples, plan rows and table state of the windows that a batch closes, in common jobs."""
     spark, path = ledger.spark, ledger.path
     keeper = PartitionTableState(spark, path)
-    closed = ledger.documents(closing, like).select("w", "doc", "m")
+    closed = ledger.documents(closing, like)
     state, routes, rows = serve_windows(keeper.load(batch), closed, options)
     routes.write.mode("overwrite").parquet(f"{path}/{ROUTES}/batch={batch}")
     routes = spark.read.schema(routes.schema).parquet(f"{path}/{ROUTES}/batch={batch}")
@@ -123,7 +124,7 @@ def stream_partitioned_join(
         added = ledger.add(new, batch)
         if added is None:
             return
-        windows, _, closing = added
+        windows, _, _, closing = added
         if closing:
             _serve_closed(ledger, new, batch, closing, options)
         ledger.commit(batch, windows, closing)

@@ -9,9 +9,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.session import remove
+from docweave.session import remove, stage
 
 DOCUMENTS = "documents"
+INCOMING = "incoming"
 LATE = "late"
 LEDGER = "ledger"
 _ROWS = "kind string, source string, w long"
@@ -45,6 +46,8 @@ class Windows:
 class WindowLedger:
     """Documents under ``path/documents/w=.../batch=...`` and the state of windows per batch.
 
+    A batch is first written as it comes, under ``path/incoming``, and read from there until it
+    is done; the folders of windows, a file for each of a batch, are read by later batches only.
     A window closes when every source has gone more than ``delay`` windows beyond it.  Documents
     of closed windows that come later go to ``path/late``.  A batch is done once its ledger row is
     written; a batch that is run again after that changes nothing.
@@ -70,8 +73,9 @@ class WindowLedger:
             any(r["kind"] == "ended" for r in held),
         )
 
-    def add(self, new: DataFrame, batch: int) -> tuple[Windows, list[int], list[int]] | None:
-        """Keep a batch; its windows afterwards, those it touched, and those it closes.
+    def add(self, new: DataFrame, batch: int) -> tuple[Windows, list[int], list[int], list[int]] | None:
+        """Keep a batch; its windows afterwards, those it touched, those of them that had documents
+        before, and those it closes.
 
         None if the batch was done before.
         """
@@ -81,20 +85,21 @@ class WindowLedger:
         if last >= batch:
             return None
         source = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in new.columns else F.lit("")
-        rows = new.select(F.col("w").cast("bigint").alias("w"), "doc", "m", source.alias("source"), F.lit(batch).alias("batch"))
-        (
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("w", "batch").parquet(f"{self.path}/{DOCUMENTS}")
-        )
-        held = self._written(new, batch)
-        seen = [] if held is None else held.groupBy("source").agg(F.max("w").alias("high"), F.collect_set("w").alias("ws")).collect()
+        rows = new.select(F.col("w").cast("bigint").alias("w"), "doc", "m", source.alias("source"))
+        rows.write.mode("overwrite").parquet(f"{self.path}/{INCOMING}/batch={batch}")
+        came = self.incoming(new, batch)
+        seen = came.groupBy("source").agg(F.max("w").alias("high"), F.collect_set("w").alias("ws")).collect()
         touched = sorted({w for r in seen for w in r["ws"]})
         if now.closed is not None and touched and touched[0] <= now.closed:
-            late = [w for w in touched if w <= now.closed]
-            self.documents(late, new, batch).write.mode("overwrite").parquet(f"{self.path}/{LATE}/batch={batch}")
-            for w in late:
-                remove(self.spark, f"{self.path}/{DOCUMENTS}/w={w}")
+            late = F.coalesce(F.col("w") <= now.closed, F.lit(False))
+            came.where(late).select("w", "doc", "m").write.mode("overwrite").parquet(f"{self.path}/{LATE}/batch={batch}")
+            came = came.where(~late)
             touched = [w for w in touched if w > now.closed]
+        (
+            came.withColumn("batch", F.lit(batch)).hint("rebalance", F.col("w"))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("w", "batch").parquet(f"{self.path}/{DOCUMENTS}")
+        )
         high = dict(now.high)
         for r in seen:
             high[r["source"]] = max(high.get(r["source"], r["high"]), r["high"])
@@ -104,22 +109,27 @@ class WindowLedger:
             closed = done if closed is None else max(closed, done)
         open_ = now.open | set(touched)
         closing = sorted(w for w in open_ if closed is not None and w <= closed)
-        return Windows(high, frozenset(open_ - set(closing)), closed), touched, closing
+        known = [w for w in touched if w in now.open]
+        return Windows(high, frozenset(open_ - set(closing)), closed), touched, known, closing
+
+    def incoming(self, like: DataFrame, batch: int) -> DataFrame:
+        """(w, doc, m, source) of a batch that is not yet done, late documents included."""
+        kind = like.schema["doc"].dataType.simpleString()
+        reader = self.spark.read.schema(f"w long, doc {kind}, m map<string,string>, source string")
+        return reader.parquet(f"{self.path}/{INCOMING}/batch={batch}")
 
-    def _written(self, new: DataFrame, batch: int) -> DataFrame | None:
-        """Window and source of a batch's rows, from its own folders; None if it had none."""
-        kind, base = new.schema["doc"].dataType.simpleString(), f"{self.path}/{DOCUMENTS}"
-        reader = self.spark.read.schema(f"doc {kind}, m map<string,string>, source string, w long, batch int").option("basePath", base)
-        rows = none_if_missing(lambda: reader.parquet(f"{base}/w=*/batch={batch}"))
-        return rows and rows.select("w", "source")
+    def documents(self, windows: list[int], like: DataFrame, before: int | None = None) -> DataFrame:
+        """(w, doc, m) of some windows (of the batches before one); only their folders are listed.
 
-    def documents(self, windows: list[int], like: DataFrame, batch: int | None = None) -> DataFrame:
-        """(w, doc, m, batch) of some windows (of one batch); only their folders are listed."""
+        Staged: folders of windows hold small files, which are opened once here and not by every later job.
+        """
         kind = like.schema["doc"].dataType.simpleString()
+        if not windows:
+            return self.spark.createDataFrame([], f"w long, doc {kind}, m map<string,string>")
         base = f"{self.path}/{DOCUMENTS}"
         reader = self.spark.read.schema(f"doc {kind}, m map<string,string>, w long, batch int").option("basePath", base)
         rows = reader.parquet(*[f"{base}/w={w}" for w in windows])
-        return rows if batch is None else rows.where(F.col("batch") == batch)
+        return stage((rows if before is None else rows.where(F.col("batch") < before)).select("w", "doc", "m"))
 
     def commit(self, batch: int, windows: Windows, dropped: list[int]) -> None:
         """Write the state, which ends the batch, and then delete what is no longer needed."""
@@ -127,8 +137,7 @@ class WindowLedger:
         rows += [("closed", "", windows.closed)] if windows.closed is not None else []
         rows += [("ended", "", None)] if windows.ended else []
         self.spark.createDataFrame(rows, _ROWS).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{LEDGER}/batch={batch}")
-        for w in dropped:
-            remove(self.spark, f"{self.path}/{DOCUMENTS}/w={w}")
+        remove(self.spark, *[f"{self.path}/{DOCUMENTS}/w={w}" for w in dropped], f"{self.path}/{INCOMING}/batch={batch}")
         remove(self.spark, f"{self.path}/{LEDGER}/batch={batch - 2}")  # a batch needs the one before it only
 
 
