@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import values as V
-from docweave.operators.joins import common_key
 from docweave.operators.pairs import explode_pairs
-from docweave.plans.core_attributes import shape_mask
+from docweave.plans.core_attributes import common_key, shape_mask
 
 MAX_STREAM_CORE = 5
 

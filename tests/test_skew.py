@@ -11,7 +11,7 @@ from docweave.operators import joins as J
 from docweave.operators import stats as S
 from docweave.operators.positions import with_position
 from docweave.operators.windows import count_window, window_counts
-from docweave.plans.core_attributes import Core
+from docweave.plans.core_attributes import Core, hot_core
 
 N = 90
 
@@ -83,3 +83,12 @@ def test_count_windows_and_leftovers(spark):
     df = spark.range(2305).select("id", F.hash("id").alias("k"))
     sizes = {r["w"]: r["n_docs"] for r in window_counts(count_window(df, ["k", "id"], 500)).collect()}
     assert sizes == {0: 500, 1: 500, 2: 500, 3: 500, 4: 305}
+
+
+def test_index_join_does_not_enumerate_a_frequent_key(make_documents):
+    """One attribute is frequent in every value; a rarer one joins the key, and the couples are the same."""
+    rows = [(i, {"flag": str(i % 2), "item": str(i % 150)} | ({"order": str(i)} if i % 4 else {})) for i in range(600)]
+    docs = make_documents(rows)
+    core = hot_core(docs, hot=20)
+    assert core.attrs[0] == "flag" and "item" in core.attrs
+    assert as_set(J.natural_join_index(docs, frequent=20), "w", "a", "b") == brute_couples(rows)
