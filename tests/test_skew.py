@@ -92,3 +92,23 @@ def test_index_join_does_not_enumerate_a_frequent_key(make_documents):
     core = hot_core(docs, hot=20)
     assert core.attrs[0] == "flag" and "item" in core.attrs
     assert as_set(J.natural_join_index(docs, frequent=20), "w", "a", "b") == brute_couples(rows)
+
+
+def test_rows_are_copied_to_shapes_where_they_are_read(make_documents):
+    """All documents of a window have one of two shapes: no join on the shape brings half of them into one task."""
+    rows = [(i, {"flag": str(i % 3), "item": str(i % 7)} | ({"order": str(i)} if i % 4 else {})) for i in range(90)]
+    docs, core = make_documents(rows), Core(("flag", "item", "order"), rest=False, index=False, hot=False)
+    sides = J._sides(docs, core, ["w"], [])
+    assert J._all_shapes(sides, sides, ["w"]) == [3, 7]
+    for side in J._met_shapes(sides, sides, ["w"], True):
+        assert "Join" not in side._jdf.queryExecution().executedPlan().toString()
+    assert as_set(J.natural_join(docs, core), "w", "a", "b") == brute_couples(rows)
+
+
+def test_windows_of_different_shapes_meet_their_own_only(make_documents):
+    rows = [(w, 10 * w + i, {"a": "1", f"own{w}": str(i % 2)}) for w in range(8) for i in range(4)]
+    docs = make_documents(rows)
+    core = Core(("a", *[f"own{w}" for w in range(8)]), rest=False, index=False, hot=False)
+    sides = J._sides(docs, core, ["w"], [])
+    assert J._all_shapes(sides, sides, ["w"]) is None
+    assert as_set(J.natural_join(docs, core), "w", "a", "b") == brute_couples(rows)
