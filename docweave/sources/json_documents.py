@@ -79,8 +79,9 @@ def nested_policy(entries: Column, nested: str = "drop", depth: int | None = Non
             raise ValueError("flatten needs the depth of the objects")
         for _ in range(depth):
             entries = F.flatten(F.transform(entries, _children_or_self))
-        deeper = F.raise_error(F.lit(f"objects nest deeper than {depth} levels")).cast(f"array<{ENTRY}>")
-        return F.when(F.exists(entries, _is_object), deeper).otherwise(entries)
+        deeper = F.raise_error(F.lit(f"objects nest deeper than {depth} levels")).cast(ENTRY)
+        # Entry by entry: a look at the whole array before would parse every level twice.
+        return F.transform(entries, lambda e: F.when(_is_object(e), deeper).otherwise(e))
     elif nested != "whole":
         raise ValueError("nested must be 'drop', 'whole' or 'flatten'")
     return F.transform(

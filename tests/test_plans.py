@@ -78,3 +78,9 @@ def test_hot_keys_add_cells_to_the_join_key(spark):
     text = plan(J.natural_join(mixed_events(spark, SF), hot).where(F.col("a") > 0))
     line = next(x for x in text.splitlines() if "SortMergeJoin" in x and "key#" in x)
     assert "_gl#" in line and "_gr#" in line
+
+
+def test_nested_json_is_parsed_once(spark):
+    """Neither the explode nor the check of the depth parses the levels again."""
+    text = QUERIES["json_nested_deep"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("from_json") == 2 * 7  # as text and as variants, the document and six levels
