@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docweave.operators import groups as G
 from docweave.operators import joins as J
-from docweave.plans.core_attributes import Core, key_text
+from docweave.plans.core_attributes import Core, choose_core, hot_core, key_text
 from registry import fixtures, queries
 
 HOUR = datetime.timedelta(hours=1)
@@ -59,6 +59,16 @@ def test_kept_columns_follow_their_documents(make_documents):
     assert as_set(got, "a", "b", "x_a", "x_b") == {(1, 3, 10, 30), (2, 3, 20, 30)}
 
 
+def test_tasks_of_the_join_follow_its_rows(spark, golden, monkeypatch):
+    few = as_set(J.natural_join(golden), "a", "b")
+    monkeypatch.setattr(J, "TASK", 2)
+    core = Core(("a",), emits=21, postings=41)
+    many = J.natural_join(golden, core)
+    assert choose_core(golden).emits > 0 and hot_core(golden).postings > 0
+    assert "hashpartitioning" in plan(many) and ", 11), REPARTITION_BY_NUM" in plan(many) and ", 21), REPARTITION_BY_NUM" in plan(many)
+    assert as_set(many, "a", "b") == few
+
+
 def test_partner_sets_join_once(golden):
     assert "rand(7" not in plan(J.joinable_sets(marked(J.natural_join(golden)), golden, 2))
 
