@@ -152,7 +152,7 @@ def _branch(nodes: DataFrame, members: DataFrame, level: int) -> DataFrame:
     at = TREES * BRANCHES * level + BRANCHES * F.pmod(F.xxhash64("key"), F.lit(TREES)).cast("int")
     further = members.join(nodes, "node").withColumn("at", at).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(BRANCHES))))
     token = F.element_at("tokens", (F.col("at") + F.col("b")).cast("int"))
-    return further.select(F.xxhash64("key", F.col("at") + F.col("b"), token).alias("key"), "node")
+    return further.select(F.xxhash64("key", F.col("at") + F.col("b"), token).alias("key"), "node", "c")
 
 
 def named(rows: DataFrame, found: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:

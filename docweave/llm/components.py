@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docweave.session import stage
 
 HELD = 1_000_000  # links that a task reduces to a forest at once
+TASK = 100_000  # links for which it takes a task to reduce the forests of all others
 SALTS = 8  # tasks over which the links of a hub are spread
 
 
@@ -77,14 +78,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes with links; a component is named by its least node.
 
-    Links are long ids; each task first reduces its own to a forest.  Every round is written, so
-    a lost executor costs its tasks only.  Rounds grow with the logarithm of the number of nodes.
-    Self-links and repeated links make no difference.
+    Links are long ids; each task first reduces its own to a forest, and then as many tasks as
+    their number asks for do so again, before what several tasks hold goes to rounds of stars.  Every
+    round is written, so a lost executor costs its tasks only.  Rounds grow with the logarithm of the
+    number of nodes.  Self-links and repeated links make no difference.
     """
     edges = edges.where("a <> b").select("a", "b")
-    edges = stage(edges.mapInArrow(_forests, "a long, b long").distinct())
-    while True:
-        edges = stage(_small_star(_large_star(edges)).where("a <> b").distinct())
+    edges = stage(edges.mapInArrow(_forests, "a long, b long"))
+    tasks = -(-edges.count() // TASK)
+    edges = stage(edges.repartition(max(tasks, 1)).mapInArrow(_forests, "a long, b long"))
+    while tasks > 1:
+        edges = stage(_small_star(_large_star(edges.distinct())).where("a <> b").distinct())
         # Done when every node has one parent or is one.
         ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(edges.select("b", F.lit(0)))
         tied = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least"))

@@ -7,8 +7,8 @@ sets of a size band that have one such shingle in common, and the larger ones of
 that may be alike to them.  Tiles are compared in tasks (``leaves.py``): the bits that differ in
 hashed bitmaps bound the overlap of a pair from above, and what remains is decided by
 intersecting the sorted arrays.  A tile that is too large for one task and holds several
-components is dealt again by a second shared shingle, and what is still too large by a grid of
-cells, so no link is lost.
+components is dealt by a grid of cells, from ``GRID`` parts on first by a second shared shingle, so
+no link is lost.
 
 Links are needed for components, so pairs within a known component are not tried again, and a
 task's links are reduced to a forest.
@@ -40,6 +40,7 @@ HELD = 2_000_000
 CLASSES = np.array([8, 64, 512, 4096])  # counts beyond which a shingle stands later in the order
 BAND = 4.0  # a band of sizes spans this factor
 BITS = 1 << 13  # of a bitmap, at most
+GRID = 4  # parts of a large tile that meet in a grid; a second shingle would copy its sets more often
 NODE = "n long, node long, first array<long>, places array<int>, bits binary"
 
 
@@ -164,7 +165,7 @@ def _tiles(nodes: DataFrame, percent: int) -> DataFrame:
 def _second(nodes: DataFrame, percent: int, members: DataFrame, level: int) -> DataFrame:
     """The tiles of a large tile by each further first shingle: sets alike share two."""
     each = members.join(nodes.select("node", "first"), "node").withColumn("x", F.explode("first"))
-    return each.select(F.xxhash64("key", "x").alias("key"), "node")
+    return each.select(F.xxhash64("key", "x").alias("key"), "node", "c")
 
 
 def shingle_components(docs: DataFrame, percent: int = 80, hashed: bool = False) -> DataFrame:
@@ -198,6 +199,7 @@ def shingle_components(docs: DataFrame, percent: int = 80, hashed: bool = False)
         percent,
         functools.partial(may_link, percent),
         many=True,
+        grid=GRID,
     )
     return named(rows, found, ("text_hash",) if hashed else ())
 

@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.components import components
@@ -91,13 +91,13 @@ def _parts(near: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
 
 def _candidates(may_link: MayLink, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups within groups: sets that pairs which may link connect, numbered by the first of them."""
-    out: list[list] = [[], [], [], []]
+    out: list[list] = [[], [], [], [], []]
 
     def sent() -> pa.RecordBatch:
-        arrays = [pa.array(c, t) for c, t in zip(out, [pa.int64()] * 4, strict=True)]
+        arrays = [pa.array(c, t) for c, t in zip(out, [pa.int64()] * 5, strict=True)]
         for c in out:
             c.clear()
-        return pa.RecordBatch.from_arrays(arrays, ["key", "cell", "sub", "node"])
+        return pa.RecordBatch.from_arrays(arrays, ["key", "cell", "sub", "node", "c"])
 
     for (key, cell), rows in _groups(batches, 2):
         node, n, c = (rows.column(k).to_numpy() for k in ("node", "n", "c"))
@@ -113,6 +113,7 @@ def _candidates(may_link: MayLink, batches: Iterator[pa.RecordBatch]) -> Iterato
             out[1] += [cell] * len(members)
             out[2] += [sub] * len(members)
             out[3] += node[members].tolist()
+            out[4] += c[members].tolist()
             sub += 1
         if len(out[0]) > 10_000:
             yield sent()
@@ -161,14 +162,14 @@ def _links(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def _verified(candidates: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links (a, b) of candidate groups, by whole sets."""
     # The same sets meet under many keys; once is enough.
     prints = candidates.groupBy("key", "cell", "sub").agg(
         F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("lo"), F.max("node").alias("hi")
     )
     once = prints.groupBy("m", "x", "lo", "hi").agg(F.min(F.struct("key", "cell", "sub")).alias("g")).select("g.*")
-    members = stage(candidates.join(once, ["key", "cell", "sub"]).join(nodes.select("node", "c"), "node"))
+    members = stage(candidates.join(once, ["key", "cell", "sub"]))
     members = F.broadcast(members) if members.count() <= FEW else members  # then only the sets move, once
     order = ["key", "cell", "sub", "node", "piece"]
     rows = members.join(sets, "node").select(*order, "c", "shingles")
@@ -179,12 +180,13 @@ def _verified(candidates: DataFrame, nodes: DataFrame, sets: DataFrame, percent:
 
 def linked(
     first: DataFrame, branch: Callable[[DataFrame, int], DataFrame], levels: int, nodes: DataFrame, sets: DataFrame, percent: int, may_link: MayLink,
-    many: bool = False,
+    many: bool = False, grid: int = 0,
 ) -> DataFrame:
     """(node, component) of all nodes that links connect.
 
-    ``first`` holds (key, node), ``branch(members, level)`` the same for the members (key, node)
-    of groups that go on; ``nodes`` node, n, sketch, row_id; ``sets`` node, row_id, piece, shingles.
+    ``first`` holds (key, node), ``branch(members, level)`` (key, node, c) for the members (key, node, c)
+    of groups that go on; a group of at most ``grid`` parts meets in the grid of its cells instead.
+    ``nodes`` node, n, sketch, row_id; ``sets`` node, row_id, piece, shingles.
     ``many``: similar sets share many first keys, so each set is first compared in its largest and
     smallest group only, and then in all groups that still hold several components.
     """
@@ -198,10 +200,10 @@ def linked(
         """The components, and nodes with their own, after all pairs of each cell."""
         rows = cells.join(known.select("node", "n", "c", "sketch"), "node").select("key", "cell", "node", "n", "c", "sketch")
         rows = rows.repartition(tasks, "key", "cell").sortWithinPartitions("key", "cell", "node")
-        candidates = stage(rows.mapInArrow(functools.partial(_candidates, may_link), "key long, cell long, sub long, node long"))
+        candidates = stage(rows.mapInArrow(functools.partial(_candidates, may_link), "key long, cell long, sub long, node long, c long"))
         if not candidates.isEmpty():
             # With many groups, sets that are really asked for are far fewer than those in groups.
-            new = _verified(candidates, known, _sets_of(candidates, nodes, sets) if many else sets, percent)
+            new = _verified(candidates, _sets_of(candidates, nodes, sets) if many else sets, percent)
             found = stage(components(new if found is None else new.union(found.select("node", "component"))))
             known = nodes.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
             known = stage(known)
@@ -220,6 +222,9 @@ def linked(
         large = _unsettled(groups.where(F.col("m") > LEAF), known)
         rest = _to_every_cell(large.where(F.col("m") - F.col("most") <= STRAGGLERS))
         large = large.where(F.col("m") - F.col("most") > STRAGGLERS).select("key", "node", "c", "m")
+        if grid:
+            rest = rest.union(_grid(large.where(_parts_of("m") <= grid)))
+            large = large.where(_parts_of("m") > grid)
         if rest.isEmpty():
             rest = None
         if large.isEmpty():
@@ -227,7 +232,7 @@ def linked(
                 break
             groups = large
         elif level < levels:
-            groups = _groups_of(branch(large, level).join(known.select("node", "c"), "node"))
+            groups = _groups_of(stage(branch(large, level)))
         else:
             groups = large
     return nodes.select("node", F.col("node").alias("component")).where("false") if found is None else found
@@ -283,9 +288,14 @@ def _cells(groups: DataFrame) -> DataFrame:
     return groups.select("key", "node", F.explode(F.when(pivot, everywhere).otherwise(own)).alias("cell"))
 
 
+def _parts_of(m: str) -> Column:
+    """How many parts of half a leaf a group of ``m`` has."""
+    return F.ceil(2 * F.col(m) / LEAF).cast("long")
+
+
 def _grid(groups: DataFrame) -> DataFrame:
     """(key, node, cell): every two parts of half a leaf meet in a cell."""
-    parts = F.ceil(2 * F.col("m") / LEAF).cast("long")
+    parts = _parts_of("m")
     own = F.pmod(F.xxhash64("node", "key"), parts)
     met = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda y: F.least(own, y) * parts + F.greatest(own, y))
     return groups.select("key", "node", F.explode(met).alias("cell"))

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 import pytest
@@ -78,6 +79,33 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
 
 
+@pytest.mark.parametrize("task", [components.TASK, 10])
+def test_few_links_take_no_rounds_of_stars(spark, monkeypatch, task):
+    rounds, star = [], components._large_star
+    monkeypatch.setattr(components, "TASK", task)
+    monkeypatch.setattr(components, "_large_star", lambda edges: rounds.append(1) or star(edges))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(i, i + 20) for i in range(60, 80)], "a long, b long").repartition(7)
+    got = {r.node: r.component for r in components.components(edges).collect()}
+    assert got == {i: 0 for i in range(41)} | {i + d: i for i in range(60, 80) for d in (0, 20)} and bool(rounds) == (task == 10)
+
+
+def test_group_of_a_few_parts_meets_in_a_grid(spark, monkeypatch):
+    """Its sets are not copied to groups by further keys."""
+    for name, value in (("LEAF", 20), ("PIVOTS", 1), ("STRAGGLERS", 2)):
+        monkeypatch.setattr(leaves, name, value)
+    sets = [np.arange(100 * i, 100 * i + 10, dtype=np.uint64) for i in range(30)]
+    sets[7] = np.r_[sets[3][:9], sets[7][:1]]
+    nodes = spark.createDataFrame([(i, 10, bytearray(jaccard.bitmap(s)), i) for i, s in enumerate(sets)], "node long, n long, sketch binary, row_id long")
+    whole = spark.createDataFrame([(i, i, 0, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, row_id long, piece int, shingles binary")
+    first = spark.createDataFrame([(1, i) for i in range(30)], "key long, node long")
+
+    def branch(members, level):
+        raise AssertionError("dealt by further keys")
+
+    found = leaves.linked(first, branch, 2, nodes, whole, 80, partial(jaccard.may_link, 80), grid=jaccard.GRID)
+    assert sorted(tuple(r) for r in found.collect()) == [(3, 3), (7, 3)]
+
+
 def test_bitmaps_bound_from_above():
     rng = np.random.default_rng(3)
     for _ in range(200):
