@@ -15,6 +15,7 @@ of their own.  Special tokens' strings in a text are ordinary text.
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -38,7 +39,8 @@ class Ids:
     """Token ids of texts by a tokenizer's file of byte-level merges.
 
     The file's vocabulary also serves as ranks for a faster encoder with the same pattern and
-    merges.  It takes Latin-1 texts, on which both encoders agree; others go to the tokenizer.
+    merges.  It takes Latin-1 texts, on which both encoders agree; others go to the tokenizer,
+    which is loaded at the first of them, as it takes about as much memory again.
     The pattern begins a new part at a space between non-spaces, and at a line feed between
     non-spaces, so the ids of words between such places don't depend on each other and are
     remembered.
@@ -46,20 +48,27 @@ class Ids:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.path = path
         # The byte-level alphabet: printable bytes stand for themselves, the rest follow from 256.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)["model"]["vocab"]
         ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if all(c in byte for c in token)}
         ranks.pop(b"<|endoftext|>", None)
         self.fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
 
+    @functools.cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.encode_special_tokens = True
+        return tokenizer
+
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
         try:

@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docweave.llm import chosen_paths, components, leaves, queries
@@ -143,3 +144,14 @@ def test_forest_connects_the_same():
             return {frozenset(k for k in label if label[k] == w) for w in label.values()}
 
         assert groups(a, b) == groups(x, y)
+
+
+def test_branches_and_candidates_know_their_component(spark):
+    """So neither is joined with all components again."""
+    nodes = spark.createDataFrame([(5, list(range(chosen_paths.TOKENS)))], "node long, tokens array<int>")
+    members = spark.createDataFrame([(1, 5, 3)], "key long, node long, c long")
+    assert [(r.node, r.c) for r in chosen_paths._branch(nodes, members, 1).collect()] == [(5, 3)] * chosen_paths.BRANCHES
+    columns = [pa.array([1, 1]), pa.array([0, 0]), pa.array([5, 6]), pa.array([10, 10]), pa.array([5, 6]), pa.array([b"", b""])]
+    rows = pa.RecordBatch.from_arrays(columns, ["key", "cell", "node", "n", "c", "sketch"])
+    got = next(leaves._candidates(lambda n, sketches: ~np.eye(len(n), dtype=bool), iter([rows])))
+    assert got.column("c").to_pylist() == [5, 6]

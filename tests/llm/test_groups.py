@@ -304,6 +304,12 @@ def test_ids_equal_the_tokenizer():
         assert np.frombuffer(ids.encode(text), "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_latin_texts_need_no_tokenizer():
+    ids = packing.Ids(tokenizer_path())
+    ids.encode("Les \xe9t\xe9s\nsont longs.")
+    assert "tokenizer" not in vars(ids)
+
+
 def test_fillings_use_every_piece_and_come_closest():
     rng = np.random.default_rng(8)
     for _ in range(30):
