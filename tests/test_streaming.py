@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import tempfile
+from collections import Counter
 
 import pytest
 from helpers import as_set, brute_couples
@@ -96,6 +97,22 @@ def test_a_hot_pair_spreads_over_declared_cells(spark):
     assert joins._in_cells(postings, {"h": 32}, True).count() == len(rows) * 2 + 80 * 31
 
 
+def test_frequent_pairs_meet_only_what_agrees_in_the_others(spark, monkeypatch):
+    """Attributes with cells: couples as by brute force, from a fraction of the rows that share a pair; repeated ids are no couple."""
+    few = lambda i: {a: str(i // n % m) for a, n, m, lacks in (("a", 1, 2, 5), ("b", 2, 3, 4), ("c", 3, 2, 7)) if i % lacks}
+    rows = [(i, few(i) | ({"A": str(i % 11)} if i % 3 else {}) | ({"u": str(i % 40)} if i % 2 else {}), DAY0) for i in range(240)]
+    twice = [(7, {"a": "1"}, DAY0), (7, {"u": "7", "b": rows[7][1]["b"]}, DAY0)]
+    docs, again = (spark.createDataFrame(r, SCHEMA) for r in (rows, rows + twice))
+    met, meet = [], joins._meet
+    monkeypatch.setattr(joins, "_meet", lambda *x: met.append(meet(*x)) or met[-1])
+    cells = {"a": 3, "b": 2, "c": 1}
+    got = [(r.a, r.b) for r in stream_natural_join(docs, "1 day", "1 hour", (), cells).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for _, a, b in brute_couples([(i, m) for i, m, _ in rows])}
+    shared = sum(v * v for v in Counter((k, v) for _, m, _ in rows for k, v in m.items() if k in cells).values())
+    assert met[0].where(F.col("attr_a").isin(list(cells))).count() < shared / 2
+    assert stream_natural_join(again, "1 day", "1 hour", (), cells).where("a = b").isEmpty()
+
+
 def test_core_is_bounded(spark):
     docs = spark.readStream.schema(SCHEMA).parquet(new_folder())
     with pytest.raises(ValueError):
