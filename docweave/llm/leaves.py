@@ -31,6 +31,7 @@ PIVOTS = 16  # expected per large group
 STRAGGLERS = 512  # sets outside the largest component that every cell can take
 BYTES = 6 << 20  # of the sets of a part; two parts meet in a task
 PIECE = 1024  # shingles in a row of a set
+OFTEN = 1.5  # candidate groups that a set is in, on average, from which groups are merged
 FEW = 400_000  # rows of at most 40 bytes up to which the sets asked for are broadcast
 
 #: n and sketches of a group's sets to the matrix of pairs that may link
@@ -162,14 +163,33 @@ def _links(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def _verified(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _merged(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Candidate groups that have sets in common as one group, where a task takes it; a set moves once with it.
+
+    ``members`` key, cell, sub, lo (the group's least node), node, c.  Groups whose union is larger stay as they are.
+    """
+    columns = ["key", "cell", "sub", "node", "c"]
+    seen = members.agg(F.count("*").alias("m"), F.approx_count_distinct("node").alias("n")).first()
+    if seen.m < OFTEN * seen.n:
+        return members.select(*columns)
+    of = stage(components(members.select(F.col("lo").alias("a"), F.col("node").alias("b"))))
+    own = stage(members.select("node", "c").distinct().join(of, "node").join(nodes.select("node", "n"), "node"))
+    fits = stage(own.groupBy("component").agg(F.sum("n").alias("n")).where(F.col("n") * 8 <= BYTES).select("component"))
+    fits = F.broadcast(fits) if fits.count() <= FEW else fits
+    zero = F.lit(0).cast("long")
+    whole = own.join(fits, "component").select(F.col("component").alias("key"), (zero - 1).alias("cell"), zero.alias("sub"), "node", "c")
+    large = own.join(fits, "component", "left_anti").select("node")
+    return stage(whole.union(members.join(large, "node").select(*columns)))
+
+
+def _verified(candidates: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links (a, b) of candidate groups, by whole sets."""
     # The same sets meet under many keys; once is enough.
     prints = candidates.groupBy("key", "cell", "sub").agg(
         F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("lo"), F.max("node").alias("hi")
     )
-    once = prints.groupBy("m", "x", "lo", "hi").agg(F.min(F.struct("key", "cell", "sub")).alias("g")).select("g.*")
-    members = stage(candidates.join(once, ["key", "cell", "sub"]))
+    once = prints.groupBy("m", "x", "lo", "hi").agg(F.min(F.struct("key", "cell", "sub")).alias("g")).select("g.*", "lo")
+    members = _merged(stage(candidates.join(once, ["key", "cell", "sub"])), nodes)
     members = F.broadcast(members) if members.count() <= FEW else members  # then only the sets move, once
     order = ["key", "cell", "sub", "node", "piece"]
     rows = members.join(sets, "node").select(*order, "c", "shingles")
@@ -203,7 +223,7 @@ def linked(
         candidates = stage(rows.mapInArrow(functools.partial(_candidates, may_link), "key long, cell long, sub long, node long, c long"))
         if not candidates.isEmpty():
             # With many groups, sets that are really asked for are far fewer than those in groups.
-            new = _verified(candidates, _sets_of(candidates, nodes, sets) if many else sets, percent)
+            new = _verified(candidates, nodes, _sets_of(candidates, nodes, sets) if many else sets, percent)
             found = stage(components(new if found is None else new.union(found.select("node", "component"))))
             known = nodes.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
             known = stage(known)

@@ -73,6 +73,36 @@ def test_join_of_many_near_copies_loses_no_link(spark, monkeypatch, leaf):
     assert Counter((r[0], r[1], r[2]) for r in got) == brute_components(rows)
 
 
+def test_sets_of_overlapping_groups_move_once(spark):
+    """Groups whose union a task takes are one; larger ones stay, also with each other's sets."""
+    groups = {(1, 0, 0): (1, 2, 3), (2, 0, 0): (2, 3, 4), (3, 0, 0): (1, 3, 4), (4, 0, 0): (10, 11), (4, 0, 1): (11, 12), (5, 1, 0): (10, 12), (6, 0, 0): (20, 21)}
+    size = {k: leaves.BYTES // 16 if 10 <= k < 20 else 3 for g in groups.values() for k in g}
+    members = spark.createDataFrame([(*g, min(of), k, k) for g, of in groups.items() for k in of], "key long, cell long, sub long, lo long, node long, c long")
+    nodes = spark.createDataFrame(list(size.items()), "node long, n long")
+    got = defaultdict(list)
+    for r in leaves._merged(members, nodes).collect():
+        got[r.key, r.cell, r.sub].append(r.node)
+    large = [of for g, of in groups.items() if g[0] in (4, 5)]
+    assert sorted(tuple(sorted(of)) for of in got.values()) == sorted([(1, 2, 3, 4), (20, 21), *large])
+
+
+@pytest.mark.parametrize("bytes_", [leaves.BYTES, 20_000])
+def test_merged_groups_lose_no_link(spark, monkeypatch, bytes_):
+    monkeypatch.setattr(leaves, "OFTEN", 0)
+    monkeypatch.setattr(leaves, "BYTES", bytes_)
+    rng = np.random.default_rng(2)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(150)]
+        for _ in range(40):
+            w = list(base)
+            for k in rng.choice(150, rng.integers(0, 9), replace=False):
+                w[k] = f"v{rng.integers(4000)}"
+            rows.append((len(rows), " ".join(w)))
+    got = jaccard.shingle_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r[0], r[1], r[2]) for r in got) == brute_components(rows)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200), (7, 3), (3, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
