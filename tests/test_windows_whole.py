@@ -76,3 +76,19 @@ def test_large_windows_are_spread_by_key(docs):
     assert "key#" in plan(got) and "SortMergeJoin" in plan(got)
     assert as_set(got, "w", "a", "b") == brute_couples(ROWS)
     assert hot_core(docs).window == 0 and J.joinable_with(docs, docs).count() == 2 * len(brute_couples(ROWS))
+
+
+def test_pairs_that_are_not_hot_need_no_cells(make_documents):
+    """A frequent attribute whose pairs are rare: no cells, and both sides of the index are sent once."""
+    rows = [(i, {c: str(i % 29) for c in "abcdefg" if i % (ord(c) - 90)}) for i in range(120)]
+    docs = make_documents(rows)
+    core = choose_core(docs, hot=40)
+    assert core.window == 120 and not core.hot and choose_core(docs, hot=4).hot
+    assert as_set(J.natural_join(docs, core, cell=40), "w", "a", "b") == brute_couples(rows)
+
+
+def test_hot_keys_are_met_without_moving_all_rows(docs):
+    sides = J._sides(docs, Core(("a",)), ["w"], [])
+    left, right, _ = J._split_hot_keys(sides, sides, ["w", "mask"], 10)
+    for side in (left, right):
+        assert "SortMergeJoin" not in plan(side) and "BroadcastHashJoin" in plan(side)
