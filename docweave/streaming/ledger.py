@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.session import remove, stage
+from docweave.session import names, remove, stage
 
 DOCUMENTS = "documents"
+SPANS = "spans"
 INCOMING = "incoming"
 LATE = "late"
 LEDGER = "ledger"
 _ROWS = "kind string, source string, w long"
+SPAN = 256  # windows that share a folder where a batch touches more of them than that
 
 
 def none_if_missing(read: Callable[[], DataFrame]) -> DataFrame | None:
@@ -48,6 +51,8 @@ class WindowLedger:
 
     A batch is first written as it comes, under ``path/incoming``, and read from there until it
     is done; the folders of windows, a file for each of a batch, are read by later batches only.
+    A batch of more than ``SPAN`` windows is kept under ``path/spans/span=.../batch=...``, so many
+    windows to a folder; it is deleted when the last of them has closed.
     A window closes when every source has gone more than ``delay`` windows beyond it.  Documents
     of closed windows that come later go to ``path/late``.  A batch is done once its ledger row is
     written; a batch that is run again after that changes nothing.
@@ -95,10 +100,14 @@ class WindowLedger:
             came.where(late).select("w", "doc", "m").write.mode("overwrite").parquet(f"{self.path}/{LATE}/batch={batch}")
             came = came.where(~late)
             touched = [w for w in touched if w > now.closed]
+        wide = len(touched) > SPAN
+        by, folder = ("span", SPANS) if wide else ("w", DOCUMENTS)
+        if wide:
+            came = came.withColumn("span", F.floor(F.col("w") / SPAN))
         (
-            came.withColumn("batch", F.lit(batch)).hint("rebalance", F.col("w"))
+            came.withColumn("batch", F.lit(batch)).hint("rebalance", F.col(by))
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("w", "batch").parquet(f"{self.path}/{DOCUMENTS}")
+            .partitionBy(by, "batch").parquet(f"{self.path}/{folder}")
         )
         high = dict(now.high)
         for r in seen:
@@ -126,10 +135,19 @@ class WindowLedger:
         kind = like.schema["doc"].dataType.simpleString()
         if not windows:
             return self.spark.createDataFrame([], f"w long, doc {kind}, m map<string,string>")
-        base = f"{self.path}/{DOCUMENTS}"
-        reader = self.spark.read.schema(f"doc {kind}, m map<string,string>, w long, batch int").option("basePath", base)
-        rows = reader.parquet(*[f"{base}/w={w}" for w in windows])
-        return stage((rows if before is None else rows.where(F.col("batch") < before)).select("w", "doc", "m"))
+        reader = self.spark.read.schema(f"doc {kind}, m map<string,string>, w long, batch int")
+        found = []
+        for folder, by, wanted in ((DOCUMENTS, "w", windows), (SPANS, "span", {w // SPAN for w in windows})):
+            there = set(names(self.spark, f"{self.path}/{folder}"))
+            paths = [f"{self.path}/{folder}/{at}" for at in (f"{by}={n}" for n in wanted) if at in there]
+            if paths:
+                rows = reader.option("basePath", f"{self.path}/{folder}").parquet(*paths)
+                found.append((rows if before is None else rows.where(F.col("batch") < before)).select("w", "doc", "m"))
+        rows = reduce(DataFrame.unionByName, found)
+        low, high = min(windows), max(windows)
+        if high - low + 1 > len(windows):
+            rows = rows.join(stage(self.spark.createDataFrame([(w,) for w in windows], "w long")), "w", "left_semi")
+        return stage(rows.where(F.col("w").between(low, high)))
 
     def commit(self, batch: int, windows: Windows, dropped: list[int]) -> None:
         """Write the state, which ends the batch, and then delete what is no longer needed."""
@@ -137,7 +155,12 @@ class WindowLedger:
         rows += [("closed", "", windows.closed)] if windows.closed is not None else []
         rows += [("ended", "", None)] if windows.ended else []
         self.spark.createDataFrame(rows, _ROWS).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{LEDGER}/batch={batch}")
-        remove(self.spark, *[f"{self.path}/{DOCUMENTS}/w={w}" for w in dropped], f"{self.path}/{INCOMING}/batch={batch}")
+        gone = [f"w={w}" for w in dropped]
+        there = set(names(self.spark, f"{self.path}/{DOCUMENTS}")) if gone else set()
+        remove(self.spark, *[f"{self.path}/{DOCUMENTS}/{w}" for w in gone if w in there], f"{self.path}/{INCOMING}/batch={batch}")
+        spans = [n for n in names(self.spark, f"{self.path}/{SPANS}") if n.startswith("span=")] if gone else []
+        over = lambda span: windows.ended or (int(span[5:]) + 1) * SPAN - 1 <= windows.closed
+        remove(self.spark, *[f"{self.path}/{SPANS}/{span}" for span in spans if over(span)])
         remove(self.spark, f"{self.path}/{LEDGER}/batch={batch - 2}")  # a batch needs the one before it only
 
 
